@@ -45,7 +45,7 @@ def build_hierarchy(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             normalize_name("name").alias("name"),
             F.col("name").alias("original_name"),
             F.col("admin_level").cast("int").alias("admin_level"),
-            *_carried(nodes),
+            *[normalize_name(c).alias(c) for c in _carried(nodes)],
         ),
         "nodes",
     )

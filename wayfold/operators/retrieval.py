@@ -206,18 +206,17 @@ def fuzzy_matches(terms: DataFrame, products: DataFrame, k: int = 5) -> DataFram
         "terms",
     )
     texts = Lookup.stage(asked.select("text").distinct(), ["text"], "term-texts")
-    # As many entries as there are different lengths.
-    lengths = texts.df.agg(F.collect_set(F.char_length("text"))).scalar()
+    # As many rows as there are different lengths.
+    lengths = texts.df.select(F.char_length("text").alias("size")).distinct()
+    sizes = [row["size"] for row in lengths.collect()]
 
     def pieces(name: Column) -> Column:
-        def of_length(size: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.char_length(name) - size + 1)
-            cut = F.transform(starts, lambda i: F.substr(name, i, size))
-            return F.when(F.char_length(name) >= size, cut).otherwise(
-                F.array().cast("array<string>")
-            )
-
-        return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+        def of_length(size: int) -> Column:
+            last = F.char_length(name) - size + 1
+            cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(name, i, F.lit(size)))
+            return F.when(last > 0, cut).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*[of_length(size) for size in sizes]))
 
     cut = products.where(F.col("name").isNotNull()).select(
         "product_id", "popularity_global", F.explode(pieces(F.lower("name"))).alias("text")

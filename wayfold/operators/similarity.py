@@ -22,6 +22,7 @@ def similar_by_embedding(
     scored = vectors.select(
         F.col(id_col).alias("similar_id"), vector.alias("v"), norm.alias("norm")
     )
+    kind = dict(vectors.dtypes)[id_col]
     scores = []
     for row in asked:
         query = F.lit([float(x) for x in row["embedding"]])
@@ -30,10 +31,10 @@ def similar_by_embedding(
             F.col("norm") * F.lit(length), F.lit(0.0)
         )
         scores.append(
-            F.struct(F.lit(row[id_col]).alias(id_col), cosine.alias("similarity"))
+            F.struct(F.lit(row[id_col]).cast(kind).alias(id_col), cosine.alias("similarity"))
         )
     if not scores:
-        empty = f"CAST(NULL AS ARRAY<STRUCT<{id_col}: BIGINT, similarity: DOUBLE>>)"
+        empty = f"CAST(NULL AS ARRAY<STRUCT<{id_col}: {kind}, similarity: DOUBLE>>)"
         pairs = scored.select("similar_id", F.explode(F.expr(empty)).alias("s"))
     else:
         pairs = scored.select("similar_id", F.explode(F.array(*scores)).alias("s"))
