@@ -15,6 +15,9 @@ from wayfold.operators.hierarchy import Gazetteer, ancestor_names
 from wayfold.operators.joins import Lookup, hot_keys, lookup_join
 from wayfold.plans.scratch import staged
 
+# Stands for NULL in a join key; a folded name never ends in white space.
+_NO_NAME = " "
+
 PAIR_COLUMNS = ("city_1", "state_1", "city_2", "state_2")
 
 
@@ -51,6 +54,13 @@ def resolve_pairs(
     strict_state: bool = False,
 ) -> DataFrame:
     """Resolve both sides of a pair table; absent city or state columns read as NULL."""
+    keyed, sides, absent = _keyed_pairs(pairs, gaz, country)
+    return _drop_keys(_attach(keyed, gaz, sides, strict_state)).drop(*absent)
+
+
+def _keyed_pairs(
+    pairs: DataFrame, gaz: Gazetteer, country: tuple[str, str] | None
+) -> tuple[DataFrame, list[_Side], list[str]]:
     absent = [c for c in PAIR_COLUMNS if c not in pairs.columns]
     df = pairs.withColumns({c: F.lit(None).cast("string") for c in absent})
     countries = country or (None, None)
@@ -58,8 +68,7 @@ def resolve_pairs(
         _Side("city_1", "state_1", countries[0], "_1"),
         _Side("city_2", "state_2", countries[1], "_2"),
     ]
-    resolved = _attach(_with_keys(df, gaz, sides), gaz, sides, strict_state)
-    return _drop_keys(resolved).drop(*absent)
+    return _with_keys(df, gaz, sides), sides, absent
 
 
 @dataclass(frozen=True)
@@ -118,12 +127,12 @@ def _attach(
     )
     keys = staged(keys.where(F.col("_city").isNotNull()).distinct(), "place-keys")
     matched = _probe(keys, gaz, plain, strict_state).withColumn(
-        "_state", F.coalesce("_state", F.lit(_NO_STATE))
+        "_state", F.coalesce("_state", F.lit(_NO_NAME))
     )
     table = Lookup.stage(matched, plain.keys(gaz), "matched-keys")
     marked = keyed.withColumns(
         {
-            f"_state{s.suffix}": F.coalesce(f"_state{s.suffix}", F.lit(_NO_STATE))
+            f"_state{s.suffix}": F.coalesce(f"_state{s.suffix}", F.lit(_NO_NAME))
             for s in sides
         }
     )
@@ -138,10 +147,6 @@ def _attach(
     return marked
 
 
-# Stands for "no state" in a join key; white space is never part of a folded name's end.
-_NO_STATE = " "
-
-
 def _probe(
     keyed: DataFrame, gaz: Gazetteer, side: _Side, strict_state: bool
 ) -> DataFrame:
@@ -189,50 +194,82 @@ def match_levels(
     ``first`` compares the first match of each side in document order, ``best`` the deepest level
     over all combinations of matches. Rows, duplicates and other columns are kept.
     """
-    if mode not in ("first", "best"):
+    if mode == "first":
+        resolved = resolve_pairs(pairs, gaz, country, strict_state)
+        level = common_ancestor_level(F.col("first_1"), F.col("first_2"))
+        return _scored(resolved, level).select(
+            *pairs.columns, "expected_level", "is_ambiguous"
+        )
+    if mode != "best":
         raise ValueError(f"unknown mode {mode!r}")
-    df = resolve_pairs(pairs, gaz, country, strict_state)
-    none = (F.col("n_1") == 0) | (F.col("n_2") == 0)
-    several = (F.col("n_1") > 1) | (F.col("n_2") > 1)
-    level = common_ancestor_level(F.col("first_1"), F.col("first_2"))
-    if mode == "best":
-        df = _with_best_level(df, gaz, country, several & ~none)
-        level = F.coalesce("_best", level)
-    return df.select(
-        *pairs.columns,
-        F.when(none, COUNTRY_LEVEL).otherwise(level).cast("int").alias("expected_level"),
-        several.cast("int").alias("is_ambiguous"),
+    if pairs.isStreaming:
+        raise ValueError("the best level needs the distinct keys of a finite table")
+    keyed, sides, _ = _keyed_pairs(pairs, gaz, country)
+    keys = [key for side in sides for key in side.keys(gaz)]
+    distinct = staged(keyed.select(keys).distinct(), "pair-keys")
+    scored = _best_scored(_attach(distinct, gaz, sides, strict_state), gaz)
+    known = {key: F.coalesce(key, F.lit(_NO_NAME)) for key in keys}
+    table = Lookup.stage(
+        scored.select(*keys, "expected_level", "is_ambiguous").withColumns(known),
+        keys,
+        "pair-scores",
+    )
+    return lookup_join(keyed.withColumns(known), table, keys).select(
+        *pairs.columns, "expected_level", "is_ambiguous"
     )
 
 
-def _with_best_level(
-    df: DataFrame, gaz: Gazetteer, country: tuple[str, str] | None, wanted: Column
-) -> DataFrame:
-    """Add ``_best`` for the ambiguous rows.
+def _several() -> Column:
+    return (F.col("n_1") > 1) | (F.col("n_2") > 1)
+
+
+def _unmatched() -> Column:
+    return (F.col("n_1") == 0) | (F.col("n_2") == 0)
+
+
+def _scored(resolved: DataFrame, level: Column) -> DataFrame:
+    return resolved.withColumns(
+        {
+            "expected_level": F.when(_unmatched(), COUNTRY_LEVEL)
+            .otherwise(level)
+            .cast("int"),
+            "is_ambiguous": _several().cast("int"),
+        }
+    )
+
+
+def _best_scored(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
+    """Score resolved distinct keys by the best combination of their matches.
 
     The sides are ordered so that the one with fewer matches comes first: the score is symmetric,
     and the work for a key pair then follows the smaller side.
     """
-    sides = {}
-    for suffix in ("_1", "_2"):
+
+    def key(suffix: str) -> Column:
         parts = [
             F.col(f"matched_city{suffix}").alias("city"),
             F.col(f"matched_state{suffix}").alias("state"),
         ]
-        if country:
-            parts.insert(0, name_key(country[int(suffix[-1]) - 1]).alias("country"))
-        sides[suffix] = F.struct(*parts)
+        if gaz.has_country:
+            parts.insert(0, F.col(f"_country{suffix}").alias("country"))
+        return F.to_json(F.struct(*parts))
+
+    one, two = key("_1"), key("_2")
     swap = (F.col("n_1") > F.col("n_2")) | (
-        (F.col("n_1") == F.col("n_2")) & (sides["_1"] > sides["_2"])
+        (F.col("n_1") == F.col("n_2")) & (one > two)
     )
-    df = df.withColumns(
-        {
-            "_few": F.when(wanted, F.when(swap, sides["_2"]).otherwise(sides["_1"])),
-            "_many": F.when(wanted, F.when(swap, sides["_1"]).otherwise(sides["_2"])),
-        }
+    wanted = _several() & ~_unmatched()
+    resolved = staged(
+        resolved.withColumns(
+            {
+                "_few": F.when(wanted, F.when(swap, two).otherwise(one)),
+                "_many": F.when(wanted, F.when(swap, one).otherwise(two)),
+            }
+        ),
+        "resolved-keys",
     )
     key_pairs = (
-        df.where(wanted)
+        resolved.where(F.col("_few").isNotNull())
         .select(
             F.col("_few").alias("few"),
             F.col("_many").alias("many"),
@@ -241,17 +278,19 @@ def _with_best_level(
         .distinct()
     )
     best = best_levels(staged(key_pairs, "key-pairs"), gaz)
-    return lookup_join(
-        df, Lookup.stage(best, ["few", "many"], "best-levels"), ["_few", "_many"]
+    table = Lookup.stage(best, ["few", "many"], "best-levels")
+    level = F.coalesce(
+        "_best", common_ancestor_level(F.col("first_1"), F.col("first_2"))
     )
+    return _scored(lookup_join(resolved, table, ["_few", "_many"]), level)
 
 
 def best_levels(key_pairs: DataFrame, gaz: Gazetteer) -> DataFrame:
     """Deepest shared level over all combinations of two keys' matches, without forming them.
 
-    ``key_pairs`` has ``few`` and ``many`` (structs of city and state) and ``combinations``, the
-    number of match combinations. For every place ``a`` above matches of both keys let ``n_few(a)``
-    and ``n_many(a)`` count the matches at or below it. A combination is *nested* when one match
+    ``key_pairs`` has ``few`` and ``many`` (keys as JSON text) and ``combinations``, the number of
+    match combinations. For every place ``a`` above matches of both keys let ``n_few(a)`` and
+    ``n_many(a)`` count the matches at or below it. A combination is *nested* when one match
     contains the other; it scores the container's level. Each match has few ancestors, so nested
     combinations are counted from the ancestor chains. If more combinations lie below ``a`` than
     nested ones, some combination meets at ``a`` by the ordinary rule and scores its level, at
@@ -328,24 +367,17 @@ def _matches_above(gaz: Gazetteer, wanted: DataFrame) -> DataFrame:
     parts = [F.col("name").alias("city"), F.col("state").alias("state")]
     if gaz.has_country:
         parts.insert(0, F.col("country").alias("country"))
-    places = (
-        gaz.nodes.select("*", F.explode(states).alias("state"))
-        .select(
-            F.struct(*parts).alias("key"),
-            F.col("id").alias("match"),
-            F.transform(
-                "ancestors",
-                lambda a: F.struct(a["id"].alias("id"), a["level"].alias("level")),
-            ).alias("whole"),
-        )
-    )
-    # Keys compare through their text so that a NULL state equals a NULL state.
-    text = F.to_json("key")
-    kept = places.withColumn("_text", text).join(
-        wanted.select(text.alias("_text")), "_text", "left_semi"
+    places = gaz.nodes.select("*", F.explode(states).alias("state")).select(
+        F.to_json(F.struct(*parts)).alias("key"),
+        F.col("id").alias("match"),
+        F.transform(
+            "ancestors",
+            lambda a: F.struct(a["id"].alias("id"), a["level"].alias("level")),
+        ).alias("whole"),
     )
     return (
-        kept.select("key", "match", "whole", F.posexplode("whole").alias("pos", "up"))
+        places.join(wanted, "key", "left_semi")
+        .select("key", "match", "whole", F.posexplode("whole").alias("pos", "up"))
         .groupBy("key", F.col("up.id").alias("above"))
         .agg(
             F.any_value(

@@ -74,7 +74,7 @@ def batch_search(
     index = Lookup.stage(
         search_index(products, k), ["segment", "store", "scale", "cell"], "search-index"
     )
-    probes = combos.select(*_COMBO, F.explode(_cells_up_to(F.col("max_age"))).alias("c")).select(
+    probes = combos.select(*_COMBO, F.explode(_cells_up_to("max_age")).alias("c")).select(
         *_COMBO, "c.*"
     )
     hits = lookup_join(probes, index, list(index.keys), "inner")
@@ -127,7 +127,7 @@ def search_index(products: DataFrame, k: int) -> DataFrame:
         .drop("o")
     )
     by_age = _first(entries, ["segment", "store", "min_age"], k)
-    spread = by_age.select("*", F.explode(_cells_of(F.col("min_age"))).alias("c")).select(
+    spread = by_age.select("*", F.explode(_cells_of("min_age")).alias("c")).select(
         "*", "c.*"
     )
     return _first(spread, ["segment", "store", "scale", "cell"], k).drop("min_age", "c")
@@ -146,33 +146,27 @@ def _order() -> list[Column]:
     ]
 
 
-def _cell(scale: Column, cell: Column) -> Column:
-    return F.struct(
-        scale.cast("int").alias("scale"), cell.cast("bigint").alias("cell")
-    )
+_ANYONE = f"named_struct('scale', {_ANY_AGE}, 'cell', 0L)"
 
 
-def _cells_of(age: Column) -> Column:
+def _cells_of(age: str) -> Column:
     """Cells an age lies in, one per scale, and the cell of requests without an age."""
-    moved = age.cast("bigint") + _AGE_SHIFT
-    cells = [_cell(F.lit(s), F.shiftright(moved, s)) for s in range(_AGE_BITS + 1)]
-    anyone = _cell(F.lit(_ANY_AGE), F.lit(0))
-    return F.when(age.isNull(), F.array(anyone)).otherwise(F.array(anyone, *cells))
+    cell = f"named_struct('scale', s, 'cell', shiftright({age} + {_AGE_SHIFT}L, s))"
+    return F.expr(
+        f"""CASE WHEN {age} IS NULL THEN array({_ANYONE}) ELSE
+            concat(array({_ANYONE}), transform(sequence(0, {_AGE_BITS}), s -> {cell})) END"""
+    )
 
 
-def _cells_up_to(age: Column) -> Column:
+def _cells_up_to(age: str) -> Column:
     """Disjoint cells that cover exactly the ages up to the given one."""
-    end = age.cast("bigint") + (_AGE_SHIFT + 1)
-    cells = [
-        F.when(
-            F.shiftright(end, s).bitwiseAND(F.lit(1)) == 1,
-            _cell(F.lit(s), F.shiftright(end, s) - 1),
-        )
-        for s in range(_AGE_BITS + 1)
-    ]
-    covering = F.filter(F.array(*cells), lambda c: c.isNotNull())
-    anyone = F.array(_cell(F.lit(_ANY_AGE), F.lit(0)))
-    return F.when(age.isNull(), anyone).otherwise(covering)
+    end = f"({age} + {_AGE_SHIFT + 1}L)"
+    cell = f"named_struct('scale', s, 'cell', shiftright({end}, s) - 1)"
+    return F.expr(
+        f"""CASE WHEN {age} IS NULL THEN array({_ANYONE}) ELSE
+            transform(filter(sequence(0, {_AGE_BITS}), s -> shiftright({end}, s) % 2 = 1),
+                      s -> {cell}) END"""
+    )
 
 
 def filter_by_constraints(
