@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.joins import Lookup, lookup_join
-from wayfold.plans.scratch import staged
+from wayfold.plans.scratch import staged_and_measured
 
-# Distinct products of a basket handled by one task together with as many others.
+# Lines up to which a basket is gathered whole, and items per block of a larger one.
 BASKET_BLOCK = 1000
 
 
@@ -54,39 +54,58 @@ def cooccurrence_from_baskets(
 ) -> DataFrame:
     """``item_1 < item_2`` with the number of baskets holding both.
 
-    Items are made distinct per basket first. Each pair of items in a basket is a row of the
-    result or adds to one, so pairs have to be produced; a basket with more than ``block`` items
-    is cut into blocks, and every pair of its blocks is a join key of its own. No key holds more
-    than about two blocks, however large the basket, and no pair is lost. Counts are combined on
-    the map side.
+    Every pair of items in a basket adds to a row of the result, so pairs have to be produced.
+    Baskets of up to ``block`` lines are gathered in one shuffle and paired in place. A larger one
+    is never gathered: it is cut into blocks, and every pair of its blocks is worked on apart.
+    No pair is lost, and counts are combined on the map side.
     """
-    items = lines.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(
+    rows = lines.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(
         F.col("basket").isNotNull() & F.col("item").isNotNull()
     )
-    items = staged(items.distinct(), "basket-items")
-    sizes = items.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    large = Lookup.stage(
-        sizes.where(F.col("size") > block).select(
-            "basket", F.ceil(F.col("size") / block).cast("int").alias("blocks")
+    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("lines"))
+    large, found, size = staged_and_measured(
+        sizes.where(F.col("lines") > block).select(
+            "basket", F.ceil(F.col("lines") / block).cast("int").alias("blocks")
         ),
-        ["basket"],
         "large-baskets",
     )
-    blocked = lookup_join(items, large, ["basket"]).select(
-        "basket",
-        "item",
-        F.coalesce("blocks", F.lit(1)).alias("blocks"),
-        F.when(F.col("blocks").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-        .alias("own"),
+    if not found:
+        pairs = _pairs_in_place(rows)
+    else:
+        marked = lookup_join(rows, Lookup(large, ("basket",), size), ["basket"])
+        small = marked.where(F.col("blocks").isNull()).drop("blocks")
+        big = marked.where(F.col("blocks").isNotNull())
+        pairs = _pairs_in_place(small).unionByName(_pairs_by_block(big))
+    return pairs.groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _pairs_in_place(rows: DataFrame) -> DataFrame:
+    """Pairs of baskets known to have few lines."""
+    items = F.array_sort(F.collect_set("item"))
+    later = F.slice("items", F.col("pos") + 2, F.size("items"))
+    return (
+        rows.groupBy("basket")
+        .agg(items.alias("items"))
+        .where(F.size("items") > 1)
+        .select("items", F.posexplode("items").alias("pos", "item_1"))
+        .select("item_1", F.explode(later).alias("item_2"))
     )
+
+
+def _pairs_by_block(rows: DataFrame) -> DataFrame:
+    """Pairs of large baskets: items meet per pair of blocks, so no key holds a whole basket."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = blocked.select("basket", "item", "own", other.alias("other")).select(
-        "basket",
-        "item",
-        "own",
-        F.least("own", "other").alias("low"),
-        F.greatest("own", "other").alias("high"),
+    cells = (
+        rows.distinct()
+        .withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+        .select("basket", "item", "own", other.alias("other"))
+        .select(
+            "basket",
+            "item",
+            "own",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+        )
     )
     left = cells.withColumnsRenamed({"item": "item_1", "own": "own_1"})
     right = cells.withColumnsRenamed({"item": "item_2", "own": "own_2"})
@@ -94,8 +113,7 @@ def cooccurrence_from_baskets(
     return (
         left.join(right, ["basket", "low", "high"])
         .where((F.col("item_1") < F.col("item_2")) & across)
-        .groupBy("item_1", "item_2")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .select("item_1", "item_2")
     )
 
 

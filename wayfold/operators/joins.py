@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.plans.scratch import staged, staged_and_measured
+from wayfold.plans.scratch import row_bytes, staged, staged_and_measured
 
 # A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 64 << 20
@@ -18,9 +18,16 @@ HOT_SHARE = 0.005
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows of ``df`` as JSON text; call it on staged tables and plain scans."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    """Size of a stored table.
+
+    Counting rows of a stored table reads footers only. When the count alone shows that the table
+    is too large to broadcast, that lower bound is returned and the rows are not read.
+    """
+    least = 8 * df.count()
+    if least > BROADCAST_BYTES:
+        return least
+    total = F.coalesce(F.sum(row_bytes(df)), F.lit(0))
+    return df.agg(total.alias("bytes")).first()["bytes"]
 
 
 @dataclass(frozen=True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -44,10 +45,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row: text by its length, nested values by their JSON text, the rest as 8."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            width = F.lit(8)
+        size = size + width
+    return size.cast("long")
+
+
 def staged_and_measured(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
-    """As :func:`staged`, with the rows and their size as JSON text, taken while writing."""
+    """As :func:`staged`, with the rows and their total size, both taken while writing."""
     seen = Observation()
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), size.alias("bytes"))
+    total = F.coalesce(F.sum(row_bytes(df)), F.lit(0))
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), total.alias("bytes"))
     table = staged(watched, label)
     return table, seen.get["rows"], seen.get["bytes"]
