@@ -1,7 +1,7 @@
 """Administrative trees: ancestor closure, name lookups, statistics.
 
-Node tables have the columns ``id, parent_id, position, name, admin_level`` where ``position`` is
-the place among the siblings in document order. :func:`build_hierarchy` turns one into a
+Node tables have the columns ``id, parent_id, position, name, admin_level``: ids are unique, and
+``position`` is the place among the siblings in document order. :func:`build_hierarchy` turns one into a
 hierarchy: ``id, path, name, original_name, admin_level, parent_id, ancestors``. ``path`` holds the
 sibling positions from the root; arrays compare element by element, so ordering by it is preorder.
 A ``country`` column, when present, is carried along and separates the lookups.
@@ -67,7 +67,7 @@ def build_hierarchy(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     levels, reached = [level], rows
     while rows and reached < total:
         if len(levels) > max_depth:
-            raise ValueError(f"deeper than {max_depth} levels, or an id is used twice")
+            raise ValueError(f"the tree is deeper than {max_depth} levels")
         parents = level.select(
             F.col("id").alias("parent_id"),
             F.col("path").alias("_path"),
