@@ -18,13 +18,16 @@ def assign_ids(
     """Number the rows ``start..`` in ``order``; the id becomes the first column.
 
     The table is range-partitioned by the order, each partition numbers its own rows, and the
-    row counts of the partitions give the offsets. The content hash is the last order key, so
-    that a value shared by very many rows is still cut into several ranges.
+    row counts of the partitions give the offsets. A content hash and then the stored row number
+    are the last order keys, so that neither a very common value nor many copies of one row end up
+    in a single range.
     """
-    keys = [*order, row_hash(df).asc()]
+    stored = staged(df.withColumn("_copy", F.monotonically_increasing_id()), "unnumbered")
+    keys = [*order, row_hash(df).asc(), F.col("_copy").asc()]
     numbered = staged(
-        df.repartitionByRange(*keys)
+        stored.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("_copy")
         .withColumn("_slot", F.monotonically_increasing_id()),
         "numbered",
     )

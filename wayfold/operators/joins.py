@@ -81,8 +81,10 @@ def spread_join(
 
     Rows of a hot key get a salt from their content; the matching rows of ``right`` are repeated
     once per salt. Only hot keys pay for the repetition, and there are at most ``HOT_KEYS`` of
-    them. Which keys count as hot changes the work layout, never the result. ``hot`` may be passed
-    when it was found on a cheaper frame with the same keys.
+    them. Which keys count as hot changes the work layout, never the result. The salt depends on
+    content only, so a task that runs again sends its rows where they went before; many copies of
+    one row therefore share a salt and are left to adaptive skew handling. ``hot`` may be passed when
+    it was found on a cheaper frame with the same keys.
     """
     salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(left, [on])[0] if hot is None else hot)

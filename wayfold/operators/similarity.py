@@ -16,7 +16,13 @@ def similar_by_embedding(
     The vectors of ``ids`` become literals, so the table is scanned once, without a join, and
     every task keeps its own best ``k`` per id before the shuffle. Equal scores go by id.
     """
-    asked = vectors.where(F.col(id_col).isin(ids)).select(id_col, "embedding").collect()
+    # One row per asked id, also when an id has many copies.
+    asked = (
+        vectors.where(F.col(id_col).isin(ids))
+        .groupBy(id_col)
+        .agg(F.min("embedding").alias("embedding"))
+        .collect()
+    )
     vector = F.col("embedding").cast("array<double>")
     norm = F.sqrt(_dot(vector, vector))
     scored = vectors.select(
