@@ -10,6 +10,7 @@ from wayfold.functions.product import age_bucket, store_key
 from wayfold.operators import catalog as C
 from wayfold.operators import cooccurrence as G
 from wayfold.operators.ids import assign_ids
+from wayfold.plans.etl import publish_catalog, stage_catalog
 from wayfold.sources.catalog_files import read_catalog_json, read_matrix
 from wayfold.sources.tables import load_raw, read_catalog, write_catalog, write_raw
 
@@ -160,3 +161,21 @@ def test_published_versions_replace_each_other(spark, tmp_path):
     write_raw(tables, raw)
     write_raw(tables, raw)
     assert load_raw(spark, raw)["products_raw"].count() == 3
+
+
+def test_load_from_files_to_published_tables(spark, tmp_path):
+    (tmp_path / "items.json").write_text(json.dumps(DOCUMENT))
+    (tmp_path / "matrix.csv").write_text("p,Arc,Deck,Zoo Tale\nArc,4,1,0\nDeck,1,9,3\nZoo Tale,0,3,2\n")
+    raw, root = str(tmp_path / "raw"), str(tmp_path / "final")
+    stage_catalog(spark, str(tmp_path / "items.json"), str(tmp_path / "matrix.csv"), raw)
+    publish_catalog(spark, raw, root)
+    tables = read_catalog(spark, root)
+    features = {
+        r["name"]: (r["product_id"], r["num_neighbors"], r["total_cooccurrence"])
+        for r in tables["products"].collect()
+    }
+    assert features == {"Arc": (1, 1, 2), "Deck": (2, 1, 6), "Zoo Tale": (3, 0, 0)}
+    solo = {r["product_id"]: r["solo_sales"] for r in tables["product_solo_sales"].collect()}
+    assert solo == {1: 4, 2: 9, 3: 2}
+    edges = sorted(tuple(r) for r in tables["product_cooccurrence"].collect())
+    assert edges == [(1, 2, 2), (2, 3, 6)]

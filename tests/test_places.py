@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from wayfold.functions.places import path_string, primary_state
 from wayfold.operators import hierarchy as H
 from wayfold.operators import matching as M
-from wayfold.sources.json_tree import read_hierarchy_json
+from wayfold.sources.json_tree import (
+    load_gazetteer,
+    read_gazetteer,
+    read_hierarchy_json,
+    write_gazetteer,
+)
 
 
 def node(level, **children):
@@ -30,8 +35,7 @@ def gazetteer(spark, folder, tree, root="portugal", **options):
     path = folder / "tree.json"
     text = tree if isinstance(tree, str) else json.dumps(tree, ensure_ascii=False, indent=1)
     path.write_text(text, encoding="utf-8")
-    nodes = read_hierarchy_json(spark, str(path), root, **options)
-    return H.build_gazetteer(H.build_hierarchy(nodes))
+    return load_gazetteer(spark, str(path), root, **options)
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +77,13 @@ def test_golden_pairs(spark, mini):
     assert got == {i: r[4:] for i, r in enumerate(GOLDEN)}
 
 
+def test_a_stored_gazetteer_gives_the_same(spark, mini, tmp_path):
+    write_gazetteer(mini, str(tmp_path / "gaz"))
+    again = read_gazetteer(spark, str(tmp_path / "gaz"))
+    got = scores(M.match_levels(golden_pairs(spark), again))
+    assert got == {i: r[4:] for i, r in enumerate(GOLDEN)}
+
+
 def test_golden_pairs_without_broadcast(spark, mini, shuffled):
     got = scores(M.match_levels(golden_pairs(spark), mini))
     assert got == {i: r[4:] for i, r in enumerate(GOLDEN)}

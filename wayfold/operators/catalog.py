@@ -12,7 +12,6 @@ from wayfold.functions.product import (
     text_blob,
 )
 from wayfold.operators.ids import assign_ids
-from wayfold.plans.scratch import staged
 
 STORE_COLUMNS = ("store_a", "store_b", "store_c")
 # Columns a raw product table is brought to.
@@ -80,13 +79,10 @@ def build_products(raw: DataFrame) -> DataFrame:
     """Products with ids 1..N by name (NULL names last) and all features but the graph ones."""
     filled = fill_defaults(raw)
     kept = [c for c in filled.columns if c not in PRODUCT_COLUMNS]
-    numbered = staged(
-        assign_ids(
-            filled.select(*PRODUCT_COLUMNS, *kept),
-            [F.col("name").asc_nulls_last()],
-            "product_id",
-        ),
-        "products-numbered",
+    numbered = assign_ids(
+        filled.select(*PRODUCT_COLUMNS, *kept),
+        [F.col("name").asc_nulls_last()],
+        "product_id",
     )
     shares = {"popularity_global": "times_sold"} | {
         f"popularity_{s}": s for s in STORE_COLUMNS

@@ -77,7 +77,7 @@ def spread_join(
     how: str = "inner",
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Shuffle join (inner or left) that splits the hot keys of ``left``.
+    """Shuffle join (inner, left or left_semi) that splits the hot keys of ``left``.
 
     Rows of a hot key get a salt from their content; the matching rows of ``right`` are repeated
     once per salt. Only hot keys pay for the repetition, and there are at most ``HOT_KEYS`` of

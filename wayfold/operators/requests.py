@@ -1,6 +1,6 @@
 """Answer a table of product requests: constrained search, candidate filters, recommendations.
 
-A request has ``request_id, intent_type, constraints`` and ``mentioned_products``. The struct
+Products and edges are stored tables. A request has ``request_id, intent_type, constraints`` and ``mentioned_products``. The struct
 ``constraints`` has ``store, max_age, category, exclude_franchise``; other fields are not used.
 """
 
@@ -82,11 +82,11 @@ def batch_search(
     best = top_per_key(hits.where(allowed), _COMBO, _order(), k).select(
         *_COMBO, "rank", "product_id"
     )
-    listed = Lookup.stage(
-        best.join(products.select(*SEARCH_COLUMNS).withColumnRenamed("segment", "in_segment"), "product_id"),
-        _COMBO,
-        "search-results",
+    traits = products.select(*SEARCH_COLUMNS).withColumnRenamed("segment", "in_segment")
+    described = lookup_join(
+        best, Lookup.over(traits, ["product_id"]), ["product_id"], "inner"
     )
+    listed = Lookup.stage(described, _COMBO, "search-results")
     return lookup_join(asked.select("request_id", *_COMBO), listed, _COMBO, "inner").select(
         "request_id",
         "rank",
@@ -173,8 +173,12 @@ def filter_by_constraints(
     candidates: DataFrame, requests: DataFrame, products: DataFrame
 ) -> DataFrame:
     """Keep the ``(request_id, product_id)`` rows whose product meets the request."""
-    wanted = with_constraints(requests).select(
-        "request_id", "segment", "store", "max_age", "excluded"
+    wanted = Lookup.stage(
+        with_constraints(requests).select(
+            "request_id", "segment", "store", "max_age", "excluded"
+        ),
+        ["request_id"],
+        "request-constraints",
     )
     traits = Lookup.over(
         products.select(
@@ -195,9 +199,8 @@ def filter_by_constraints(
         & ((F.col("excluded") == "") | (F.col("_franchise") != F.col("excluded")))
         & in_store
     )
-    joined = lookup_join(candidates, traits, ["product_id"], "inner").join(
-        wanted, "request_id"
-    )
+    described = lookup_join(candidates, traits, ["product_id"], "inner")
+    joined = lookup_join(described, wanted, ["request_id"], "inner")
     return joined.where(meets).select(*candidates.columns)
 
 

@@ -1,6 +1,6 @@
 """Top-k queries over the product table, for one request or for a table of them.
 
-Ties are broken by the smaller ``product_id``.
+Products and edges are stored tables. Ties are broken by the smaller ``product_id``.
 """
 
 from __future__ import annotations
@@ -107,7 +107,6 @@ def product_details_batch(requests: DataFrame, products: DataFrame) -> DataFrame
         .agg(F.min("product_id").alias("named"))
         .where(F.col("folded").isNotNull())
     )
-    ids = Lookup.stage(by_id, ["found"], "product-ids")
     names = Lookup.stage(by_name, ["folded"], "product-names")
     given = F.when(F.col("product_id") != 0, F.col("product_id"))
     asked = requests.select(
@@ -115,10 +114,15 @@ def product_details_batch(requests: DataFrame, products: DataFrame) -> DataFrame
         given.alias("found"),
         F.when(given.isNull(), F.lower("product_name")).alias("folded"),
     )
-    matched = lookup_join(lookup_join(asked, ids, ["found"]), names, ["folded"]).select(
-        "request_id", F.coalesce(F.when(F.col("hit"), F.col("found")), "named").alias("product_id")
+    by_either = lookup_join(
+        lookup_join(asked, Lookup.over(by_id, ["found"]), ["found"]), names, ["folded"]
     )
-    return matched.join(products.select(*DETAIL_COLUMNS), "product_id").select(
+    matched = by_either.select(
+        "request_id",
+        F.coalesce(F.when(F.col("hit"), F.col("found")), "named").alias("product_id"),
+    )
+    details = Lookup.over(products.select(*DETAIL_COLUMNS), ["product_id"])
+    return lookup_join(matched, details, ["product_id"], "inner").select(
         "request_id", *DETAIL_COLUMNS
     )
 
@@ -161,14 +165,15 @@ def neighbors_topk(
     """
     if symmetric:
         edges = both_directions(edges)
-    known = products.select(F.col("product_id").alias("product_id_2"))
+    known = Lookup.over(products.select("product_id"), ["product_id"])
     order = [F.col("cooccurrence_count").desc(), F.col("product_id_2").asc()]
     kept = top_per_key(
-        edges.join(known, "product_id_2", "left_semi"), ["product_id_1"], order, k
+        lookup_join(edges, known, ["product_id_2"], "left_semi"), ["product_id_1"], order, k
+    ).withColumnRenamed("product_id_2", "product_id")
+    traits = Lookup.over(products.select(*NEIGHBOR_COLUMNS), ["product_id"])
+    return lookup_join(kept, traits, ["product_id"], "inner").select(
+        "product_id_1", "rank", *NEIGHBOR_COLUMNS, "cooccurrence_count"
     )
-    return kept.withColumnRenamed("product_id_2", "product_id").join(
-        products.select(*NEIGHBOR_COLUMNS), "product_id"
-    ).select("product_id_1", "rank", *NEIGHBOR_COLUMNS, "cooccurrence_count")
 
 
 def product_fuzzy(

@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators.hierarchy import MAX_DEPTH
+from wayfold.operators.hierarchy import (
+    MAX_DEPTH,
+    Gazetteer,
+    build_gazetteer,
+    build_hierarchy,
+)
 from wayfold.operators.ids import assign_ids
 from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.plans.scratch import staged, staged_and_measured
@@ -113,3 +118,35 @@ def _last_of_each(entries: Column) -> Column:
     return F.when(F.size(distinct) == F.size(names), entries).otherwise(
         F.transform(distinct, last)
     )
+
+
+def load_gazetteer(
+    spark: SparkSession,
+    path: str,
+    root_name: str | dict[str, str],
+    with_country: bool = False,
+) -> Gazetteer:
+    """From tree documents to a gazetteer ready for matching."""
+    nodes = read_hierarchy_json(spark, path, root_name, with_country)
+    return build_gazetteer(build_hierarchy(nodes))
+
+
+def write_gazetteer(gaz: Gazetteer, root: str) -> None:
+    """Store a gazetteer, so that later sessions need not build it."""
+    gaz.nodes.write.parquet(f"{root}/nodes")
+    gaz.by_city.df.write.parquet(f"{root}/by_city")
+    gaz.by_city_state.df.write.parquet(f"{root}/by_city_state")
+
+
+def read_gazetteer(spark: SparkSession, root: str) -> Gazetteer:
+    """A gazetteer written by :func:`write_gazetteer`."""
+    nodes = spark.read.parquet(f"{root}/nodes")
+    extra = ["country"] if "country" in nodes.columns else []
+    by_city = spark.read.parquet(f"{root}/by_city")
+    by_city_state = spark.read.parquet(f"{root}/by_city_state")
+    return Gazetteer(
+        nodes,
+        Lookup.over(by_city, [*extra, "name"]),
+        Lookup.over(by_city_state, [*extra, "name", "state"]),
+        bool(extra),
+    )
