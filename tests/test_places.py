@@ -144,10 +144,18 @@ def test_wrong_state_can_be_strict(spark, mini):
 
 
 def test_absent_state_columns_and_other_columns(spark, mini):
-    pairs = spark.createDataFrame([(0, "pinho", "pinho", "kept")], "id_1 int, city_1 string, city_2 string, note string")
-    result = M.match_levels(pairs, mini)
-    assert result.columns == [*pairs.columns, "expected_level", "is_ambiguous"]
-    assert tuple(result.first()) == (0, "pinho", "pinho", "kept", 8, 0)
+    pairs = spark.createDataFrame(
+        [(0, "pinho", "pinho", "kept", 77, 5)] * 2,
+        "id_1 int, city_1 string, city_2 string, n_1 string, expected_level int, _city int",
+    )
+    for mode in ("first", "best"):
+        result = M.match_levels(pairs, mini, mode)
+        assert result.columns == [
+            "id_1", "city_1", "city_2", "n_1", "_city", "expected_level", "is_ambiguous"
+        ]
+        assert [tuple(r) for r in result.collect()] == [
+            (0, "pinho", "pinho", "kept", 5, 8, 0)
+        ] * 2
 
 
 def test_typos_are_corrected_wherever_they_are(spark, mini):

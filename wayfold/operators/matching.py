@@ -54,21 +54,25 @@ def resolve_pairs(
     strict_state: bool = False,
 ) -> DataFrame:
     """Resolve both sides of a pair table; absent city or state columns read as NULL."""
-    keyed, sides, absent = _keyed_pairs(pairs, gaz, country)
+    keyed, sides = _keyed_pairs(pairs, gaz, country, ("_1", "_2"))
+    absent = [c for c in PAIR_COLUMNS if c not in pairs.columns]
     return _drop_keys(_attach(keyed, gaz, sides, strict_state)).drop(*absent)
 
 
 def _keyed_pairs(
-    pairs: DataFrame, gaz: Gazetteer, country: tuple[str, str] | None
-) -> tuple[DataFrame, list[_Side], list[str]]:
+    pairs: DataFrame,
+    gaz: Gazetteer,
+    country: tuple[str, str] | None,
+    suffixes: tuple[str, str],
+) -> tuple[DataFrame, list[_Side]]:
     absent = [c for c in PAIR_COLUMNS if c not in pairs.columns]
     df = pairs.withColumns({c: F.lit(None).cast("string") for c in absent})
     countries = country or (None, None)
     sides = [
-        _Side("city_1", "state_1", countries[0], "_1"),
-        _Side("city_2", "state_2", countries[1], "_2"),
+        _Side("city_1", "state_1", countries[0], suffixes[0]),
+        _Side("city_2", "state_2", countries[1], suffixes[1]),
     ]
-    return _with_keys(df, gaz, sides), sides, absent
+    return _with_keys(df, gaz, sides), sides
 
 
 @dataclass(frozen=True)
@@ -192,19 +196,18 @@ def match_levels(
     """Add ``expected_level`` and ``is_ambiguous`` to a pair table.
 
     ``first`` compares the first match of each side in document order, ``best`` the deepest level
-    over all combinations of matches. Rows, duplicates and other columns are kept.
+    over all combinations of matches. Rows, duplicates and other columns are kept; result columns
+    the table already has are replaced.
     """
-    if mode == "first":
-        resolved = resolve_pairs(pairs, gaz, country, strict_state)
-        level = common_ancestor_level(F.col("first_1"), F.col("first_2"))
-        return _scored(resolved, level).select(
-            *pairs.columns, "expected_level", "is_ambiguous"
-        )
-    if mode != "best":
+    if mode not in ("first", "best"):
         raise ValueError(f"unknown mode {mode!r}")
+    pairs = pairs.drop("expected_level", "is_ambiguous")
+    keyed, sides = _keyed_pairs(pairs, gaz, country, (_ONE, _TWO))
+    if mode == "first":
+        scored = _scored(_attach(keyed, gaz, sides, strict_state), _first_level())
+        return scored.select(*pairs.columns, "expected_level", "is_ambiguous")
     if pairs.isStreaming:
         raise ValueError("the best level needs the distinct keys of a finite table")
-    keyed, sides, _ = _keyed_pairs(pairs, gaz, country)
     keys = [key for side in sides for key in side.keys(gaz)]
     distinct = staged(keyed.select(keys).distinct(), "pair-keys")
     scored = _best_scored(_attach(distinct, gaz, sides, strict_state), gaz)
@@ -219,12 +222,20 @@ def match_levels(
     )
 
 
+# Suffixes of the columns made while scoring, chosen not to meet columns of the pair table.
+_ONE, _TWO = "__wayfold_1", "__wayfold_2"
+
+
 def _several() -> Column:
-    return (F.col("n_1") > 1) | (F.col("n_2") > 1)
+    return (F.col(f"n{_ONE}") > 1) | (F.col(f"n{_TWO}") > 1)
 
 
 def _unmatched() -> Column:
-    return (F.col("n_1") == 0) | (F.col("n_2") == 0)
+    return (F.col(f"n{_ONE}") == 0) | (F.col(f"n{_TWO}") == 0)
+
+
+def _first_level() -> Column:
+    return common_ancestor_level(F.col(f"first{_ONE}"), F.col(f"first{_TWO}"))
 
 
 def _scored(resolved: DataFrame, level: Column) -> DataFrame:
@@ -254,10 +265,9 @@ def _best_scored(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
             parts.insert(0, F.col(f"_country{suffix}").alias("country"))
         return F.to_json(F.struct(*parts))
 
-    one, two = key("_1"), key("_2")
-    swap = (F.col("n_1") > F.col("n_2")) | (
-        (F.col("n_1") == F.col("n_2")) & (one > two)
-    )
+    one, two = key(_ONE), key(_TWO)
+    n_one, n_two = F.col(f"n{_ONE}"), F.col(f"n{_TWO}")
+    swap = (n_one > n_two) | ((n_one == n_two) & (one > two))
     wanted = _several() & ~_unmatched()
     resolved = staged(
         resolved.withColumns(
@@ -273,15 +283,13 @@ def _best_scored(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
         .select(
             F.col("_few").alias("few"),
             F.col("_many").alias("many"),
-            (F.col("n_1") * F.col("n_2")).alias("combinations"),
+            (n_one * n_two).alias("combinations"),
         )
         .distinct()
     )
     best = best_levels(staged(key_pairs, "key-pairs"), gaz)
     table = Lookup.stage(best, ["few", "many"], "best-levels")
-    level = F.coalesce(
-        "_best", common_ancestor_level(F.col("first_1"), F.col("first_2"))
-    )
+    level = F.coalesce("_best", _first_level())
     return _scored(lookup_join(resolved, table, ["_few", "_many"]), level)
 
 
