@@ -268,8 +268,8 @@ class Direct:
         return self.shared(left[0], right[0]), flag
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_trees_follow_the_rules(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed", [1])
+def test_random_trees_follow_the_rules(spark, seed):
     rng = random.Random(seed)
     rows = random_tree(rng, 60)
     direct = Direct(rows)

@@ -14,6 +14,14 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Run here as in production; the other tests skip code generation to start faster."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture(scope="module")
 def con():
     return database(FOLDER)
