@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.plans.scratch import staged
+from wayfold.operators.joins import Lookup, lookup_join
 
 # Groups below this size are sorted whole.
 SMALL_GROUP = 10000
@@ -49,13 +49,16 @@ def exact_percentiles(
             for i, (name, q) in enumerate(levels.items())
         ]
     )
-    # One row per group; NULL groups count as a group.
-    wanted = staged(
-        sketch.select("group", brackets.alias("brackets")), "percentile-brackets"
+    # One row per group. NULL is a group too, so the join key is a text that is never NULL.
+    key = F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit(""))
+    wanted = Lookup.stage(
+        sketch.select(key.alias("key"), brackets.alias("brackets")),
+        ["key"],
+        "percentile-brackets",
     )
     placed = (
-        rows.join(wanted, rows["group"].eqNullSafe(wanted["group"]))
-        .select(wanted["group"], "value", F.explode("brackets").alias("b"))
+        lookup_join(rows.withColumn("key", key), wanted, ["key"], "inner")
+        .select("group", "value", F.explode("brackets").alias("b"))
         .where(F.col("value") <= F.col("b.high"))
         .groupBy(
             "group",

@@ -179,8 +179,9 @@ def latest_feedback(feedback: DataFrame) -> DataFrame:
 
 def apply_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
     """Logs with their last accepted feedback; replaces an update in place."""
-    bare = logs.drop("user_feedback", "user_clicked_product")
-    return bare.join(latest_feedback(feedback), ["timestamp", "session_id"], "left")
+    key = ["timestamp", "session_id"]
+    last = Lookup.stage(latest_feedback(feedback), key, "latest-feedback")
+    return lookup_join(logs.drop("user_feedback", "user_clicked_product"), last, key)
 
 
 def feedback_summary(rated: DataFrame, by: str) -> DataFrame:
