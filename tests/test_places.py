@@ -158,6 +158,12 @@ def test_absent_state_columns_and_other_columns(spark, mini):
         ] * 2
 
 
+def test_any_column_can_hold_the_names(spark, mini):
+    df = spark.createDataFrame([("Valadares", "PORTO", 3)], "`Place Name` string, `1st` string, x int")
+    row = M.resolve(df, mini, "Place Name", "1st").first()
+    assert (row["n"], row["first"]["id"], row["x"]) == (1, 7, 3)
+
+
 def test_typos_are_corrected_wherever_they_are(spark, mini):
     rows = [
         (0, "xaladares", "viseu"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +24,8 @@ PAIR_COLUMNS = ("city_1", "state_1", "city_2", "state_2")
 
 def name_key(col: str) -> Column:
     """Folded name, NULL when the raw value is blank so that it can match nothing."""
-    folded = normalize_name(col)
+    plain = re.fullmatch(r"[A-Za-z_][\w.]*", col)
+    folded = normalize_name(col if plain else "`" + col.replace("`", "``") + "`")
     return F.when(folded != "", folded).when(~is_empty(col), "")
 
 
