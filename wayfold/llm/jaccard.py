@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import connected_components
-from wayfold.llm.tables import discard, partitions, slices, stored
+from wayfold.llm.tables import discard, partitions, release, slices, stored
 from wayfold.operators.joins import Lookup, lookup_join
 
 SHINGLE = 5
@@ -169,7 +169,7 @@ def _common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
-    """Id, ``n`` shingles, ``node`` and ``check`` (two hashes of the set), ``prefix`` and ``bands``.
+    """Id, ``n`` shingles, ``node`` and ``check`` (two hashes of the set), ``prefix``, ``bands``, ``bits``.
 
     Stored. ``node`` is null for documents without words.
     """
@@ -178,7 +178,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, nodes, checks, prefixes, keys = [], [], [], [], []
+            sizes, nodes, checks, prefixes, keys, maps = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text)
                 sizes.append(len(tokens))
@@ -186,6 +186,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> Da
                 checks.append(node_of(tokens, seed + 1))
                 prefixes.append(_signed(prefix(tokens, *common.value)))
                 keys.append(_signed(bands(tokens)))
+                maps.append(bitmap(tokens).tobytes())
             arrays = [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
@@ -193,12 +194,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> Da
                 pa.array(checks, pa.int64()),
                 pa.array(prefixes, pa.list_(pa.int64())),
                 pa.array(keys, pa.list_(pa.int64())),
+                pa.array(maps, pa.binary()),
             ]
-            names = [id_col, "n", "node", "check", "prefix", "bands"]
+            names = [id_col, "n", "node", "check", "prefix", "bands", "bits"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = (
-        f"`{id_col}` {id_type}, n long, node long, check long, prefix array<long>, bands array<long>"
+        f"`{id_col}` {id_type}, n long, node long, check long, prefix array<long>, "
+        "bands array<long>, bits binary"
     )
     return stored(docs.select(id_col, text_col).mapInArrow(run, schema), "signatures")
 
@@ -241,7 +244,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     links = _pivot_links(docs, members, nodes, id_col, text_col, seed)
     united = Lookup.stage(connected_components(links), ["node"], "llm-united")
-    pairs = _tree_pairs(docs, members, nodes, united, id_col, text_col, seed)
+    release(spark)
+    pairs = _tree_pairs(members, nodes, united, id_col)
+    release(spark)
     more = verify(docs, pairs, nodes, id_col, text_col, seed)
     whole = united.df.toDF("a", "b").union(more)
     final = connected_components(whole)
@@ -332,7 +337,7 @@ def verify(
 ) -> DataFrame:
     """The pairs (``a``, ``b``) of stored candidate pairs whose whole sets reach the threshold, stored."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    texts = stored(_texts(docs, wanted, nodes, id_col, text_col, seed), "texts")
+    texts = _texts(docs, wanted, nodes, id_col, text_col, seed)
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,14 +347,12 @@ def verify(
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     checked = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-    links = stored(checked, "verified")
-    discard(docs.sparkSession, texts)
-    return links
+    return stored(checked, "verified")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bits of a set, of a power-of-two width of at least two bits a shingle."""
-    bits = max(LEAST_BITS, 1 << int(2 * len(tokens) - 1).bit_length())
+    """Bits of a set, of a power-of-two width of more than one bit a shingle."""
+    bits = max(LEAST_BITS, 1 << (2 * len(tokens)).bit_length() - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
@@ -476,45 +479,34 @@ def dual_traversal(
             yield a.start + i, b.start + j
 
 
-def _tree_pairs(
-    docs: DataFrame,
-    members: DataFrame,
-    nodes: Lookup,
-    united: Lookup,
-    id_col: str,
-    text_col: str,
-    seed: int,
-) -> DataFrame:
+def _tree_pairs(members: DataFrame, nodes: Lookup, united: Lookup, id_col: str) -> DataFrame:
     """Candidate pairs of different components, from the trees of all roots. Stored."""
-    spark = docs.sparkSession
+    spark = members.sparkSession
     known = lookup_join(_representatives(members, nodes, id_col), united, ["node"]).select(
         "node", F.coalesce("component", "node").alias("component"), "prefix"
     )
     rows = known.select("node", "component", F.explode("prefix").alias("token"))
-    # Roots whose documents are in several components; a minimum and a maximum for each, taken before the shuffle.
+    # Roots with several components; a minimum and a maximum for each, taken before the shuffle.
     several = (
         rows.groupBy("token")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
         .select("token")
     )
-    crossing = stored(
-        rows.join(several, "token", "left_semi").dropDuplicates(["token", "node"]), "crossing"
+    several = Lookup.stage(several, ["token"], "llm-roots")
+    crossing = lookup_join(rows, several, ["token"], "inner")
+    crossing = stored(crossing.dropDuplicates(["token", "node"]), "crossing")
+    # Shingles of one passage are roots over the same documents: one of them will do.
+    alike = crossing.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit("two"), F.col("node"))).alias("two"),
     )
-    texts = _texts(docs, crossing.select("node"), nodes, id_col, text_col, seed)
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            arrays = [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "bits"])
-
-    drawn = stored(texts.mapInArrow(draw, "node long, n long, bits binary"), "bitmaps")
-    placed = _blocks(crossing).join(drawn, "node")
+    roots = alike.groupBy("c", "one", "two").agg(F.min("token").alias("token")).select("token")
+    chosen = stored(crossing.join(roots, "token", "left_semi"), "roots")
+    drawn = _representatives(members, nodes, id_col).select("node", "n", "bits")
+    drawn = drawn.join(chosen.select("node").distinct(), "node", "left_semi")
+    placed = _blocks(chosen).join(drawn.dropDuplicates(["node"]), "node")
     spread = placed.repartition(partitions(spark), "token", "task").sortWithinPartitions(
         "token", "task", "n", "node"
     )

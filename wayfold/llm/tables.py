@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -41,6 +42,12 @@ def discard(spark: SparkSession, frame: DataFrame) -> None:
         system.delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps; Spark drops them when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into short ones."""
     for batch in batches:
