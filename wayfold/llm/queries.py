@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, jaccard, langid, packing, quality, secrets
+from wayfold.llm import bpe, covertree, jaccard, langid, lines, packing, quality, secrets
 from wayfold.llm.tables import held_out, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, whether it stays, and the line that stays for it."""
+    return lines.mark(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every token piece in a packed sequence."""
