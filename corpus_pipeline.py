@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, jaccard, langid, packing, secrets
+from wayfold.llm import bpe, jaccard, langid, lines, packing, secrets
 from wayfold.llm.tables import ship, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,6 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that stand elsewhere already; a document left without any text goes."""
+    ship(spark)
+    cleaned = lines.drop_repeats(docs.select(*COLUMNS))
+    cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.where((F.trim("text") != "") | F.col("doc_id").isNull())
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near copies; all rows with a null id stay."""
     ship(spark)
@@ -52,6 +60,7 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup),
     ("jaccard_join", jaccard_join),
     ("secret_scan", secret_scan),
     ("packing", pack_tokens),
