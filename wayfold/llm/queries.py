@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe, covertree, jaccard, langid, lines, packing, quality, secrets
+from wayfold.llm import ann, bpe, covertree, jaccard, langid, lines, packing, quality, secrets, warc
 from wayfold.llm.tables import held_out, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,114 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model)
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures derived from ``pages``: up to two full responses of each page and revisits after them.
+
+    Validators differ by page: entity tags strong, weak, outdated or missing, modification times.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    changed = F.concat(F.lit('"'), F.md5(F.concat("html", F.lit("2"))), F.lit('"'))
+    has_second = F.col("page_id") % 3 == 0
+    start = F.col("page_id") * 10
+
+    def capture(number: int, status: int, etag, modified, extra: dict[str, object]):
+        at = start + number * 3
+        names = {"Date": at.cast("string"), "ETag": etag, "Last-Modified": modified, **extra}
+        headers = F.create_map(*[x for n, v in names.items() for x in (F.lit(n), v)])
+        return F.struct(
+            (F.col("page_id") * 5 + number).alias("record_id"),
+            at.alias("captured_at"),
+            F.lit(status).alias("status"),
+            F.map_filter(headers, lambda _, v: v.isNotNull()).alias("headers"),
+        )
+
+    none = F.lit(None).cast("string")
+    length = F.length("html").cast("string")
+    page = {"Content-Type": F.lit("text/html"), "Content-Length": length}
+    cache = {"Cache-Control": F.lit("max-age=60"), "Content-Length": F.lit("0")}
+    first_etag = (
+        F.when(F.col("page_id") % 5 == 0, F.lit('"old"')).when(F.col("page_id") % 4 == 1, none).otherwise(tag)
+    )
+    times = F.when(F.col("page_id") % 8 != 1, start.cast("string"))
+    rows = F.filter(
+        F.array(
+            capture(0, 200, tag, start.cast("string"), page),
+            capture(1, 304, first_etag, times, cache),
+            F.when(has_second, capture(2, 200, changed, (start + 6).cast("string"), page)),
+            capture(3, 304, F.concat(F.lit("W/"), F.when(has_second, changed).otherwise(tag)), none, {}),
+        ),
+        lambda c: c.isNotNull(),
+    )
+    return table(spark, sf_dir, "pages").select("url", F.explode(rows).alias("c")).select("url", "c.*")
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response each revisit stands for, with its merged headers as sorted lines."""
+    found = warc.resolve_revisits(captures(spark, sf_dir))
+    lines_of = F.array_sort(
+        F.transform(F.map_entries("headers"), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    )
+    return found.select(
+        "record_id", "url_key", "base_id", "verdict", F.array_join(lines_of, "\n").alias("headers")
+    )
+
+
+ORACLE_SQL["op2_warc"] = """
+WITH bare AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
+  FROM pages),
+parts AS (
+  SELECT page_id, html,
+         regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[.]', '') AS host,
+         regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(lower(string_split(p, '=')[1]),
+                                                     '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)$'))), '&') AS query
+  FROM bare),
+keyed AS (
+  SELECT page_id, length(html) AS n, '"' || md5(html) || '"' AS tag, '"' || md5(html || '2') || '"' AS changed,
+         host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' END || query AS url_key
+  FROM parts),
+full_ AS (
+  SELECT page_id * 5 AS id, url_key, page_id * 10 AS moment, tag AS etag, n FROM keyed
+  UNION ALL
+  SELECT page_id * 5 + 2, url_key, page_id * 10 + 6, changed, n FROM keyed WHERE page_id % 3 = 0),
+revisit AS (
+  SELECT page_id * 5 + 1 AS id, url_key, page_id * 10 + 3 AS moment,
+         CASE WHEN page_id % 5 = 0 THEN '"old"' WHEN page_id % 4 = 1 THEN NULL ELSE tag END AS etag,
+         CASE WHEN page_id % 8 <> 1 THEN (page_id * 10)::VARCHAR END AS modified, 'max-age=60' AS cache FROM keyed
+  UNION ALL
+  SELECT page_id * 5 + 3, url_key, page_id * 10 + 9,
+         'W/' || CASE WHEN page_id % 3 = 0 THEN changed ELSE tag END, NULL, NULL FROM keyed),
+found AS (
+  SELECT r.*, f.id AS base_id, f.etag AS base_etag, f.moment AS base_at, f.n AS base_n
+  FROM revisit r LEFT JOIN (
+    SELECT r2.id AS rid, max_by(f2.id, (f2.moment, f2.id)) AS fid
+    FROM revisit r2 JOIN full_ f2 ON f2.url_key = r2.url_key AND f2.moment < r2.moment GROUP BY 1) b ON b.rid = r.id
+  LEFT JOIN full_ f ON f.id = b.fid),
+judged AS (
+  SELECT *, CASE WHEN base_id IS NULL THEN 'no_response'
+    WHEN etag IS NOT NULL THEN CASE WHEN base_etag = regexp_replace(etag, '^W/', '') THEN 'resolved' ELSE 'changed' END
+    WHEN modified IS NOT NULL THEN CASE WHEN base_at::VARCHAR = modified THEN 'resolved' ELSE 'changed' END
+    ELSE 'no_validator' END AS verdict
+  FROM found)
+SELECT id AS record_id, url_key, base_id, verdict,
+       CASE WHEN verdict = 'resolved' THEN array_to_string(list_sort(list_filter([
+         'content-length: ' || base_n, 'content-type: text/html', 'cache-control: ' || cache, 'date: ' || moment,
+         'etag: ' || coalesce(etag, base_etag), 'last-modified: ' || coalesce(modified, base_at::VARCHAR)],
+         lambda x: x IS NOT NULL)), chr(10)) END AS headers
+FROM judged
+"""
+
+
+@query
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
+
+
 @query
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets reach the similarity."""
