@@ -351,8 +351,8 @@ def verify(
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Bits of a set, of a power-of-two width of more than one bit a shingle."""
-    bits = max(LEAST_BITS, 1 << (2 * len(tokens)).bit_length() - 1)
+    """Bits of a set, of a power-of-two width of more than four bits a shingle."""
+    bits = max(LEAST_BITS, 1 << (8 * len(tokens)).bit_length() - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
@@ -504,6 +504,9 @@ def _tree_pairs(members: DataFrame, nodes: Lookup, united: Lookup, id_col: str)
     )
     roots = alike.groupBy("c", "one", "two").agg(F.min("token").alias("token")).select("token")
     chosen = stored(crossing.join(roots, "token", "left_semi"), "roots")
+    del rows, several, alike, roots
+    discard(spark, crossing)
+    release(spark)
     drawn = _representatives(members, nodes, id_col).select("node", "n", "bits")
     drawn = drawn.join(chosen.select("node").distinct(), "node", "left_semi")
     placed = _blocks(chosen).join(drawn.dropDuplicates(["node"]), "node")
