@@ -352,7 +352,7 @@ def verify(
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """Bits of a set, of a power-of-two width of more than four bits a shingle."""
-    bits = max(LEAST_BITS, 1 << (8 * len(tokens)).bit_length() - 1)
+    bits = max(LEAST_BITS, 1 << (8 * max(1, len(tokens))).bit_length() - 1)
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)

@@ -8,13 +8,13 @@ the few it keeps become one native expression over the statistics of a text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,13 +181,17 @@ def fit(
         rows.select("_label", "_check", *[t.alias(n) for t, n in zip(terms, names)])
     )
     design = design.select("_label", "_check", "_terms").persist()
-    penalty = _best_penalty(design)
-    model = _lasso(penalty).fit(design)
+
+    def weigh(penalty: float, part: DataFrame) -> RuleModel:
+        fitted = _lasso(penalty).fit(part)
+        weights = fitted.coefficients.toArray().tolist()
+        kept = [(r, w) for r, w in zip(rules, weights) if w]
+        linear = [(i, *bounds[i], w) for i, w in enumerate(weights[len(rules) :]) if w]
+        return RuleModel(float(fitted.intercept), tuple(kept), tuple(linear))
+
+    model = weigh(_best_penalty(design, rows, weigh), design)
     design.unpersist()
-    weights = model.coefficients.toArray().tolist()
-    kept = [(r, w) for r, w in zip(rules, weights) if w]
-    linear = [(i, *bounds[i], w) for i, w in enumerate(weights[len(rules) :]) if w]
-    return RuleModel(float(model.intercept), tuple(kept), tuple(linear))
+    return model
 
 
 def _logit(rate: float) -> float:
@@ -204,19 +208,20 @@ def _lasso(penalty: float) -> LogisticRegression:
     )
 
 
-def _best_penalty(design: DataFrame) -> float:
+def _best_penalty(
+    design: DataFrame, rows: DataFrame, weigh: Callable[[float, DataFrame], RuleModel]
+) -> float:
     """The penalty with the smallest log loss on the rows set aside; the largest if there are too few."""
-    kinds = {r["_check"]: r["n"] for r in design.groupBy("_check").agg(
-        F.countDistinct("_label").alias("n")).collect()}
+    labels = design.groupBy("_check").agg(F.countDistinct("_label").alias("n"))
+    kinds = {r["_check"]: r["n"] for r in labels.collect()}
     if kinds.get(True) != 2 or kinds.get(False) != 2:
         return PENALTIES[-1]
     losses = {}
     for penalty in PENALTIES:
-        model = _lasso(penalty).fit(design.where(~F.col("_check")))
-        chance = vector_to_array("probability")[F.col("_label").cast("int")]
-        loss = -F.avg(F.log(F.greatest(chance, F.lit(1e-9))))
-        scored = model.transform(design.where("_check"))
-        losses[penalty] = scored.agg(loss.alias("loss")).first()["loss"]
+        chance = weigh(penalty, design.where(~F.col("_check"))).score()
+        right = F.when(F.col("_label") == 1, chance).otherwise(1 - chance)
+        loss = -F.avg(F.log(F.greatest(right, F.lit(1e-9))))
+        losses[penalty] = rows.where("_check").agg(loss.alias("loss")).first()["loss"]
     return min(losses, key=losses.__getitem__)
 
 
