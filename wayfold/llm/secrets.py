@@ -42,9 +42,9 @@ LEAST_STRINGS = 5
 # Confidence of the compatibility test.
 ALPHA = 0.05
 # An added span is at least this much likelier per character than as an ordinary token, in nats, and
-# in no worse a format than all but this share of its kind's own credentials.
+# at most so much less likely than all but this share of its kind's own credentials.
 ADVANTAGE = 0.4
-TAIL = 0.02
+TAIL, ROOM = 0.02, 0.2
 
 # Character classes and the number of characters in each.
 _CLASSES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
@@ -276,10 +276,11 @@ def infer_grammar(by_kind: dict[str, list[str]]) -> Grammar:
         if kind != ORDINARY and len(strings) >= LEAST_STRINGS:
             automaton = Automaton.infer(strings)
             own = sorted(map(automaton.likelihood, strings))
-            kinds[kind] = (automaton, own[int(TAIL * len(own))])
+            kinds[kind] = (automaton, own[int(TAIL * len(own))] - ROOM)
     ordinary = by_kind.get(ORDINARY, [])
-    # Without ordinary tokens all characters are equally likely.
-    return Grammar(kinds, Automaton.infer(ordinary) if ordinary else _uniform())
+    # With too few ordinary tokens all characters are equally likely.
+    enough = len(ordinary) >= LEAST_STRINGS
+    return Grammar(kinds, Automaton.infer(ordinary) if enough else _uniform())
 
 
 def _uniform() -> Automaton:
@@ -339,7 +340,7 @@ def scan(
 def redact(docs: DataFrame, grammar: Grammar, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans by one mark. Null stays null."""
     shipped = docs.sparkSession.sparkContext.broadcast(grammar)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:
         if not text:
@@ -356,6 +357,6 @@ def redact(docs: DataFrame, grammar: Grammar, text_col: str = "text", mark: str
             texts = [clean(t) for t in batch.column(at).to_pylist()]
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.mapInArrow(run, docs.schema)
