@@ -39,7 +39,7 @@ def test_every_way_of_joining_gives_the_same(skewed, table, how, monkeypatch):
 def test_hot_keys_are_found(skewed):
     (found,) = J.hot_keys(skewed, [["k"]])
     hot = skewed.where("k = 'hot'").select(J.key_hash(["k"])).first()[0]
-    keys = {r["_key"] for r in found.collect()}
+    keys = {r["_wf_key"] for r in found.collect()}
     assert hot in keys and len(keys) <= J.HOT_KEYS
 
 
@@ -76,3 +76,11 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scratch.scratch_root(Session)
+
+
+def test_user_columns_with_short_internal_names_survive(spark):
+    left = spark.createDataFrame([(1, "a", 2, True)], "k int, _key string, _salt int, _hot boolean")
+    right = spark.createDataFrame([(1, 9)], "k int, w int")
+    found = J.spread_join(left, right, ["k"])
+    assert found.columns == ["k", "_key", "_salt", "_hot", "w"]
+    assert [tuple(r) for r in found.collect()] == [(1, "a", 2, True, 9)]

@@ -177,3 +177,14 @@ def test_pairs_are_matched_in_a_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert [tuple(r)[-2:] for r in spark.table("matched").collect()] == [(6, 0)]
+
+
+def test_equal_times_have_a_fixed_order(spark):
+    from wayfold.operators.querylog import latest_feedback, latest_logs
+
+    logs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c")], "timestamp long, session_id string")
+    assert [r["session_id"] for r in latest_logs(logs, 2).collect()] == ["a", "b"]
+    ratings = [(1, "s", 2, 7, 5), (1, "s", 4, 3, 5), (1, "s", 3, 9, 4)]
+    schema = "timestamp long, session_id string, rating int, product_id long, rated_at long"
+    last = latest_feedback(spark.createDataFrame(ratings, schema)).first()
+    assert (last["user_feedback"], last["user_clicked_product"]) == (4, 3)

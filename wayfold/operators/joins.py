@@ -91,23 +91,23 @@ def spread_join(
     own_salt = F.pmod(row_hash(left), F.lit(salts)).cast("int")
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted = (
-        left.withColumn("_key", key_hash(on))
-        .join(hot, "_key", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), own_salt).otherwise(0))
-        .drop("_key", "_hot")
+        left.withColumn("_wf_key", key_hash(on))
+        .join(hot, "_wf_key", "left")
+        .withColumn("_wf_salt", F.when(F.col("_wf_hot"), own_salt).otherwise(0))
+        .drop("_wf_key", "_wf_hot")
     )
     repeated = (
-        right.withColumn("_key", key_hash(on))
-        .join(hot, "_key", "left")
+        right.withColumn("_wf_key", key_hash(on))
+        .join(hot, "_wf_key", "left")
         .withColumn(
-            "_salt",
+            "_wf_salt",
             F.explode(
-                F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))
+                F.when(F.col("_wf_hot"), every_salt).otherwise(F.array(F.lit(0)))
             ),
         )
-        .drop("_key", "_hot")
+        .drop("_wf_key", "_wf_hot")
     )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [*on, "_wf_salt"], how).drop("_wf_salt")
 
 
 def hot_keys(df: DataFrame, groups: list[list[str]]) -> list[DataFrame]:
@@ -123,7 +123,7 @@ def hot_keys(df: DataFrame, groups: list[list[str]]) -> list[DataFrame]:
         return F.transform(
             top,
             lambda t: F.struct(
-                F.lit(name).alias("name"), t["item"].alias("_key"), t["count"].alias("c")
+                F.lit(name).alias("name"), t["item"].alias("_wf_key"), t["count"].alias("c")
             ),
         ).alias(name)
 
@@ -132,10 +132,10 @@ def hot_keys(df: DataFrame, groups: list[list[str]]) -> list[DataFrame]:
         .agg(F.count(F.lit(1)).alias("n"), *[sketch(n) for n in names])
         .select("n", F.explode(F.concat(*names)).alias("t"))
         .where(F.col("t.c") >= F.col("n") * HOT_SHARE)
-        .select("t.name", "t._key", F.lit(True).alias("_hot")),
+        .select("t.name", "t._wf_key", F.lit(True).alias("_wf_hot")),
         "hot-keys",
     )
-    return [found.where(F.col("name") == n).select("_key", "_hot") for n in names]
+    return [found.where(F.col("name") == n).select("_wf_key", "_wf_hot") for n in names]
 
 
 def key_hash(on: list[str]) -> Column:

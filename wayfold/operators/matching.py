@@ -88,24 +88,24 @@ class _Side:
 
     def keys(self, gaz: Gazetteer) -> list[str]:
         """City, state marker and, for a gazetteer of several countries, the country."""
-        keys = [f"_city{self.suffix}", f"_state{self.suffix}"]
-        return [f"_country{self.suffix}", *keys] if gaz.has_country else keys
+        keys = [f"_wf_city{self.suffix}", f"_wf_state{self.suffix}"]
+        return [f"_wf_country{self.suffix}", *keys] if gaz.has_country else keys
 
 
 def _with_keys(df: DataFrame, gaz: Gazetteer, sides: list[_Side]) -> DataFrame:
     keys = {}
     for side in sides:
-        keys[f"_city{side.suffix}"] = name_key(side.city)
-        keys[f"_state{side.suffix}"] = name_key(side.state)
+        keys[f"_wf_city{side.suffix}"] = name_key(side.city)
+        keys[f"_wf_state{side.suffix}"] = name_key(side.state)
         if gaz.has_country:
             if side.country is None:
                 raise ValueError("this gazetteer needs a country column")
-            keys[f"_country{side.suffix}"] = name_key(side.country)
+            keys[f"_wf_country{side.suffix}"] = name_key(side.country)
     return df.withColumns(keys)
 
 
 def _drop_keys(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(("_city", "_state", "_country"))])
+    return df.drop(*[c for c in df.columns if c.startswith(("_wf_city", "_wf_state", "_wf_country"))])
 
 
 def _attach(
@@ -131,14 +131,14 @@ def _attach(
             for s in sides
         ],
     )
-    keys = staged(keys.where(F.col("_city").isNotNull()).distinct(), "place-keys")
+    keys = staged(keys.where(F.col("_wf_city").isNotNull()).distinct(), "place-keys")
     matched = _probe(keys, gaz, plain, strict_state).withColumn(
-        "_state", F.coalesce("_state", F.lit(_NO_NAME))
+        "_wf_state", F.coalesce("_wf_state", F.lit(_NO_NAME))
     )
     table = Lookup.stage(matched, plain.keys(gaz), "matched-keys")
     marked = keyed.withColumns(
         {
-            f"_state{s.suffix}": F.coalesce(f"_state{s.suffix}", F.lit(_NO_NAME))
+            f"_wf_state{s.suffix}": F.coalesce(f"_wf_state{s.suffix}", F.lit(_NO_NAME))
             for s in sides
         }
     )
@@ -264,7 +264,7 @@ def _best_scored(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
             F.col(f"matched_state{suffix}").alias("state"),
         ]
         if gaz.has_country:
-            parts.insert(0, F.col(f"_country{suffix}").alias("country"))
+            parts.insert(0, F.col(f"_wf_country{suffix}").alias("country"))
         return F.to_json(F.struct(*parts))
 
     one, two = key(_ONE), key(_TWO)
@@ -416,7 +416,7 @@ def resolve_fuzzy(
     keyed = _with_keys(df, gaz, [_Side(city, state, None, "")])
     known = gaz.by_city.df.select("name")
     unknown = (
-        keyed.select(F.col("_city").alias("name"))
+        keyed.select(F.col("_wf_city").alias("name"))
         .where(F.col("name").isNotNull())
         .distinct()
         .join(known, "name", "left_anti")
@@ -424,8 +424,8 @@ def resolve_fuzzy(
     fixes = Lookup.stage(
         nearest_names(unknown, known, max_distance), ["name"], "name-fixes"
     )
-    fixed = lookup_join(keyed, fixes, ["_city"])
-    fixed = fixed.withColumn("_city", F.coalesce("nearest", "_city"))
+    fixed = lookup_join(keyed, fixes, ["_wf_city"])
+    fixed = fixed.withColumn("_wf_city", F.coalesce("nearest", "_wf_city"))
     resolved = _attach(fixed, gaz, [_Side(city, state, None, "")], False)
     return _drop_keys(resolved).withColumnRenamed("nearest", "corrected_city")
 

@@ -159,15 +159,18 @@ def rate_limit_breaches(
 
 
 def latest_logs(logs: DataFrame, limit: int = 10) -> DataFrame:
-    return logs.orderBy(F.col("timestamp").desc()).limit(limit)
+    """The newest logs; those of one time by session, then by what else they hold."""
+    ties = [c for c, kind in logs.dtypes if c != "timestamp" and not kind.startswith("map")]
+    ties.sort(key=lambda c: c != "session_id")
+    return logs.orderBy(F.col("timestamp").desc(), *ties).limit(limit)
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """The last accepted rating per ``(timestamp, session_id)``."""
+    """The last accepted rating per ``(timestamp, session_id)``, of equally late ones the highest."""
     return (
         feedback.where(rating_ok())
         .groupBy("timestamp", "session_id")
-        .agg(F.max_by(F.struct("rating", "product_id"), "rated_at").alias("last"))
+        .agg(F.max(F.struct("rated_at", "rating", "product_id")).alias("last"))
         .select(
             "timestamp",
             "session_id",
