@@ -423,6 +423,10 @@ ORACLE_SQL = {
                store_b::DOUBLE AS store_b, store_c::DOUBLE AS store_c, type, category, franchise,
                min_age::DOUBLE AS min_age
         FROM raw_products""",
+    "catalog_extra_keys": f"""WITH {PRODUCTS}
+        SELECT name, times_sold::DOUBLE AS times_sold,
+               CASE WHEN source_key % 2 = 1 THEN source_key::VARCHAR END AS part_key
+        FROM raw_products""",
     "catalog_published": f"""WITH {PRODUCTS}, {EDGES},
         alone AS (SELECT min(product_id) AS product_id FROM basket GROUP BY l_orderkey
                   HAVING count(*) = 1)
@@ -512,6 +516,14 @@ ORACLE_SQL = {
           FROM (SELECT DISTINCT mentioned AS term FROM requests)
           JOIN products ON contains(lower(name), lower(term)))
         SELECT term, rank::INT AS rank, product_id FROM found WHERE rank <= 5""",
+    "product_fuzzy_batch_wildcard": f"""WITH {PRODUCTS}, {REQUESTS},
+        found AS (
+          SELECT term, product_id, row_number() OVER (
+                   PARTITION BY term ORDER BY popularity_global DESC, product_id) AS rank
+          FROM (SELECT DISTINCT mentioned[:2] || '%' || mentioned[-1:] || '_' AS term FROM requests
+                WHERE mentioned IS NOT NULL)
+          JOIN products ON lower(name) LIKE '%' || lower(term) || '%')
+        SELECT term, rank::INT AS rank, product_id FROM found WHERE rank <= 5""",
     "batch_search": f"""WITH {PRODUCTS}, {REQUESTS}, {SEARCHED}
         SELECT request_id, rank::INT AS rank, {SEARCH_COLUMNS} FROM searched WHERE rank <= 5""",
     "request_messages": f"""WITH {REQUESTS}

@@ -102,7 +102,44 @@ def test_matrix_to_edges(spark, tmp_path):
     both = {(r[0], r[1]): r[2] for r in G.undirected_edges(cells).collect()}
     assert both == {("a", "b"): 4, ("b", "c"): 3}
     upper = {(r[0], r[1]): r[2] for r in G.undirected_edges(cells, "upper").collect()}
-    assert upper == {("a", "b"): 2}
+    assert upper == {("a", "b"): 2, ("b", "c"): 3}
+
+
+def test_upper_triangle_of_unsorted_labels(spark, tmp_path):
+    path = tmp_path / "matrix.csv"
+    path.write_text("product,Zelda,Ari,Mo\nZelda,1,5,\nAri,,2,4\nMo,,,3\n")
+    cells = G.matrix_to_long(read_matrix(spark, str(path)))
+    expected = {("Ari", "Zelda"): 5, ("Ari", "Mo"): 4}
+    for matrix in ("upper", "both"):
+        assert {(r[0], r[1]): r[2] for r in G.undirected_edges(cells, matrix).collect()} == expected
+
+
+def test_all_keys_of_a_document_are_columns(spark, tmp_path):
+    path = tmp_path / "items.json"
+    document = {
+        "Games": [
+            {"name": "x", "Esrb Rating": "E", "times_sold": "12", "tags": ["a", "b"]},
+            {"name": "y", "players": 4, "min_age": "3+", "online": True},
+            None,
+        ]
+    }
+    path.write_text(json.dumps(document))
+    rows = {r["name"]: r.asDict() for r in read_catalog_json(spark, str(path)).collect()}
+    assert set(rows) == {"x", "y"}
+    assert (rows["x"]["times_sold"], rows["x"]["esrb_rating"], rows["x"]["tags"]) == (12.0, "E", '["a","b"]')
+    assert (rows["y"]["players"], rows["y"]["online"], rows["y"]["min_age"]) == ("4", "true", None)
+    assert rows["y"]["esrb_rating"] is None and rows["x"]["store_a"] is None
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"Games":[{"name":"x"},{"na', "[1]", '{"Games":[{"name":"x"}]', '{"Games":"x"}', '{"Games":[3]}'],
+)
+def test_unreadable_documents_are_errors(spark, tmp_path, text):
+    path = tmp_path / "items.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="unreadable"):
+        read_catalog_json(spark, str(path)).collect()
 
 
 @pytest.mark.parametrize("block", [1000, 4, 1])

@@ -101,18 +101,17 @@ def test_arguments_and_serialised_logs(spark):
     assert (out[0]["tools_called"], out[0]["tool_arguments"]) == ('["t"]', '{"t":"{}"}')
 
 
-@pytest.mark.parametrize("small", [10000, 100])
-def test_percentiles_are_exact(spark, small, monkeypatch):
-    monkeypatch.setattr(P, "SMALL_GROUP", small)
+def test_percentiles_are_exact(spark):
     rng = random.Random(1)
     groups = {
-        "big": [round(rng.expovariate(0.01), 1) for _ in range(6000)],
+        "big": [round(rng.expovariate(0.01), 1) for _ in range(12000)],
+        **{f"size {n}": [float(rng.randrange(10 * n)) for _ in range(n)] for n in (2, 3, 7, 99, 1001)},
         "equal": [3.0] * 5000,
         "few": [5.0, 1.0, 2.0, 9.0],
         "one": [4.0],
         None: [1.0, 2.0],
     }
-    rows = [(g, v) for g, values in groups.items() for v in values] + [("few", None)]
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("few", None), ("few", float("nan"))]
     levels = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r["g"]: r for r in P.exact_percentiles(df, "g", "v", levels).collect()}

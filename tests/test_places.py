@@ -338,3 +338,53 @@ def test_countries_are_looked_up_apart(spark, tmp_path):
         assert scores(result) == {0: (2, 0), 1: (6, 0), 2: (2, 0)}
     with pytest.raises(ValueError):
         M.match_levels(pairs, gaz)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"admin_level": 2, "children": {"a": {"admin_level": 4',
+        '{"admin_level": "four"}',
+        '{"admin_level": 2, "children": {"a": 7}}',
+        '{"admin_level": 2, "children": [1]}',
+        "no tree",
+    ],
+)
+def test_unreadable_trees_are_errors(spark, tmp_path, text):
+    path = tmp_path / "tree.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="unreadable"):
+        read_hierarchy_json(spark, str(path), "root").collect()
+
+
+def test_a_level_may_be_text(spark, tmp_path):
+    path = tmp_path / "tree.json"
+    path.write_text('{"admin_level": "2", "children": {"a": {"admin_level": 4.0, "children": null}}}')
+    rows = read_hierarchy_json(spark, str(path), "root").orderBy("id").collect()
+    assert [(r["name"], r["admin_level"]) for r in rows] == [("root", 2), ("a", 4)]
+
+
+NODES = "id long, parent_id long, position int, name string, admin_level int"
+
+
+def test_chains_of_any_depth(spark):
+    depth = 70
+    rows = [(i, i - 1 if i else None, 0, f"n{i}", i) for i in range(depth)]
+    tree = H.build_hierarchy(spark.createDataFrame(rows, NODES))
+    chains = {r["id"]: [a["id"] for a in r["ancestors"]] for r in tree.collect()}
+    assert chains == {i: list(range(i, -1, -1)) for i in range(depth)}
+    empty = H.build_hierarchy(spark.createDataFrame([], NODES))
+    assert empty.count() == 0 and empty.columns == tree.columns
+
+
+@pytest.mark.parametrize(
+    "rows, message",
+    [
+        ([(1, None, 0, "a", 2), (2, 9, 0, "b", 4)], "absent"),
+        ([(1, None, 0, "a", 2), (2, 4, 0, "b", 4), (3, 2, 0, "c", 6), (4, 3, 0, "d", 8)], "its own ancestor"),
+        ([(1, 1, 0, "a", 2)], "its own ancestor"),
+    ],
+)
+def test_broken_node_tables_are_errors(spark, rows, message):
+    with pytest.raises(Exception, match=message):
+        H.build_hierarchy(spark.createDataFrame(rows, NODES)).collect()

@@ -127,6 +127,29 @@ def test_names_that_contain_terms(spark, products, rows):
     assert R.product_fuzzy(products, "a_c", 10, literal=True).count() == 0
 
 
+def test_wildcards_work_for_many_terms_as_for_one(spark, products):
+    names = spark.createDataFrame(
+        [(1, "Mario Kart", 0.5), (2, "Super Mario", 0.9), (3, "50% off", 0.1), (4, "a_b\\\\c", 0.2), (5, "xy", 0.3)],
+        "product_id long, name string, popularity_global double",
+    )
+    for c in R.NEIGHBOR_COLUMNS:
+        if c not in names.columns:
+            names = names.withColumn(c, F.lit(None).cast("string"))
+    terms = ["M%o", "_ario", "mario", "%", "___", "0\\% O", "\\_B", "a%c", "zz%", "r_o k", "ma%o%t", ""]
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {}
+    for r in R.fuzzy_matches(asked, names, 4).orderBy("term", "rank").collect():
+        got.setdefault(r["term"], []).append(r["product_id"])
+    for term in terms:
+        single = [r["product_id"] for r in R.product_fuzzy(names, term, 4).collect()]
+        assert got.get(term, []) == single, term
+    assert got["M%o"] == [2, 1] and got["___"] == [2, 1, 4, 3]
+    lone = spark.createDataFrame([("b\\",), ("\\",), ("b\\c",)], "term string")
+    assert R.fuzzy_matches(lone, names, 4).count() == 2
+    plain = R.fuzzy_matches(asked, names, 4, literal=True).collect()
+    assert {r["term"] for r in plain} == {"mario", "%", ""}
+
+
 def make_edges(spark, rng, count):
     pairs = {}
     for _ in range(count):

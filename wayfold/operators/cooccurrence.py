@@ -32,20 +32,20 @@ def solo_sales(cells: DataFrame) -> DataFrame:
 def undirected_edges(cells: DataFrame, matrix: str = "both") -> DataFrame:
     """One row per unordered pair with positive count.
 
-    ``both`` adds the two triangles (a symmetric matrix counts twice); ``upper`` takes each pair
-    from the cell whose row label comes first.
+    ``both`` adds the two triangles (a symmetric matrix counts twice); ``upper`` takes the larger of
+    a pair's two cells, so that one filled triangle suffices whatever the order of the labels.
     """
     if matrix not in ("both", "upper"):
         raise ValueError(f"unknown matrix option {matrix!r}")
-    first, second = F.col("product_1"), F.col("product_2")
-    kept = cells.where((first < second) if matrix == "upper" else (first != second))
+    first, second, count = F.col("product_1"), F.col("product_2"), F.col("count")
+    one_way = [F.sum(F.when(side, count)) for side in (first < second, first > second)]
     return (
-        kept.where(F.col("count") > 0)
+        cells.where((first != second) & (count > 0))
         .groupBy(
             F.least(first, second).alias("product_1"),
             F.greatest(first, second).alias("product_2"),
         )
-        .agg(F.sum("count").alias("count"))
+        .agg((F.greatest(*one_way) if matrix == "upper" else F.sum(count)).alias("count"))
     )
 
 

@@ -10,46 +10,72 @@ A ``country`` column, when present, is carried along and separates the lookups.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_name
 from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.plans.scratch import staged_and_measured
 
-MAX_DEPTH = 64
-
 
 def _carried(df: DataFrame) -> list[str]:
     return [c for c in ("country",) if c in df.columns]
 
 
-def build_hierarchy(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Walk a node table from its roots down, one join per level of the tree.
+def build_hierarchy(nodes: DataFrame) -> DataFrame:
+    """Ancestor chains of a node table, by pointer doubling.
+
+    Every node holds a piece of its chain and points at the node above that piece; a round appends
+    the piece found there, so the pieces double and a tree of depth ``d`` takes ``log2(d)`` joins. Each
+    round is written out, so a lost executor costs one round and not the whole walk.
 
-    A node without a level is dropped together with everything below it. Each level is written
-    out, so a lost executor costs one level and not the whole walk.
+    A node without a level is dropped together with everything below it. A parent that is not in the
+    table and a node that is its own ancestor are errors.
     """
     own = F.struct(
-        F.col("id").cast("long").alias("id"),
-        F.col("name").alias("name"),
-        F.col("admin_level").cast("int").alias("level"),
+        F.col("id").alias("id"), F.col("name").alias("name"), F.col("admin_level").alias("level")
     )
-    nodes, total, _ = staged_and_measured(
-        nodes.where(F.col("admin_level").isNotNull()).select(
+    chains = (
+        nodes.select(
             F.col("id").cast("long").alias("id"),
-            F.col("parent_id").cast("long").alias("parent_id"),
-            F.col("position").cast("int").alias("position"),
+            F.array(F.col("position").cast("int")).alias("path"),
             normalize_name("name").alias("name"),
             F.col("name").alias("original_name"),
             F.col("admin_level").cast("int").alias("admin_level"),
+            F.col("parent_id").cast("long").alias("parent_id"),
             *[normalize_name(c).alias(c) for c in _carried(nodes)],
-        ),
-        "nodes",
+        )
+        .withColumn("ancestors", F.array(own))
+        .withColumn("up", F.col("parent_id"))
     )
-    columns = [
+    columns = chains.columns
+    pending, round_number = 1, 0
+    while pending:
+        seen = Observation()
+        watched = chains.observe(seen, F.count("up").alias("pending"))
+        table, _, size = staged_and_measured(watched, f"chains-{round_number}")
+        pending, round_number = seen.get["pending"], round_number + 1
+        if not pending:
+            break
+        above = table.select(
+            F.col("id").alias("up"),
+            F.col("path").alias("above_path"),
+            F.col("ancestors").alias("above_chain"),
+            F.col("up").alias("next"),
+        )
+        longer = (
+            lookup_join(
+                table.where(F.col("up").isNotNull()), Lookup(above, ("up",), size), ["up"]
+            )
+            .withColumn("path", F.concat("above_path", "path"))
+            .withColumn("ancestors", F.concat("ancestors", _sound_chain()))
+            .withColumn("up", F.col("next"))
+        )
+        chains = table.where(F.col("up").isNull()).unionByName(longer.select(*columns))
+    levels = F.transform("ancestors", lambda a: a["level"].isNotNull())
+    whole = table.where(F.forall(levels, lambda known: known))
+    return whole.select(
         "id",
         "path",
         "name",
@@ -58,32 +84,21 @@ def build_hierarchy(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         "parent_id",
         "ancestors",
         *_carried(nodes),
-    ]
-    roots = nodes.where(F.col("parent_id").isNull()).select(
-        "*", F.array("position").alias("path"), F.array(own).alias("ancestors")
     )
-    level, rows, size = staged_and_measured(roots.select(*columns), "level-0")
-    below = nodes.where(F.col("parent_id").isNotNull())
-    levels, reached = [level], rows
-    while rows and reached < total:
-        if len(levels) > max_depth:
-            raise ValueError(f"the tree is deeper than {max_depth} levels")
-        parents = level.select(
-            F.col("id").alias("parent_id"),
-            F.col("path").alias("_path"),
-            F.col("ancestors").alias("_chain"),
-        )
-        children = (
-            lookup_join(below, Lookup(parents, ("parent_id",), size), ["parent_id"], "inner")
-            .withColumn("path", F.concat("_path", F.array("position")))
-            .withColumn("ancestors", F.concat(F.array(own), "_chain"))
-        )
-        level, rows, size = staged_and_measured(
-            children.select(*columns), f"level-{len(levels)}"
-        )
-        levels.append(level)
-        reached += rows
-    return reduce(DataFrame.unionByName, levels)
+
+
+def _sound_chain() -> Column:
+    """The piece of chain found above, or an error where there is none or the node is in it."""
+    absent = F.concat(
+        F.lit("node "), F.col("id"), F.lit(" lies below an absent node "), F.col("up")
+    )
+    loop = F.concat(F.lit("node "), F.col("id"), F.lit(" is its own ancestor"))
+    chain = F.col("above_chain")
+    return (
+        F.when(chain.isNull(), F.raise_error(absent))
+        .when(F.exists(chain, lambda a: a["id"] == F.col("id")), F.raise_error(loop))
+        .otherwise(chain)
+    )
 
 
 @dataclass(frozen=True)

@@ -193,15 +193,14 @@ def catalog_products(spark, sf_dir):
     return _product_columns(stages.base_products(spark, sf_dir))
 
 
-@query
-def catalog_from_json(spark, sf_dir):
+def _read_documents(spark, sf_dir, times_sold, *more) -> DataFrame:
+    """Raw products written as documents and read again."""
     path = scratch_path(spark, "product-documents")
-    raw = model.raw_products(spark, sf_dir)
     item = F.to_json(
         F.struct(
             "name",
             "release_date",
-            "times_sold",
+            times_sold.alias("times_sold"),
             F.col("store_a").alias("Store A"),
             F.col("store_b").alias("Store B"),
             F.col("store_c").alias("Store C"),
@@ -209,14 +208,28 @@ def catalog_from_json(spark, sf_dir):
             "category",
             "franchise",
             "min_age",
+            *more,
         )
     )
     # One document per item, so that no document grows with the table.
     document = F.concat(
         F.lit('{"'), F.col("segment"), F.lit('":['), item, F.lit("]}")
     )
-    raw.select(document).write.text(path)
-    items = read_catalog_json(spark, path, wholetext=False)
+    model.raw_products(spark, sf_dir).select(document).write.text(path)
+    return read_catalog_json(spark, path, wholetext=False)
+
+
+@query
+def catalog_extra_keys(spark, sf_dir):
+    key = F.col("source_key")
+    extra = F.when(key % 2 == 1, key).alias("Part Key")
+    items = _read_documents(spark, sf_dir, F.col("times_sold").cast("string"), extra)
+    return items.select("name", "times_sold", "part_key")
+
+
+@query
+def catalog_from_json(spark, sf_dir):
+    items = _read_documents(spark, sf_dir, F.col("times_sold"))
     return _product_columns(
         items.select(
             "segment",
@@ -453,6 +466,15 @@ def product_fuzzy_batch(spark, sf_dir):
     return retrieval.fuzzy_matches(terms, stages.products(spark, sf_dir))
 
 
+@query
+def product_fuzzy_batch_wildcard(spark, sf_dir):
+    mentioned = F.explode("mentioned_products").alias("term")
+    terms = model.requests(spark, sf_dir).select(mentioned).select(
+        F.concat(F.substring("term", 1, 2), F.lit("%"), F.expr("right(term, 1)"), F.lit("_")).alias("term")
+    )
+    return retrieval.fuzzy_matches(terms, stages.products(spark, sf_dir))
+
+
 @query
 def batch_search(spark, sf_dir):
     return product_requests.batch_search(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_columns
 from wayfold.operators.catalog import ensure_columns
+from wayfold.plans.scratch import staged
 
 # Item keys of the product documents.
 ITEM_SCHEMA = (
@@ -24,31 +25,56 @@ def read_catalog_json(
     """Items of ``{segment: [item, ...]}`` documents, one row each, with their segment.
 
     A file is one document, or with ``wholetext=False`` one document per line, which lets large
-    files be split. Column names are normalised, keys an item lacks read as NULL, unreadable
-    dates become NULL and the store columns are always there.
+    files be split. Columns are the union of the items' keys: those of ``item_schema`` with its types
+    (a number may be written as text), all others as text, nested values as JSON text. Column names
+    are normalised, keys an item lacks read as NULL, unreadable dates become NULL and the store columns
+    are always there. A document that is not such an object is an error when the items are read; blank
+    lines are skipped.
     """
-    documents = spark.read.text(path, wholetext=wholetext).select(
-        F.from_json("value", f"MAP<STRING, ARRAY<STRUCT<{_fields(item_schema)}>>>").alias(
-            "segments"
-        )
+    text = F.col("value")
+    segments = F.from_json(text, "MAP<STRING, ARRAY<STRING>>")
+    # A document cut short still parses to what stands before the cut.
+    broken = (
+        segments.isNull()
+        | F.json_object_keys(text).isNull()
+        | F.exists(F.map_values(segments), lambda items: items.isNull())
     )
-    items = documents.select(F.explode("segments").alias("segment", "items")).select(
-        "segment", F.inline("items")
+    documents = (
+        spark.read.text(path, wholetext=wholetext)
+        .where(F.trim(F.translate("value", "\r\n\t", "   ")) != "")
+        .select(_checked(segments, broken, "document").alias("segments"))
     )
-    df = normalize_columns(items)
+    item = F.col("item")
+    fields = F.from_json(item, "MAP<STRING, STRING>")
+    items = staged(
+        documents.select(F.explode("segments").alias("segment", "items"))
+        .select("segment", F.explode("items").alias("item"))
+        .where(item.isNotNull())
+        .select("segment", _checked(fields, fields.isNull(), "item").alias("fields")),
+        "catalog-items",
+    )
+    known = dict(f.rsplit(" ", 1) for f in item_schema.split(", "))
+    known = {name.strip("`"): kind for name, kind in known.items()}
+    # As many rows as there are different keys; they become the columns.
+    present = items.select(F.explode(F.map_keys("fields")).alias("key")).distinct().orderBy("key")
+    extra = [row["key"] for row in present.collect() if row["key"] not in (*known, "segment")]
+    typed = [
+        F.try_element_at("fields", F.lit(name)).try_cast(kind).alias(name)
+        for name, kind in known.items()
+    ]
+    others = [F.try_element_at("fields", F.lit(name)).alias(name) for name in extra]
+    df = normalize_columns(items.select("segment", *typed, *others))
     if "release_date" in df.columns:
         df = df.withColumn("release_date", F.try_to_timestamp("release_date"))
     stores = {f"store_{s}": "double" for s in "abc"}
     return ensure_columns(df, stores)
 
 
-def _fields(schema: str) -> str:
-    """'a INT, b STRING' in the colon form nested types use."""
-    parts = []
-    for field in schema.split(", "):
-        name, kind = field.rsplit(" ", 1)
-        parts.append(f"{name}: {kind}")
-    return ", ".join(parts)
+def _checked(value: Column, broken: Column, what: str) -> Column:
+    """``value``, or an error that shows the start of the text where it is ``broken``."""
+    start = F.substring("value" if what == "document" else "item", 1, 80)
+    message = F.concat(F.lit(f"unreadable {what}: "), start)
+    return F.when(broken, F.raise_error(message)).otherwise(value)
 
 
 def read_matrix(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:

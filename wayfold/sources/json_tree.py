@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.hierarchy import (
-    MAX_DEPTH,
     Gazetteer,
     build_gazetteer,
     build_hierarchy,
@@ -18,7 +17,7 @@ from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.plans.scratch import staged, staged_and_measured
 
 # A child stays raw text until its own level is read, so documents are parsed level by level.
-_NODE = "admin_level INT, name STRING, children MAP<STRING, STRING>"
+_NODE = "admin_level STRING, name STRING, children STRING"
 
 
 def read_hierarchy_json(
@@ -26,13 +25,13 @@ def read_hierarchy_json(
     path: str,
     root_name: str | dict[str, str],
     with_country: bool = False,
-    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Node table of the trees under ``path``, ids from 0 in preorder.
 
     Each file holds one tree whose nodes have ``admin_level`` and ``children`` (name to node).
     ``root_name`` names the root, or maps file names to root names when there are several files.
-    A node without a level is left out with its subtree. A name given twice among siblings keeps
+    A node without a level is left out with its subtree; a level that is no number, a node that is no
+    object and a document that cannot be read to its end are errors. A name given twice among siblings keeps
     its first position and last value. ``with_country`` adds the root's name as ``country``.
 
     A document is one row when read, which is inherent to nested JSON; from its second level on
@@ -47,7 +46,7 @@ def read_hierarchy_json(
     roots = (
         spark.read.text(path, wholetext=True)
         .select(name.alias("name"), file_name.alias("file"), F.col("value").alias("raw"))
-        .withColumn("node", F.from_json("raw", _NODE))
+        .withColumn("node", _node(F.col("raw")))
     )
     # Several documents are ordered by file name.
     if isinstance(root_name, dict):
@@ -59,8 +58,6 @@ def read_hierarchy_json(
     level = _level(roots.withColumn("path", F.array(order)).withColumn("country", F.col("name")))
     levels = []
     while True:
-        if len(levels) > max_depth:
-            raise ValueError(f"tree is deeper than {max_depth} levels")
         table, rows, _ = staged_and_measured(level, f"json-level-{len(levels)}")
         if not rows:
             break
@@ -74,7 +71,7 @@ def read_hierarchy_json(
                 F.concat("path", F.array("position")).alias("path"),
                 "country",
                 F.col("child.key").alias("name"),
-                F.from_json("child.value", _NODE).alias("node"),
+                _node(F.col("child.value")).alias("node"),
             )
         )
     nodes = reduce(DataFrame.unionByName, levels or [table.drop("children")])
@@ -92,17 +89,34 @@ def read_hierarchy_json(
     return linked.select(*columns, *(["country"] if with_country else []))
 
 
+def _node(text: Column) -> Column:
+    """A parsed node; NULL for NULL."""
+    parsed = F.from_json(text, _NODE)
+    broken = text.isNotNull() & F.json_object_keys(text).isNull()
+    return F.when(broken, _unreadable("node", text)).otherwise(parsed)
+
+
+def _unreadable(what: str, text: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"unreadable {what}: "), F.substring(text, 1, 80)))
+
+
 def _level(parsed: DataFrame) -> DataFrame:
     """Keep the nodes that have a level, with their children as ordered (name, text) entries."""
     own_name = F.when(F.col("name") != "", F.col("name")).otherwise(
         F.coalesce(F.col("node.name"), F.lit(""))
     )
-    return parsed.where(F.col("node.admin_level").isNotNull()).select(
+    level, below = F.col("node.admin_level"), F.col("node.children")
+    number = level.try_cast("double").cast("int")
+    children = F.from_json(below, "MAP<STRING, STRING>")
+    lost = below.isNotNull() & children.isNull()
+    return parsed.where(level.isNotNull()).select(
         "path",
         "country",
         own_name.alias("name"),
-        F.col("node.admin_level").alias("admin_level"),
-        _last_of_each(F.map_entries("node.children")).alias("children"),
+        F.when(number.isNull(), _unreadable("level", level)).otherwise(number).alias("admin_level"),
+        _last_of_each(
+            F.map_entries(F.when(lost, _unreadable("children", below)).otherwise(children))
+        ).alias("children"),
     )
 
 
