@@ -443,6 +443,7 @@ ORACLE_SQL = {
                count(*) / (SELECT count(*) FROM products WHERE min_age <= 12) AS share
         FROM products WHERE min_age <= 12 GROUP BY 1""",
     "store_keys": f"WITH {REQUESTS} SELECT request_id, store FROM requests",
+    "matrix_from_file": f"WITH {TYPE_CELLS} SELECT * FROM cells",
     "matrix_long": f"WITH {TYPE_CELLS} SELECT * FROM cells",
     "solo_sales": f"""WITH {TYPE_CELLS}
         SELECT product_1 AS product_name, count AS solo_sales FROM cells

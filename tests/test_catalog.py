@@ -11,7 +11,7 @@ from wayfold.operators import catalog as C
 from wayfold.operators import cooccurrence as G
 from wayfold.operators.ids import assign_ids
 from wayfold.plans.etl import publish_catalog, stage_catalog
-from wayfold.sources.catalog_files import read_catalog_json, read_matrix
+from wayfold.sources.catalog_files import read_catalog_json, read_matrix, read_matrix_cells
 from wayfold.sources.tables import load_raw, read_catalog, write_catalog, write_raw
 
 DOCUMENT = {
@@ -105,6 +105,21 @@ def test_matrix_to_edges(spark, tmp_path):
     assert upper == {("a", "b"): 2, ("b", "c"): 3}
 
 
+def test_matrix_by_rows_equals_matrix_by_columns(spark, tmp_path):
+    path = tmp_path / "matrix.csv"
+    path.write_text(',"a, b",c,"d ""x"""\n"a, b",5,2,0\n\nc,2,1,\n"d ""x""",0,3,x\nshort,7\n')
+    got = sorted(tuple(r) for r in read_matrix_cells(spark, str(path)).collect())
+    ab, d = "a, b", 'd "x"'
+    assert got == sorted(
+        [(ab, ab, 5), (ab, "c", 2), (ab, d, 0), ("c", ab, 2), ("c", "c", 1), (d, ab, 0), (d, "c", 3), ("short", ab, 7)]
+    )
+    wide = tmp_path / "wide.csv"
+    names = [f"p{i}" for i in range(5000)]
+    wide.write_text("\n".join([",".join(["product", *names]), *(f"p{i}," + "1," * 4999 + "2" for i in range(3))]))
+    cells = read_matrix_cells(spark, str(wide))
+    assert (cells.count(), cells.where("product_1 = 'p1' AND count = 2").first()["product_2"]) == (15000, "p4999")
+
+
 def test_upper_triangle_of_unsorted_labels(spark, tmp_path):
     path = tmp_path / "matrix.csv"
     path.write_text("product,Zelda,Ari,Mo\nZelda,1,5,\nAri,,2,4\nMo,,,3\n")

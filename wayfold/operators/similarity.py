@@ -13,38 +13,27 @@ def similar_by_embedding(
 ) -> DataFrame:
     """For each of a few ids the ``k`` rows with the most similar ``embedding`` (cosine).
 
-    The vectors of ``ids`` become literals, so the table is scanned once, without a join, and
-    every task keeps its own best ``k`` per id before the shuffle. Equal scores go by id.
+    The vectors of ``ids`` reach every task as one scalar, so the table is scanned without a join, the
+    plan does not grow with them, and every task keeps its own best ``k`` per id before the shuffle.
+    Equal scores go by id; of an id's copies the smallest vector is asked.
     """
+    vector = F.col("embedding").cast("array<double>")
     # One row per asked id, also when an id has many copies.
     asked = (
         vectors.where(F.col(id_col).isin(ids))
         .groupBy(id_col)
         .agg(F.min("embedding").alias("embedding"))
-        .collect()
+        .agg(F.collect_list(F.struct(id_col, vector.alias("q"))).alias("asked"))
     )
-    vector = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(_dot(vector, vector))
-    scored = vectors.select(
-        F.col(id_col).alias("similar_id"), vector.alias("v"), norm.alias("norm")
+    pairs = vectors.select(
+        F.col(id_col).alias("similar_id"),
+        vector.alias("v"),
+        F.sqrt(_dot(vector, vector)).alias("norm"),
+        F.explode(asked.scalar()).alias("a"),
     )
-    kind = dict(vectors.dtypes)[id_col]
-    scores = []
-    for row in asked:
-        query = F.lit([float(x) for x in row["embedding"]])
-        length = sum(float(x) ** 2 for x in row["embedding"]) ** 0.5
-        cosine = _dot(F.col("v"), query) / F.nullif(
-            F.col("norm") * F.lit(length), F.lit(0.0)
-        )
-        scores.append(
-            F.struct(F.lit(row[id_col]).cast(kind).alias(id_col), cosine.alias("similarity"))
-        )
-    if not scores:
-        empty = f"CAST(NULL AS ARRAY<STRUCT<{id_col}: {kind}, similarity: DOUBLE>>)"
-        pairs = scored.select("similar_id", F.explode(F.expr(empty)).alias("s"))
-    else:
-        pairs = scored.select("similar_id", F.explode(F.array(*scores)).alias("s"))
-    found = pairs.select(f"s.{id_col}", "similar_id", "s.similarity").where(
+    length = F.sqrt(_dot(F.col("a.q"), F.col("a.q")))
+    cosine = _dot(F.col("v"), F.col("a.q")) / F.nullif(F.col("norm") * length, F.lit(0.0))
+    found = pairs.select(f"a.{id_col}", "similar_id", cosine.alias("similarity")).where(
         (F.col(id_col) != F.col("similar_id")) & F.col("similarity").isNotNull()
     )
     return top_per_key(

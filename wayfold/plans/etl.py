@@ -8,24 +8,30 @@ from wayfold.operators.catalog import build_products
 from wayfold.operators.cooccurrence import (
     add_graph_features,
     edges_with_ids,
-    matrix_to_long,
     solo_sales,
     solo_sales_with_ids,
     undirected_edges,
 )
 from wayfold.plans.scratch import staged
-from wayfold.sources.catalog_files import read_catalog_json, read_matrix
+from wayfold.sources.catalog_files import read_catalog_json, read_matrix_cells
 from wayfold.sources.tables import load_raw, write_catalog, write_raw
 
 
 def stage_catalog(
-    spark: SparkSession, catalog_path: str, matrix_path: str, raw_root: str
+    spark: SparkSession,
+    catalog_path: str,
+    matrix_path: str,
+    raw_root: str,
+    wholetext: bool = True,
 ) -> None:
-    """Read the product documents and the co-purchase matrix into the staging tables."""
-    cells = matrix_to_long(read_matrix(spark, matrix_path))
+    """Read the product documents and the co-purchase matrix into the staging tables.
+
+    ``wholetext=False`` reads one product document per line.
+    """
+    cells = staged(read_matrix_cells(spark, matrix_path), "matrix-cells")
     write_raw(
         {
-            "products_raw": read_catalog_json(spark, catalog_path),
+            "products_raw": read_catalog_json(spark, catalog_path, wholetext=wholetext),
             "product_cooccurrence_raw": undirected_edges(cells),
             "product_solo_sales_raw": solo_sales(cells),
         },

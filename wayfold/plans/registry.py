@@ -15,7 +15,7 @@ from wayfold.operators import requests as product_requests
 from wayfold.operators import retrieval, similarity
 from wayfold.plans import model, stages
 from wayfold.plans.scratch import scratch_path
-from wayfold.sources.catalog_files import read_catalog_json
+from wayfold.sources.catalog_files import read_catalog_json, read_matrix_cells
 from wayfold.sources.json_tree import read_hierarchy_json
 from wayfold.sources.tables import read_catalog, validate_feedback, write_catalog
 from wayfold.streaming.logs import log_metrics
@@ -294,6 +294,13 @@ def _type_cells(spark, sf_dir) -> DataFrame:
     return cooccurrence.matrix_to_long(model.type_matrix(spark, sf_dir))
 
 
+@query
+def matrix_from_file(spark, sf_dir):
+    path = scratch_path(spark, "matrix")
+    model.type_matrix(spark, sf_dir).coalesce(1).write.option("header", True).csv(path)
+    return read_matrix_cells(spark, path).withColumn("count", F.col("count").cast("long"))
+
+
 @query
 def matrix_long(spark, sf_dir):
     return _type_cells(spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_columns
 from wayfold.operators.catalog import ensure_columns
+from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.plans.scratch import staged
 
 # Item keys of the product documents.
@@ -77,6 +78,51 @@ def _checked(value: Column, broken: Column, what: str) -> Column:
     return F.when(broken, F.raise_error(message)).otherwise(value)
 
 
+# A cell after its comma: quoted, with quotes inside doubled, or bare.
+_CELL = r',("(?:[^"]|"")*"|[^,"]*)'
+
+
+def read_matrix_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a matrix in one CSV file as ``product_1, product_2, count``, row by row.
+
+    The first line holds the column labels, the first cell of every other line its row label. Cells
+    which are empty or no number are left out. Columns are numbered and met with their labels by
+    position, so neither plan nor schema grows with the number of products.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    head = lines.limit(1)
+    found = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(_CELL), 1)
+    labels = Lookup.stage(
+        head.select(F.posexplode(found).alias("position", "cell")).select(
+            "position", _unquoted("cell").alias("product_2")
+        ),
+        ["position"],
+        "matrix-labels",
+    )
+    cells = (
+        lines.where(F.col("value") != head.scalar())
+        .select(found.alias("cells"))
+        .select(_unquoted(F.get("cells", F.lit(0))).alias("product_1"), F.posexplode("cells"))
+        .where(F.col("pos") > 0)
+        .select(
+            "product_1",
+            F.col("pos").alias("position"),
+            _unquoted("col").try_cast("double").alias("count"),
+        )
+        .where(F.col("count").isNotNull())
+    )
+    return lookup_join(cells, labels, ["position"], "inner").select(
+        "product_1", "product_2", "count"
+    )
+
+
+def _unquoted(cell: Column | str) -> Column:
+    """The text of a cell; NULL when it is empty."""
+    cell = F.col(cell) if isinstance(cell, str) else cell
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.when(cell.startswith('"'), inner).when(cell != "", cell)
+
+
 def read_matrix(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """A wide matrix: the first column holds the row labels, the header the column labels.
 
