@@ -332,6 +332,11 @@ def one_neighbor_sql(product: int, limit: int) -> str:
 
 PATH_TEXT = """(SELECT string_agg(above_name, ' > ' ORDER BY step) FROM up WHERE up.id = p.id)"""
 
+LOG_DAYS = f"""WITH {LOGS}
+  SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS queries,
+         sum(llm_tokens_used)::BIGINT AS tokens
+  FROM logs GROUP BY 1"""
+
 WINDOW_METRICS = f"""WITH {LOGS}
 SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(date_trunc('hour', timestamp) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')
@@ -390,6 +395,7 @@ ORACLE_SQL = {
         FROM asked LEFT JOIN exact e ON e.name = lower(city) AND above_name = lower(state)
         LEFT JOIN named d ON d.name = lower(city)""",
     "geo_match_levels": match_sql(),
+    "geo_match_stream": match_sql(),
     "geo_match_best": match_sql(best=True),
     "geo_match_strict": match_sql(strict=True),
     "geo_match_country": match_sql(country=True),
@@ -417,6 +423,15 @@ ORACLE_SQL = {
         FROM fixed LEFT JOIN exact e ON e.name = known AND above_name = state
         LEFT JOIN named d ON d.name = known""",
     "catalog_products": f"WITH {PRODUCTS} SELECT * FROM products",
+    "catalog_raw_tables": f"""WITH {TYPE_CELLS}
+        SELECT 'products_raw' AS name, count(*) AS rows, sum(p_partkey)::BIGINT AS total FROM part
+        UNION ALL SELECT 'product_solo_sales_raw', count(*), sum(count)::BIGINT FROM cells
+        WHERE product_1 = product_2
+        UNION ALL SELECT 'product_cooccurrence_raw', count(*), sum(count)::BIGINT FROM cells
+        WHERE product_1 <> product_2""",
+    "catalog_missing_columns": f"""WITH {PRODUCTS}
+        SELECT source_key, name, 0::BIGINT AS store_c, NULL::VARCHAR AS franchise,
+               0::INT AS min_age FROM raw_products""",
     "catalog_from_json": f"""WITH {PRODUCTS}
         SELECT segment, name, nullif(release_date, 'n/a') AS release_date,
                times_sold::DOUBLE AS times_sold, store_a::DOUBLE AS store_a,
@@ -673,6 +688,8 @@ ORACLE_SQL = {
           WHEN regexp_matches(upper(query), 'DROP|DELETE|UPDATE|ALTER|EXEC') THEN 'suspicious'
           END AS rejected_for
         FROM asked""",
+    "logs_appended": LOG_DAYS,
+    "logs_appended_stream": LOG_DAYS,
     "log_window_metrics": WINDOW_METRICS,
     "stream_log_metrics": WINDOW_METRICS,
 }

@@ -17,8 +17,16 @@ from wayfold.plans import model, stages
 from wayfold.plans.scratch import scratch_path
 from wayfold.sources.catalog_files import read_catalog_json, read_matrix_cells
 from wayfold.sources.json_tree import read_hierarchy_json
-from wayfold.sources.tables import read_catalog, validate_feedback, write_catalog
-from wayfold.streaming.logs import log_metrics
+from wayfold.sources.tables import (
+    append_log_stream,
+    append_logs,
+    load_raw,
+    read_catalog,
+    validate_feedback,
+    write_catalog,
+    write_raw,
+)
+from wayfold.streaming.logs import log_metrics, match_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,6 +227,45 @@ def _read_documents(spark, sf_dir, times_sold, *more) -> DataFrame:
     return read_catalog_json(spark, path, wholetext=False)
 
 
+@query
+def catalog_raw_tables(spark, sf_dir):
+    """Rows and total sales of the staging tables, written and read back."""
+    root = scratch_path(spark, "raw-tables")
+    cells = _type_cells(spark, sf_dir)
+    write_raw(
+        {
+            "products_raw": model.raw_products(spark, sf_dir),
+            "product_solo_sales_raw": cells.where("product_1 = product_2"),
+            "product_cooccurrence_raw": cells.where("product_1 <> product_2"),
+        },
+        root,
+    )
+    raw = load_raw(spark, root)
+    summed = {
+        "products_raw": "source_key",
+        "product_solo_sales_raw": "count",
+        "product_cooccurrence_raw": "count",
+    }
+    totals = [
+        raw[name].agg(
+            F.lit(name).alias("name"),
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(col).cast("bigint").alias("total"),
+        )
+        for name, col in summed.items()
+    ]
+    return totals[0].union(totals[1]).union(totals[2])
+
+
+@query
+def catalog_missing_columns(spark, sf_dir):
+    """Defaults of a raw product table that lacks some of its columns."""
+    raw = model.raw_products(spark, sf_dir).drop("store_c", "franchise", "min_age")
+    return catalog.fill_defaults(raw).select(
+        "source_key", "name", "store_c", "franchise", "min_age"
+    )
+
+
 @query
 def catalog_extra_keys(spark, sf_dir):
     key = F.col("source_key")
@@ -673,27 +720,80 @@ def log_window_metrics(spark, sf_dir):
 
 @query
 def stream_log_metrics(spark, sf_dir):
-    """The same numbers from a stream over the event file; complete mode emits every window."""
+    """The same numbers from a stream over the event file, in append mode.
+
+    A window is written once the watermark passes its end, and its state then goes. A closing row a
+    day after the last event, in a window of its own that never closes, lets all others end.
+    """
     events = model.table(spark, sf_dir, "events")
+    late = F.max(F.col("timestamp").cast("timestamp")) + F.expr("interval 1 day")
+    closing = scratch_path(spark, "stream-closing")
+    last = model.query_logs(spark, sf_dir).agg(late.alias("timestamp"))
+    last.write.parquet(closing)
     stream = (
         spark.readStream.schema(events.schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
     )
-    out = scratch_path(spark, "stream-metrics")
-    written = []
+    closed = spark.readStream.schema(last.schema).parquet(closing)
+    logs = model.events_as_logs(stream).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    metrics = log_metrics(logs.unionByName(closed, allowMissingColumns=True), "1 hour")
+    return _metrics_as_text(_streamed(spark, metrics, "stream-metrics"))
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch-{number}")
-        written.append(number)
 
+def _streamed(spark, rows: DataFrame, label: str) -> DataFrame:
+    """What a stream has written once it has read all there is."""
+    out = scratch_path(spark, label)
     running = (
-        log_metrics(model.events_as_logs(stream), "1 hour")
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", scratch_path(spark, "stream-state"))
-        .foreachBatch(keep)
+        rows.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     running.awaitTermination()
-    return _metrics_as_text(spark.read.parquet(f"{out}/batch-{written[-1]}"))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _by_day(logs: DataFrame) -> DataFrame:
+    return logs.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("llm_tokens_used").alias("tokens")
+    )
+
+
+@query
+def logs_appended(spark, sf_dir):
+    """Logs appended in two goes and read back by day."""
+    path = scratch_path(spark, "appended-logs")
+    logs = model.query_logs(spark, sf_dir)
+    append_logs(logs.where("success"), path)
+    append_logs(logs.where("success is null or not success"), path)
+    return _by_day(spark.read.parquet(path))
+
+
+@query
+def logs_appended_stream(spark, sf_dir):
+    """Logs appended by a stream over the event file and read back by day."""
+    events = model.table(spark, sf_dir, "events")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    path = scratch_path(spark, "streamed-logs")
+    logs = model.events_as_logs(stream)
+    append_log_stream(logs, path, scratch_path(spark, "streamed-logs-state")).awaitTermination()
+    days = logs.withColumn("day", F.to_date("timestamp"))
+    return _by_day(spark.read.schema(days.schema).parquet(path))
+
+
+@query
+def geo_match_stream(spark, sf_dir):
+    """Pairs of places scored as a stream over a written table of them."""
+    path = scratch_path(spark, "streamed-pairs")
+    pairs = model.place_pairs(spark, sf_dir)
+    pairs.write.parquet(path)
+    stream = spark.readStream.schema(pairs.schema).parquet(path)
+    scored = match_stream(stream, stages.gazetteer(spark, sf_dir))
+    return _streamed(spark, scored, "streamed-matches")
