@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from wayfold.llm import ann, covertree, jaccard, lines, warc
 from wayfold.llm.components import connected_components
+from wayfold.llm.tables import stored
 
 
 def groups_of(nodes, links):
@@ -363,3 +364,15 @@ def test_one_url_over_many_ranges(spark):
         if status == 304:
             earlier = [(t, j) for j, _, t, s, _ in rows if s == 200 and t < at]
             assert found[i]["base_id"] == (max(earlier)[1] if earlier else None)
+
+
+def test_line_components_take_links_of_later_rounds(spark):
+    def links(*pairs):
+        return stored(spark.createDataFrame(list(pairs), "a long, b long"), "test-links")
+
+    labels = lines._united(None, links((2, 1), (3, 4), (8, 9)))
+    labels = lines._united(labels, links((4, 2), (5, 6)))
+    labels = lines._united(labels, links((6, 9), (7, 9)))
+    labels = lines._united(labels, links((4, 4)))
+    found = {r["line"]: r["component"] for r in labels.df.collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
