@@ -175,6 +175,34 @@ def test_language_id(make_docs):
     assert by_id[None]["lang_pred"] == "aa" and not by_id[None]["rejected"]
 
 
+def test_language_of_long_texts():
+    random.seed(8)
+    ends = {"aa": "aeiou", "bb": "äöüiy", "cc": "áñóée"}
+
+    def words(vowels, n):
+        parts = [random.choice("bdfgklmnprstvz") + random.choice(vowels) for _ in range(3 * n)]
+        return ["".join(parts[i : i + 3]) for i in range(0, 3 * n, 3)]
+
+    known = {lang: words(vowels, 2000) for lang, vowels in ends.items()}
+
+    def clean(lang, n):
+        return " ".join(random.choices(known[lang], k=n // 5))[:n]
+
+    contents = {x: langid._content([clean(x, 2048).encode() for _ in range(64)]) for x in known}
+    classifier = langid.Classifier(tuple(contents.items()))
+    for lang in known:
+        for n in (2_000, 200_000, 1_000_000):
+            found, _, margin, rejected = classifier.classify(clean(lang, n))
+            assert found == lang and not rejected and margin > langid.MARGIN, (lang, n, margin)
+    assert not classifier.classify(clean("aa", 5_000_000))[3]
+    # Words of no language are rejected at any length.
+    for n in (200_000, 1_000_000):
+        none = " ".join(words("wxjqh", n // 7))
+        assert classifier.classify(none)[3]
+    pieces = langid._pieces(bytes(100_001))
+    assert sum(map(len, pieces)) == 100_001 and max(map(len, pieces)) <= langid.PIECE_BYTES
+
+
 def test_language_learns_from_no_held_out_row(make_docs):
     rows = language_rows()
     kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]

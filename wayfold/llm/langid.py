@@ -2,7 +2,8 @@
 
 Each language has a zstandard dictionary of raw content: words of a bounded sample of labelled texts. A text
 is compressed with each of them and takes the language of the smallest result. Texts that no dictionary
-shortens clearly more than the next are rejected.
+shortens clearly more than the next are rejected. A long text is compressed in pieces and their sizes are
+summed, since a dictionary saves only so many bytes of one run: the margin is then alike at any length.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SAMPLE_CHARS = 2048
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 256
 LEVEL = 6
+# Longer texts are cut into equal pieces of at most so many bytes.
+PIECE_BYTES = 32 << 10
 # Rejected when the best dictionary saves less than this share over the next one.
 MARGIN = 0.004
 # Bytes that make a language e times likelier, for the score.
@@ -96,15 +99,22 @@ class Classifier:
         data = letters_of(text)
         if not data or not self.languages:
             return UNKNOWN, 0.0, 0.0, True
-        sizes = [len(c.compress(data)) for c in self.compressors]
+        pieces = _pieces(data)
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
         # What compresses as well without a dictionary is in none of the languages.
-        ranked = sorted([*sizes, len(self.plain.compress(data))])
+        ranked = sorted([*sizes, sum(len(self.plain.compress(p)) for p in pieces)])
         best = min(range(len(sizes)), key=sizes.__getitem__)
         margin = max(0.0, (ranked[1] - sizes[best]) / ranked[1])
         weights = sum(math.exp(max(-700.0, (sizes[best] - s) / BYTES_PER_NAT)) for s in sizes)
         return self.languages[best], 1.0 / weights, margin, margin < MARGIN
 
 
+def _pieces(data: bytes) -> list[bytes]:
+    """Equal pieces that cover the whole text; a character cut in two costs every compressor alike."""
+    step = math.ceil(len(data) / math.ceil(len(data) / PIECE_BYTES))
+    return [data[i : i + step] for i in range(0, len(data), step)]
+
+
 @lru_cache(maxsize=4)
 def _classifier(contents: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(contents)
