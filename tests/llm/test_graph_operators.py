@@ -376,3 +376,54 @@ def test_line_components_take_links_of_later_rounds(spark):
     labels = lines._united(labels, links((4, 4)))
     found = {r["line"]: r["component"] for r in labels.df.collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5}
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_find_every_pair_of_the_edit_similarity(make_docs):
+    """Recall by length against brute force: every pair of lines is a group or is not, as the edits say."""
+    random.seed(12)
+    common = [f"w{i}" for i in range(30)]
+    rows, pairs = [], []
+    for n in (4, 5, 9, 10, 14, 19, 25, 39, 60, 79, 130, 300):
+        for k in range(14):
+            base = [random.choice([*common, f"rare{random.randrange(4000)}"]) for _ in range(n)]
+            line = list(base)
+            edits = n // 5 if k % 2 else max(1, n // 10)
+            for i in random.sample(range(n), edits + (k == 13)):
+                line[i] = f"new{random.randrange(10**6)}"
+            if k % 5 == 0:
+                del line[random.randrange(len(line))]
+            pairs.append((n, base, line))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(line))]
+    found = {r["doc_id"]: r for r in lines.mark(make_docs(rows)).collect()}
+    linked = {}
+    for k, (n, base, line) in enumerate(pairs):
+        longer = max(len(base), len(line))
+        if word_distance(base, line) <= int(longer * 0.2 + 1e-9):
+            linked.setdefault(n, []).append(found[2 * k]["kept_id"] == found[2 * k + 1]["kept_id"])
+    assert len(linked) >= 10 and all(map(all, linked.values())), linked
+    texts = {i: t.split() for i, t in rows}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(texts, 2):
+        longer = max(len(texts[a]), len(texts[b]))
+        allowed = int(longer * 0.2 + 1e-9)
+        if abs(len(texts[a]) - len(texts[b])) <= allowed and len(texts[a]) < 80:
+            if word_distance(texts[a], texts[b]) <= allowed:
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    short = [i for i in texts if len(texts[i]) < 80]
+    assert {i: found[i]["kept_id"] for i in short} == {i: top(i) for i in short}
