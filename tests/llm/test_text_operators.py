@@ -252,6 +252,26 @@ def test_secret_grammar_adds_spans_of_the_same_format(make_docs):
     assert "token" not in masked[0] and masked[0].startswith("some plain words [secret]")
 
 
+@pytest.mark.parametrize("share", [0.03, 0.1, 0.3, 0.6, 0.9])
+@pytest.mark.parametrize("characters, n", [("0123456789ABCDEF", 40), (string.ascii_letters + string.digits, 32)])
+def test_secret_recall_among_many_bare_credentials(share, characters, n):
+    random.seed(15)
+    key = lambda: "".join(random.choices(characters, k=n))
+    parts = ["read", "user", "table", "index", "value", "count", "file", "name", "total", "order"]
+
+    def word():
+        kind = random.randrange(3)
+        if kind == 0:
+            return "".join(random.choices(string.digits, k=16))
+        return ("_" if kind == 1 else "").join(random.choices(parts, k=5))
+
+    bare = int(400 * share)
+    ordinary = [key() for _ in range(bare)] + [word() for _ in range(400 - bare)]
+    grammar = secrets.infer_grammar({"assign": [key() for _ in range(300)], secrets.ORDINARY: ordinary})
+    assert sum(grammar.accepts(key()) for _ in range(300)) >= 285
+    assert sum(grammar.accepts(word()) for _ in range(300)) <= 3
+
+
 def test_secret_scan_without_credentials(make_docs):
     docs = make_docs([(1, "nothing here at all, onlysomelongword123")])
     grammar = secrets.learn(docs)

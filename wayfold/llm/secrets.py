@@ -278,11 +278,35 @@ def infer_grammar(by_kind: dict[str, list[str]]) -> Grammar:
             own = sorted(map(automaton.likelihood, strings))
             kinds[kind] = (automaton, own[int(TAIL * len(own))] - ROOM)
     ordinary = by_kind.get(ORDINARY, [])
+    if len(ordinary) >= LEAST_STRINGS:
+        # Each half is held against an automaton of the other, which has not learned its strings by heart.
+        ordinary = sorted(ordinary, key=lambda t: hashlib.sha256(t.encode()).digest())
+        halves = [ordinary[::2], ordinary[1::2]]
+        usual = [Automaton.infer(half) for half in reversed(halves)]
+        ordinary = [t for half, u in zip(halves, usual) for t in half if not _credential_like(t, kinds, u)]
     # With too few ordinary tokens all characters are equally likely.
     enough = len(ordinary) >= LEAST_STRINGS
     return Grammar(kinds, Automaton.infer(ordinary) if enough else _uniform())
 
 
+def _credential_like(token: str, kinds: dict[str, tuple[Automaton, float]], usual: Automaton) -> bool:
+    """A kind accepts the token and neither the other tokens nor its own characters explain it better.
+
+    Bare credentials are among the tokens others are told from; were they kept, they would explain themselves.
+    """
+    if token.isalpha():
+        return False
+    whole = {"h": "l", "H": "U"}
+    drawn = {whole.get(c, c) for c in token.translate(_CLASS_OF)}
+    evenly = -math.log(sum({"d": 10, "l": 26, "U": 26}.get(c, 1) for c in drawn))
+    explained = max(usual.likelihood(token) + ADVANTAGE - ROOM, evenly)
+    for automaton, least in kinds.values():
+        own = automaton.likelihood(token)
+        if own >= least and explained - own < ADVANTAGE:
+            return True
+    return False
+
+
 def _uniform() -> Automaton:
     each = {s: (0, math.log(n / 68 / n)) for s, n in _CLASSES.items()}
     return Automaton(({**each, **{s: (0, math.log(1 / 68)) for s in "+/_.=-"}},), (0.0,), math.log(1 / 68))
