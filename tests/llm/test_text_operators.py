@@ -72,6 +72,18 @@ def test_bpe_random_text_in_both_formats(reference):
         assert ranks.decode(ranks.encode(text).tolist()) == text.encode()
 
 
+def test_bpe_words_with_separator_characters(reference):
+    ranks = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN).get()
+    around = ["", " ", "x", "!", "1", "é", "\n"]
+    for code in range(0x250):
+        for before in around:
+            for after in around:
+                text = f"{before}{chr(code)}{after}x"
+                assert ranks.split(text) == ranks.pattern.findall(text), repr(text)
+    for text in (" \x1cx", "\x1c!", "a\x1d\x1e b\x1f\n"):
+        assert ranks.encode(text).tolist() == reference.encode_ordinary(text)
+
+
 def test_decode_handles_split_characters(spark):
     vocabulary = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     ids = vocabulary.get().encode("😀").tolist()

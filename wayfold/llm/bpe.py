@@ -27,8 +27,9 @@ from wayfold.llm.tables import slices
 KEPT_WORDS = 400_000
 KEPT_LENGTH = 48
 
-# In these characters the short classes below mean the same as \p{L} and \p{N}.
-_PLAIN = re.compile(r"[\x00-\x7fÀ-ɏ]*")
+# In these characters the short classes below mean the same as \p{L}, \p{N} and the pattern's \s. The separators
+# U+001C to U+001F are not among them: they are white space here and not in the pattern.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ɏ]*")
 _PLAIN_WORDS = re.compile(
     r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
