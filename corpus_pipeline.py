@@ -37,11 +37,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near copies; all rows with a null id stay."""
+    """Keep the document of smallest id of each group of near copies; all rows with a null id stay.
+
+    Rows that repeat an id are documents of their own; of equal ids the smaller hash of the text, then of the row, stays.
+    """
     ship(spark)
-    groups = jaccard.components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    row = F.struct("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(*COLUMNS).alias("r"))
+    named = docs.where(F.col("doc_id").isNotNull()).select(*COLUMNS, row.alias("row_id"))
+    groups = jaccard.components(named, "row_id")
+    kept = groups.where("row_id = component_id").select("row_id").distinct()
+    named = named.join(kept, "row_id").dropDuplicates(["row_id"]).select(*COLUMNS)
     return named.union(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -427,3 +428,19 @@ def test_lines_find_every_pair_of_the_edit_similarity(make_docs):
                 root[high] = low
     short = [i for i in texts if len(texts[i]) < 80]
     assert {i: found[i]["kept_id"] for i in short} == {i: top(i) for i in short}
+
+
+def test_pipeline_keeps_documents_that_share_an_id(spark):
+    random.seed(21)
+    texts = [" ".join(f"t{k}w{random.randrange(10**6)}" for _ in range(60)) for k in range(5)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (2, near), (2, texts[1]), (3, texts[2]), (3, texts[2]), (None, texts[0])]
+    rows += [(4, texts[3]), (4, texts[4])]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "x", len(t)) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    found = corpus_pipeline.jaccard_join(spark, docs, "")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in found.collect())
+    stay = [(0, texts[0]), (1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[3]), (4, texts[4])]
+    assert kept == sorted(stay)
