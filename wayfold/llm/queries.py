@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, bpe, covertree, jaccard, langid, lines, packing, quality, secrets, warc
+from wayfold.llm import ann, audit, bpe, covertree, jaccard, langid, lines, packing, quality, secrets, warc
 from wayfold.llm.tables import held_out, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +194,62 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), contents).select(
         "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.col("rejected")
     )
+
+
+@query
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters keeps and removes in each source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The Shapley value is summed over all orders here, without potentials.
+ORACLE_SQL["op11_audit"] = """
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce("text", '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM texts GROUP BY t),
+worded AS (
+  SELECT d.*, regexp_extract_all(d.t, '[^\\x20\\x09-\\x0D]+') AS words, f.first_id
+  FROM texts d JOIN firsts f ON f.t = d.t),
+marked AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels
+  WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failed AS (
+  SELECT w.part,
+         len(words) < 50 AS a,
+         100 * len(list_distinct(words)) < 65 * len(words) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(w.doc_id > first_id, false) AS e,
+         coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic
+  FROM worded w LEFT JOIN marked m ON m.doc_id = w.doc_id),
+counts AS (
+  SELECT part, a, b, c, d, e, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || u.x AS filter_order
+  FROM letters p JOIN letters q ON q.x <> p.x JOIN letters r ON r.x NOT IN (p.x, q.x)
+  JOIN letters s ON s.x NOT IN (p.x, q.x, r.x) JOIN letters u ON u.x NOT IN (p.x, q.x, r.x, s.x)),
+coded AS (
+  SELECT *, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END
+            || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails
+  FROM counts),
+placed AS (
+  SELECT c.part, c.n, c.good, c.toxic, c.fails, o.filter_order, k.step, substr(o.filter_order, k.step, 1) AS letter,
+         CASE WHEN c.fails = '' THEN 6
+              ELSE list_min(list_transform(string_split(c.fails, ''), lambda f: instr(o.filter_order, f))) END AS gone
+  FROM coded c, orders o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step) k),
+summed AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (WHERE gone > step), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE gone = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone < step AND contains(fails, letter)), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = letter), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE gone = step), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE gone = step), 0)::BIGINT AS toxic_lost
+  FROM placed GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM summed
+"""
