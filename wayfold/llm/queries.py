@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, audit, bpe, covertree, jaccard, langid, lines, packing, quality, secrets, warc
+from wayfold.llm import ann, audit, bpe, covertree, jaccard, langid, lines, packing, quality, runs, secrets, warc
 from wayfold.llm.tables import held_out, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,3 +253,9 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM summed
 """
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which is made periodic."""
+    return runs.digests(runs.mark_runs(runs.with_periods(table(spark, sf_dir, "documents"))))
