@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import ann, audit, bpe, covertree, jaccard, langid, lines, packing, quality, runs, secrets, warc
+from wayfold.llm import ann, audit, bpe, covertree, jaccard, langid, lexicon, lines, packing, quality, runs, secrets, warc
 from wayfold.llm.tables import held_out, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,3 +259,12 @@ FROM summed
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which is made periodic."""
     return runs.digests(runs.mark_runs(runs.with_periods(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of their text, with frequent words from a transducer."""
+    docs = table(spark, sf_dir, "documents")
+    tokenizer = lexicon.TokenizerFile.read(JSON_PATH, public_tokenizers.PATTERN)
+    encoded = lexicon.encode(docs, lexicon.compile_lexicon(docs, tokenizer))
+    return lexicon.digests(lexicon.decode(encoded, tokenizer))

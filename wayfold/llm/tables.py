@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.plans.scratch import staged
+from wayfold.plans.scratch import scratch_path, staged
 
 # Texts handed from Arrow to Python objects at once, so that memory does not follow the batch size.
 SLICE_ROWS = 256
@@ -48,6 +49,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def share_file(spark: SparkSession, data: bytes, label: str) -> str:
+    """Write a small file to the shared scratch folder and have every executor fetch it once.
+
+    Returns the name under which tasks find it by ``SparkFiles.get``; executors that start later get it too.
+    """
+    name = f"{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, label)}/{name}")
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = system.create(path)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    context.addFile(system.makeQualified(path).toString())
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into short ones."""
     for batch in batches:
