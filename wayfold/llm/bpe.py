@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, models
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from wayfold.llm.tables import slices
 
@@ -30,6 +30,8 @@ KEPT_LENGTH = 48
 # In these characters the short classes below mean the same as \p{L}, \p{N} and the pattern's \s. The separators
 # U+001C to U+001F are not among them: they are white space here and not in the pattern.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ɏ]*")
+# Below this character the regex module's classes are those of the tokenizing libraries, whose Unicode version is older.
+_AGREED = re.compile("[\x00-ԯ]*")
 _PLAIN_WORDS = re.compile(
     r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
@@ -70,9 +72,20 @@ class WordIds(dict):
 class ByteBpe:
     """One vocabulary: words to ids, ids to bytes."""
 
-    def __init__(self, model: models.BPE, token_bytes: dict[int, bytes], pattern: str):
+    def __init__(
+        self,
+        model: models.BPE,
+        token_bytes: dict[int, bytes],
+        pattern: str,
+        added: dict[str, int] | None = None,
+    ):
         self.model = model
         self.pattern = regex.compile(pattern)
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "isolated")
+        self.added = {c: np.array([i], dtype="<u4").tobytes() for c, i in (added or {}).items()}
+        # The longer of two tokens that begin alike comes first, as in the library.
+        names = sorted(self.added, key=lambda c: (-len(c), c))
+        self.marks = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.words = WordIds(model)
         size = max(token_bytes, default=-1) + 1
         self.token_bytes = [token_bytes.get(i, b"") for i in range(size)]
@@ -80,12 +93,18 @@ class ByteBpe:
 
     @classmethod
     def from_json(cls, data: bytes, pattern: str) -> ByteBpe:
-        """From a tokenizer file. Strings of special tokens in a text are ordinary text."""
+        """From a tokenizer file. Strings of added tokens in a text become those tokens, as in the library."""
         whole = Tokenizer.from_str(data.decode())
         back = {c: i for i, c in enumerate(byte_characters())}
-        vocab = json.loads(data)["model"]["vocab"]
+        file = json.loads(data)
+        listed = file.get("added_tokens") or []
+        if any(t[k] for t in listed for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must be plain text")
+        vocab = file["model"]["vocab"]
         spelled = {i: bytes(back[c] for c in t) for t, i in vocab.items() if set(t) <= set(back)}
-        return cls(whole.model, spelled, pattern)
+        added = {t["content"]: t["id"] for t in listed}
+        spelled.update((i, c.encode()) for c, i in added.items())
+        return cls(whole.model, spelled, pattern, added)
 
     @classmethod
     def from_ranks(cls, data: bytes, pattern: str) -> ByteBpe:
@@ -111,13 +130,23 @@ class ByteBpe:
         return cls(model, {r: t for t, r in ranks.items()}, pattern)
 
     def split(self, text: str) -> list[str]:
-        plain = _PLAIN.fullmatch(text)
-        return (_PLAIN_WORDS if plain else self.pattern).findall(text)
+        """Words of a text without added tokens."""
+        if _PLAIN.fullmatch(text):
+            return _PLAIN_WORDS.findall(text)
+        if _AGREED.fullmatch(text):
+            return self.pattern.findall(text)
+        return [word for word, _ in self.splitter.pre_tokenize_str(text)]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        joined = b"".join(map(self.words.__getitem__, self.split(text)))
-        return np.frombuffer(joined, dtype="<u4")
+        stretches = self.marks.split(text) if self.marks else [text]
+        found = []
+        for number, stretch in enumerate(stretches):
+            if number % 2:
+                found.append(self.added[stretch])
+            else:
+                found.extend(map(self.words.__getitem__, self.split(stretch)))
+        return np.frombuffer(b"".join(found), dtype="<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a run of ids. A character split between ids is whole again in the joined bytes."""
