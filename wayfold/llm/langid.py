@@ -9,21 +9,24 @@ summed, since a dictionary saves only so many bytes of one run: the margin is th
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.tables import held_out, slices
 
 UNKNOWN = "und"
-# Learned from at most so many labelled texts a language, and so many characters of each.
+# Learned from at most so many labelled texts a language, and from so many stretches of so many characters, spread
+# over the whole of a text.
 SAMPLE_TEXTS = 256
-SAMPLE_CHARS = 2048
+STRETCHES, STRETCH_CHARS = 8, 256
+# Texts are drawn by hash with so many times their wanted number expected.
+DRAWN = 4
 # Content of a dictionary, and languages at most: together the bound of what travels to the tasks.
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 256
@@ -35,7 +38,8 @@ MARGIN = 0.004
 # Bytes that make a language e times likelier, for the score.
 BYTES_PER_NAT = 2.0
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Marks belong to the letter before them.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def letters_of(text: str | None) -> bytes:
@@ -48,38 +52,67 @@ def learn(
 ) -> dict[str, bytes]:
     """Dictionary content by language, most frequent first, from texts whose id is not held out.
 
-    At most ``SAMPLE_TEXTS`` texts of each language, in the order of a hash of their ids, each with its first
-    ``SAMPLE_CHARS`` characters: a bounded sample to learn from. Null languages and null or
-    letterless texts teach nothing.
+    At most ``SAMPLE_TEXTS`` texts of each language, in the order of a hash of their ids, each with stretches from
+    all over it: a bounded sample to learn from. A hash below a bound taken from the number of texts draws
+    it, so no language is gathered in one task. Null languages and null or letterless texts
+    teach nothing.
     """
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("_lang"),
-        F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("_text"),
+        F.col(text_col).alias("_text"),
         F.xxhash64(F.col(id_col)).alias("_order"),
     )
-    order = Window.partitionBy("_lang").orderBy("_order", "_text")
-    sample = (
+    counts = (
         labelled.where(F.col("_text").rlike(r"\p{L}"))
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= SAMPLE_TEXTS)
-        .select("_lang", "_rank", "_text")
+        .groupBy("_lang")
+        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_order").alias("different"))
+    )
+    found = counts.limit(MAX_LANGUAGES + 1).collect()
+    frequency = {r["_lang"]: r["n"] for r in found}
+    if len(frequency) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; so many dictionaries are not shipped")
+    drawn = F.lit(False)
+    for row in found:
+        share = min(1.0, DRAWN * SAMPLE_TEXTS / max(1, row["different"]))
+        below = F.pmod("_order", F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+        drawn = drawn | ((F.col("_lang") == row["_lang"]) & below)
+    sample = (
+        labelled.where(F.col("_text").rlike(r"\p{L}") & drawn)
+        .select("_lang", "_order", spread(F.col("_text")).alias("_text"))
+        .distinct()
     )
-    frequency = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
     texts: dict[str, dict[bytes, None]] = {}
     for row in sorted(sample.collect()):
         data = letters_of(row["_text"])
-        if data:
-            texts.setdefault(row["_lang"], {})[data] = None
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; at most {MAX_LANGUAGES} dictionaries are shipped")
-    ranked = sorted(texts, key=lambda lang: (-frequency[lang], lang))
+        mine = texts.setdefault(row["_lang"], {})
+        if data and len(mine) < SAMPLE_TEXTS:
+            mine[data] = None
+    ranked = sorted((x for x in texts if texts[x]), key=lambda lang: (-frequency[lang], lang))
     return {lang: _content(list(texts[lang])) for lang in ranked}
 
 
+def spread(text: Column) -> Column:
+    """A text, or stretches at equal distances from its begin to its end when it is longer than they are."""
+    room = F.length(text) - STRETCH_CHARS
+    starts = [1 + F.call_function("div", room * k, F.lit(STRETCHES - 1)).cast("int") for k in range(STRETCHES)]
+    pieces = F.concat_ws(" ", *[F.substring(text, s, F.lit(STRETCH_CHARS)) for s in starts])
+    return F.when(F.length(text) <= STRETCHES * STRETCH_CHARS, text).otherwise(pieces)
+
+
 def _content(texts: list[bytes]) -> bytes:
     """An equal share of each text, up to the size of a dictionary."""
     share = max(64, DICTIONARY_BYTES // len(texts))
-    return b"\n".join(t[:share] for t in texts)[:DICTIONARY_BYTES]
+    return b"\n".join(_shortened(t, share) for t in texts)[:DICTIONARY_BYTES]
+
+
+def _shortened(data: bytes, share: int) -> bytes:
+    """Up to four equal pieces from all over the data, ``share`` bytes together."""
+    if len(data) <= share:
+        return data
+    pieces = min(4, share // 64)
+    length = share // pieces
+    starts = [(len(data) - length) * k // max(1, pieces - 1) for k in range(pieces)]
+    return b"".join(data[s : s + length] for s in starts)
 
 
 class Classifier:
