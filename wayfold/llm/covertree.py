@@ -169,6 +169,7 @@ def exact_links(
     if a is b:
         upper = first < second
         first, second = first[upper], second[upper]
+    va, vb = _scaled(va), _scaled(vb)
     na, nb = np.sqrt((va * va).sum(axis=1)), np.sqrt((vb * vb).sum(axis=1))
     keep = np.zeros(len(first), dtype=bool)
     for i in range(0, len(first), CHUNK):
@@ -178,6 +179,15 @@ def exact_links(
     return first[keep], second[keep]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is between a half and one.
+
+    This rounds nothing and leaves the cosine as it is, but squares neither overflow nor vanish.
+    """
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponents[:, None])
+
+
 def _smallest_of_group(n: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """For each of ``n`` positions the smallest one reachable by the links."""
     label = np.arange(n)
