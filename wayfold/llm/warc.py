@@ -99,8 +99,9 @@ def resolve_revisits(
     URL that is strictly earlier; of several at one time the one with the largest id), ``verdict`` and
     ``headers``, merged when the verdict is ``resolved``, else null. A revisit with null URL or time has
     verdict ``no_response``; responses with null id, URL or time answer nothing; null headers are none.
-    Ids are expected to be unique: a response whose id is repeated counts once, with its smallest
-    time. Other columns are left out, whatever their names.
+    Rows are told apart by themselves, not by id: revisits with null or repeated ids keep their own headers, and of
+    responses with one id and time the one stored last answers. Other columns are left out,
+    whatever their names.
     """
     spark = captures.sparkSession
     rows = captures.where(F.col(f"`{status_col}`").isin(200, 304)).select(
@@ -110,8 +111,9 @@ def resolve_revisits(
         (F.col(f"`{status_col}`") == 200).alias("full"),
         lower_names(F.col(f"`{headers_col}`")).alias("headers"),
     )
-    rows = stored(rows, "captures")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "captures")
     keyed = rows.where(F.col("url_key").isNotNull() & F.col("at").isNotNull()).select(
+        "row",
         "id",
         "url_key",
         "at",
@@ -125,8 +127,8 @@ def resolve_revisits(
     )
     dealt = stored(dealt, "dealt")
     usable = F.col("full") & F.col("id").isNotNull()
-    base = F.when(usable, F.struct("at", "id", "etag", "modified"))
-    before = Window.partitionBy("part", "url_key").orderBy("at", "full", "id").rowsBetween(
+    base = F.when(usable, F.struct("at", "id", "row", "etag", "modified"))
+    before = Window.partitionBy("part", "url_key").orderBy("at", "full", "id", "row").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # Revisits sort before responses of their time, so what precedes them is strictly earlier.
@@ -146,31 +148,33 @@ def resolve_revisits(
         "base", F.coalesce("base", "carried")
     )
     checked = known.select(
+        "row",
         "id",
         "url_key",
         F.col("base.id").alias("base_id"),
+        F.col("base.row").alias("base_row"),
         verdict(
             F.col("base.id"), F.col("base.etag"), F.col("base.modified"), F.col("etag"), F.col("modified")
         ).alias("verdict"),
     )
     lost = rows.where(~F.col("full") & (F.col("url_key").isNull() | F.col("at").isNull())).select(
-        "id", "url_key", F.lit(None).cast(rows.schema["id"].dataType).alias("base_id"),
+        "row",
+        "id",
+        "url_key",
+        F.lit(None).cast(rows.schema["id"].dataType).alias("base_id"),
+        F.lit(None).cast("long").alias("base_row"),
         F.lit(NO_RESPONSE).alias("verdict"),
     )
-    own = rows.where(~F.col("full")).select("id", F.col("headers").alias("own"))
-    answers = (
-        rows.where(F.col("full") & F.col("id").isNotNull())
-        .groupBy(F.col("id").alias("base_id"))
-        .agg(F.min_by("headers", "at").alias("theirs"))
-    )
+    own = rows.where(~F.col("full")).select("row", F.col("headers").alias("own"))
+    answers = rows.where("full").select(F.col("row").alias("base_row"), F.col("headers").alias("theirs"))
     merged = merged_headers(
         F.coalesce("theirs", F.create_map().cast("map<string,string>")),
         F.coalesce("own", F.create_map().cast("map<string,string>")),
     )
     return (
         checked.union(lost)
-        .join(own.dropDuplicates(["id"]), "id", "left")
-        .join(answers, "base_id", "left")
+        .join(own, "row", "left")
+        .join(answers, "base_row", "left")
         .select(
             F.col("id").alias(id_col),
             "url_key",
