@@ -246,6 +246,14 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, root):
             assert row["component_id"] == expected[i] and row["kept"] == (expected[i] == i)
 
 
+def test_near_duplicates_whose_squares_overflow_or_vanish(spark):
+    vectors = [[1e200] * 3, [1e200, 1e200, 1.0001e200], [1e-200] * 3, [5e-324] * 3, [1.0] * 3, [1e300, -1e300, 0.0]]
+    rows = [(i, v, 0) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(frame).collect()}
+    assert found == {**{i: (4, 0) for i in range(5)}, 5: (0, 5)}
+
+
 def test_near_duplicates_empty(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
@@ -356,6 +364,28 @@ def test_revisits(spark):
     assert resolve(spark, []) == {}
 
 
+def test_revisits_with_null_and_repeated_ids_keep_their_own_headers(spark):
+    url = "http://h.example/p"
+    rows = [
+        (1, url, 1, 200, {"ETag": '"a"', "X": "one"}),
+        (1, url, 5, 200, {"ETag": '"b"', "X": "two"}),
+        (None, url, 2, 304, {"ETag": '"a"', "Date": "n1"}),
+        (None, url, 6, 304, {"ETag": '"b"', "Date": "n2"}),
+        (7, url, 3, 304, {"ETag": '"a"', "Date": "r1"}),
+        (7, url, 7, 304, {"ETag": '"b"', "Date": "r2"}),
+        (7, url, 7, 304, {"ETag": '"b"', "Date": "r2"}),
+        (None, url, 8, 200, {"ETag": '"c"'}),
+        (9, url, 9, 304, {"ETag": '"b"', "Date": "last"}),
+    ]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], CAPTURES)
+    found = sorted(
+        (r["headers"]["date"], r["headers"]["x"], r["record_id"]) for r in warc.resolve_revisits(frame).collect()
+    )
+    assert found == [
+        ("last", "two", 9), ("n1", "one", None), ("n2", "two", None), ("r1", "one", 7), ("r2", "two", 7), ("r2", "two", 7)
+    ]
+
+
 def test_one_url_over_many_ranges(spark):
     rows = []
     for i in range(400):

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 from wayfold.llm import bpe, langid, packing, quality, secrets
@@ -63,7 +64,6 @@ def test_bpe_random_text_in_both_formats(reference):
     alphabet = string.printable + "äöüßéñ¿½²٣中文字😀́  ⅷªº×÷ſK"
     ranks = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN).get()
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
     own = bpe.Vocabulary(JSON, public_tokenizers.PATTERN).get()
     for _ in range(300):
         text = "".join(random.choices(alphabet, k=random.randint(0, 60)))
@@ -84,6 +84,29 @@ def test_bpe_words_with_separator_characters(reference):
         assert ranks.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_bpe_in_every_block_of_characters(reference):
+    ranks = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN).get()
+    whole = Tokenizer.from_file(JSON)
+    own = bpe.Vocabulary(JSON, public_tokenizers.PATTERN).get()
+    for begin in range(0, 0x110000, 16):
+        chars = [chr(c) for c in range(begin, begin + 16) if not 0xD800 <= c <= 0xDFFF]
+        # Every block below U+3000, every ninth above.
+        if chars and (begin < 0x3000 or begin % 144 == 0):
+            text = "".join(f"a{c}b {c}1{c}! {c}  {c}" for c in chars)
+            assert ranks.encode(text).tolist() == reference.encode_ordinary(text), hex(begin)
+            assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, hex(begin)
+
+
+def test_added_tokens_are_tokens_in_one_format_and_text_in_the_other(make_docs, reference):
+    text = "x <|endoftext|>\n<|endoftext|> <|endoftext"
+    docs = make_docs([(1, text)])
+    row = bpe.encode_decode(docs, bpe.Vocabulary(JSON, public_tokenizers.PATTERN), ("ids", "decoded", "ends")).first()
+    assert row["ids"] == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+    assert row["ids"].count(50256) == 2 and row["decoded"] == text and row["ends"][-1] == len(text)
+    row = bpe.encode_decode(docs, bpe.Vocabulary(RANKS, public_tokenizers.PATTERN), ("ids",)).first()
+    assert row["ids"] == reference.encode_ordinary(text)
+
+
 def test_decode_handles_split_characters(spark):
     vocabulary = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     ids = vocabulary.get().encode("😀").tolist()
@@ -98,6 +121,7 @@ def test_packing_places_every_token_once(make_docs):
     random.seed(1)
     texts = [" ".join(random.choices(["sun", "moon", "tree", "x"], k=n))
              for n in [0, 1, 5, 2047, 2048, 2049, 5000, *random.choices(range(1, 3000), k=60)]]
+    texts += ["a<|endoftext|> b<|endoftext|><|endoftext|>", "a\u0558a 中文 ½ ภาษาไทย", "sun " * 100_000]
     docs = make_docs([*enumerate(texts), (900, None), (901, ""), (5, texts[5]), (None, "sun")])
     rows = packing.pack(docs, bpe.Vocabulary(JSON, public_tokenizers.PATTERN)).collect()
     whole = Tokenizer.from_file(JSON)
@@ -173,6 +197,7 @@ def language_rows():
 def test_language_id(make_docs):
     rows = language_rows()
     extra = [(900, None, "aa"), (901, "", None), (902, "1234 !!", "bb"), (None, rows[0][1], "aa")]
+    extra += [(903, "² ½ ① Ⅷ ⑳", "aa"), (904, "\u0301 \u0e31", "bb")]
     docs = make_docs(rows + extra)
     contents = langid.learn(docs)
     assert sorted(contents) == ["aa", "bb", "cc"]
@@ -182,7 +207,7 @@ def test_language_id(make_docs):
     wrong = [i for i, _, lang in rows if by_id[i]["lang_pred"] != lang]
     assert not wrong
     assert all(0 <= r["score"] <= 1 for r in by_id.values())
-    for i in (900, 901, 902):
+    for i in (900, 901, 902, 903, 904):
         assert (by_id[i]["lang_pred"], by_id[i]["score"], by_id[i]["rejected"]) == ("und", 0.0, True)
     assert by_id[None]["lang_pred"] == "aa" and not by_id[None]["rejected"]
 
@@ -215,6 +240,43 @@ def test_language_of_long_texts():
     assert sum(map(len, pieces)) == 100_001 and max(map(len, pieces)) <= langid.PIECE_BYTES
 
 
+def test_language_is_the_smallest_of_sizes_taken_apart():
+    random.seed(12)
+    contents = {"aa": b"kalo misu tarne vodi " * 40, "bb": "größe fluß übel zwar ".encode() * 40}
+    classifier = langid.Classifier(tuple(contents.items()))
+    for _ in range(50):
+        words = random.choice(["kalo misu tarne", "fluß übel zwar", "other words"]).split()
+        text = " ".join(random.choices(words, k=random.randint(1, 9000)))
+        data = langid.letters_of(text)
+        sizes = {}
+        for lang, content in contents.items():
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=shared)
+            count = -(-len(data) // langid.PIECE_BYTES)
+            step = -(-len(data) // count)
+            sizes[lang] = sum(len(packer.compress(data[i : i + step])) for i in range(0, len(data), step))
+        found, score, _, _ = classifier.classify(text)
+        assert sizes[found] == min(sizes.values()) and 0 <= score <= 1
+
+
+def test_language_learns_from_all_of_a_text(make_docs):
+    assert langid.letters_of("ภาษาไทย नमस्ते x1y") == "ภาษาไทย नमस्ते x y".encode()
+    halves = [(4 * i, "kalo " * 3000 + f"fluß{i} " * 3000, "aa") for i in range(4)]
+    kept = [r for r in halves if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    content = langid.learn(make_docs(kept))["aa"]
+    assert b"kalo" in content and "fluß".encode() in content
+    data = bytes(range(256)) * 40
+    assert len(langid._shortened(data, 384)) == 384 and langid._shortened(b"abc", 384) == b"abc"
+    assert langid._shortened(data, 384)[-1] == data[-1]
+
+
+def test_language_sample_is_bounded_by_equal_rows(make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 8)
+    rows = [(1, "kalo misu", "aa")] * 3000 + [(i, f"größe fluß w{chr(97 + i % 26)}", "bb") for i in range(2, 3000)]
+    contents = langid.learn(make_docs(rows))
+    assert contents["aa"] == b"kalo misu" and contents["bb"].count(b"\n") == 7
+
+
 def test_language_learns_from_no_held_out_row(make_docs):
     rows = language_rows()
     kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
