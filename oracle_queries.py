@@ -540,6 +540,13 @@ ORACLE_SQL = {
                 WHERE mentioned IS NOT NULL)
           JOIN products ON lower(name) LIKE '%' || lower(term) || '%')
         SELECT term, rank::INT AS rank, product_id FROM found WHERE rank <= 5""",
+    "product_fuzzy_published": f"""WITH {PRODUCTS},
+        found AS (
+          SELECT term, product_id, row_number() OVER (
+                   PARTITION BY term ORDER BY popularity_global DESC, product_id) AS rank
+          FROM (SELECT DISTINCT substr(name, (source_key % 9)::INT + 1, (source_key % 6)::INT) AS term FROM products)
+          JOIN products ON contains(lower(name), lower(term)))
+        SELECT term, rank::INT AS rank, product_id FROM found WHERE rank <= 5""",
     "batch_search": f"""WITH {PRODUCTS}, {REQUESTS}, {SEARCHED}
         SELECT request_id, rank::INT AS rank, {SEARCH_COLUMNS} FROM searched WHERE rank <= 5""",
     "request_messages": f"""WITH {REQUESTS}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.product import STORES
 from wayfold.operators.cooccurrence import both_directions
 from wayfold.operators.joins import Lookup, lookup_join
-from wayfold.plans.scratch import staged
+from wayfold.operators.names import NameIndex, matches
 
 SEARCH_COLUMNS = (
     "product_id",
@@ -196,70 +196,22 @@ def product_fuzzy(
 
 
 def fuzzy_matches(
-    terms: DataFrame, products: DataFrame, k: int = 5, literal: bool = False
+    terms: DataFrame, names: NameIndex | DataFrame, k: int = 5, literal: bool = False
 ) -> DataFrame:
     """For each distinct ``term`` the ``k`` most popular products whose name contains it.
 
-    Returns ``term, rank, product_id``. ``%`` and ``_`` work as wildcards unless ``literal``, and a
-    backslash before one of them, or before another backslash, takes it as it stands. Every name is cut
-    into its pieces of the lengths of the terms' longest literal parts, and pieces meet these parts by
-    equality; only terms with wildcards are then held against the name. The work is linear in the names.
-    A term found in very many names costs no more than ``k`` rows per task, since only the most
-    popular are kept before the shuffle. An empty term is contained in every name.
+    Returns ``term, rank, product_id``. ``%`` and ``_`` work as wildcards unless ``literal``, see
+    :func:`wayfold.operators.names.matches`. ``names`` is the index of the product names; of a product table one is
+    built first. A term found in very many names costs no more than ``k`` rows per task, since only the
+    most popular are kept before the shuffle. An empty term is contained in every name.
     """
-    asked = staged(
-        terms.where(F.col("term").isNotNull())
-        .select("term", F.lower("term").alias("text"))
-        .distinct(),
-        "terms",
-    )
-    text = F.col("text")
-    parts = F.split(text, r"\\.|[%_\\]")
-    longest = F.element_at(F.array_sort(F.transform(parts, _with_length)), -1)["part"]
-    wild = F.lit(False) if literal else text.rlike(r"[%_\\]")
-    # A backslash that escapes nothing stands for itself.
-    lone = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\(?=[^%_\\]|$)", r"$1\\\\")
-    texts = Lookup.stage(
-        asked.select("text")
-        .distinct()
-        .select(
-            "text",
-            F.when(wild, longest).otherwise(text).alias("piece"),
-            F.when(wild, F.concat(F.lit("%"), lone, F.lit("%"))).alias("pattern"),
-        ),
-        ["piece"],
-        "term-texts",
-    )
-    names = products.where(F.col("name").isNotNull()).select(
-        "product_id", "popularity_global", F.lower("name").alias("folded")
-    )
-    reach = names.agg(F.coalesce(F.max(F.char_length("folded")), F.lit(0)).alias("n")).first()["n"]
-    # As many rows as there are different lengths, none above that of the longest name.
-    lengths = texts.df.select(F.char_length("piece").alias("size")).distinct()
-    sizes = [row["size"] for row in lengths.where(F.col("size") <= reach).collect()]
-
-    def pieces(name: Column) -> Column:
-        def of_length(size: int) -> Column:
-            last = F.char_length(name) - size + 1
-            cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(name, i, F.lit(size)))
-            return F.when(last > 0, cut).otherwise(none)
-
-        none = F.array().cast("array<string>")
-        return F.array_distinct(F.concat(none, *[of_length(size) for size in sizes]))
-
-    cut = names.withColumn("piece", F.explode(pieces(F.col("folded"))))
-    matched = lookup_join(cut, texts, ["piece"], "inner").where(
-        F.col("pattern").isNull() | F.like("folded", F.col("pattern"))
-    )
+    index = names if isinstance(names, NameIndex) else NameIndex.build(names)
+    asked, found = matches(terms, index, literal)
     order = [F.col("popularity_global").desc(), F.col("product_id").asc()]
-    best = top_per_key(matched, ["text"], order, k)
+    best = top_per_key(found, ["text"], order, k)
     return asked.join(best, "text").select("term", "rank", "product_id")
 
 
-def _with_length(part: Column) -> Column:
-    return F.struct(F.char_length(part).alias("size"), part.alias("part"))
-
-
 def embedding_text(products: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """``product_id, embedding_text``: name, frequent companions and age group as sentences.
 

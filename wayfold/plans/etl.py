@@ -12,6 +12,7 @@ from wayfold.operators.cooccurrence import (
     solo_sales_with_ids,
     undirected_edges,
 )
+from wayfold.operators.names import NameIndex
 from wayfold.plans.scratch import staged
 from wayfold.sources.catalog_files import read_catalog_json, read_matrix_cells
 from wayfold.sources.tables import load_raw, write_catalog, write_raw
@@ -40,7 +41,7 @@ def stage_catalog(
 
 
 def publish_catalog(spark: SparkSession, raw_root: str, root: str) -> str:
-    """Build the final tables from the staging tables and publish them as one version."""
+    """Build the final tables and the name index from the staging tables and publish them as one version."""
     raw = load_raw(spark, raw_root)
     products = staged(build_products(raw["products_raw"]), "products")
     edges = staged(edges_with_ids(raw["product_cooccurrence_raw"], products), "edges")
@@ -51,6 +52,7 @@ def publish_catalog(spark: SparkSession, raw_root: str, root: str) -> str:
                 raw["product_solo_sales_raw"], products
             ),
             "product_cooccurrence": edges,
+            **NameIndex.build(products).tables(),
         },
         root,
     )

@@ -22,6 +22,7 @@ from wayfold.sources.tables import (
     append_logs,
     load_raw,
     read_catalog,
+    read_name_index,
     validate_feedback,
     write_catalog,
     write_raw,
@@ -517,7 +518,7 @@ def product_fuzzy_batch(spark, sf_dir):
     terms = model.requests(spark, sf_dir).select(
         F.explode("mentioned_products").alias("term")
     )
-    return retrieval.fuzzy_matches(terms, stages.products(spark, sf_dir))
+    return retrieval.fuzzy_matches(terms, stages.name_index(spark, sf_dir))
 
 
 @query
@@ -526,7 +527,30 @@ def product_fuzzy_batch_wildcard(spark, sf_dir):
     terms = model.requests(spark, sf_dir).select(mentioned).select(
         F.concat(F.substring("term", 1, 2), F.lit("%"), F.expr("right(term, 1)"), F.lit("_")).alias("term")
     )
-    return retrieval.fuzzy_matches(terms, stages.products(spark, sf_dir))
+    return retrieval.fuzzy_matches(terms, stages.name_index(spark, sf_dir))
+
+
+@query
+def product_fuzzy_published(spark, sf_dir):
+    """Terms of none to five characters, looked up in the index published with the catalog."""
+    root = scratch_path(spark, "catalog-names")
+    products = stages.products(spark, sf_dir)
+    solo = cooccurrence.solo_from_baskets(_numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
+    write_catalog(
+        {
+            "products": products,
+            "product_solo_sales": solo.withColumnRenamed("item", "product_id"),
+            "product_cooccurrence": stages.edges(spark, sf_dir),
+            **stages.name_index(spark, sf_dir).tables(),
+        },
+        root,
+    )
+    size = F.pmod(F.col("p_partkey"), F.lit(6)).cast("int")
+    start = F.pmod(F.col("p_partkey"), F.lit(9)).cast("int") + 1
+    terms = products.join(
+        model.table(spark, sf_dir, "part").select("p_partkey"), F.col("p_partkey") == F.col("source_key")
+    ).select(F.substr("name", start, size).alias("term"))
+    return retrieval.fuzzy_matches(terms, read_name_index(spark, root))
 
 
 @query

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wayfold.operators.catalog import build_products
 from wayfold.operators.cooccurrence import add_graph_features, cooccurrence_from_baskets
 from wayfold.operators.hierarchy import Gazetteer, build_gazetteer, build_hierarchy
+from wayfold.operators.names import NameIndex
 from wayfold.plans import model
 from wayfold.plans.scratch import staged
 
@@ -81,3 +82,10 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
             add_graph_features(base_products(spark, sf_dir), edges(spark, sf_dir)), "products"
         ),
     )
+
+
+def name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
+    """The index of the product names, built with the catalog."""
+    return _once(
+        spark, sf_dir, "name-index", lambda: NameIndex.build(products(spark, sf_dir))
+    )

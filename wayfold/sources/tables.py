@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.operators.names import INDEX_TABLES, NameIndex
+
 RAW_TABLES = ("products_raw", "product_solo_sales_raw", "product_cooccurrence_raw")
 FINAL_TABLES = ("products", "product_solo_sales", "product_cooccurrence")
 
@@ -57,14 +59,14 @@ def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataF
 def write_catalog(tables: dict[str, DataFrame], root: str) -> str:
     """Write the final tables as a new version and make it the current one.
 
-    Spark has no transaction across tables. All tables of a version go to a new folder first;
+    The tables of a name index may be among them. Spark has no transaction across tables. All tables of a version go to a new folder first;
     then a single one-row append names it, and only that makes it visible to readers.
     """
     missing = set(FINAL_TABLES) - set(tables)
     if missing:
         raise ValueError(f"tables missing: {sorted(missing)}")
     version = uuid.uuid4().hex
-    for name in FINAL_TABLES:
+    for name in [*FINAL_TABLES, *(n for n in INDEX_TABLES if n in tables)]:
         tables[name].write.parquet(f"{root}/versions/{version}/{name}")
     spark = tables["products"].sparkSession
     spark.range(1).select(
@@ -75,12 +77,20 @@ def write_catalog(tables: dict[str, DataFrame], root: str) -> str:
 
 def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the version published last."""
+    folder = _last_version(spark, root)
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in FINAL_TABLES}
+
+
+def read_name_index(spark: SparkSession, root: str) -> NameIndex:
+    """The name index of the version published last."""
+    folder = _last_version(spark, root)
+    return NameIndex.over({name: spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES})
+
+
+def _last_version(spark: SparkSession, root: str) -> str:
     published = spark.read.parquet(f"{root}/published")
     version = published.agg(F.max_by("version", "published_at").alias("v")).first()["v"]
-    return {
-        name: spark.read.parquet(f"{root}/versions/{version}/{name}")
-        for name in FINAL_TABLES
-    }
+    return f"{root}/versions/{version}"
 
 
 def append_logs(logs: DataFrame, path: str) -> None:
