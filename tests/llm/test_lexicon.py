@@ -120,7 +120,7 @@ def test_random_texts(library, tokenizer):
     texts = ["".join(random.choices(alphabet, k=random.randint(0, 60))) for _ in range(2000)]
     words = sorted({w.encode() for t in texts[:500] for w in regex.findall(public_tokenizers.PATTERN, t)})
     short = [w for w in words if len(w) <= lexicon.LEXICON_BYTES]
-    some = held([(w, tuple(model.merge(w))) for w in short])
+    some = held([(w, tuple(ids)) for w, ids in zip(short, model.merge(short))])
     for text, ids in zip(texts, lexicon.encode_texts(texts, model, pattern, some), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 

@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from wayfold.llm.bpe import byte_characters
+from wayfold.llm.bpe import byte_characters, split_words
 from wayfold.llm.tables import share_file, slices, stored
 
 # Words in the lexicon at most, and bytes of its longest word.
@@ -35,9 +37,8 @@ LEXICON_BYTES = 32
 COUNTED_WORDS = 200_000
 # Counts are told apart by so many leading bits when the least count of the lexicon is chosen.
 COUNT_BITS = 5
-
-# The pattern's classes are the same in all libraries' Unicode versions below this character.
-_AGREED = re.compile("[\x00-ԯ]*")
+# Characters of text whose words are looked up together.
+TOGETHER = 1 << 22
 
 
 class State:
@@ -238,13 +239,15 @@ class WordModel:
 
     def words(self, text: str, pattern: regex.Pattern) -> list[str]:
         """Words of a stretch without added tokens."""
-        if _AGREED.fullmatch(text):
-            return pattern.findall(text)
-        return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
+        return split_words(text, pattern, self.splitter)
 
-    def merge(self, word: bytes) -> list[int]:
-        spelled = word.decode("latin-1").translate(self.spelling)
-        return [t.id for t in self.model.tokenize(spelled)]
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word by the vocabulary's merges."""
+        spelled = b"".join(words).decode("latin-1").translate(self.spelling)
+        tokenize = self.model.tokenize
+        ends = list(accumulate(map(len, words), initial=0))
+        # One character for each byte, so the words lie where their bytes did.
+        return [[t.id for t in tokenize(spelled[a:b])] for a, b in zip(ends, ends[1:])]
 
 
 @dataclass(frozen=True)
@@ -345,7 +348,7 @@ def compile_lexicon(
     """Count all words of the corpus and compile the frequent ones; every executor gets the file once."""
     model, _ = tokenizer.get()
     words = sorted(frequent_words(word_counts(docs, tokenizer, text_col), most))
-    entries = [(w, tuple(model.merge(w))) for w in words]
+    entries = [(w, tuple(ids)) for w, ids in zip(words, model.merge(words))]
     name = share_file(docs.sparkSession, flat(minimal_transducer(entries)), "lexicon")
     return Lexicon(tokenizer, name, len(words))
 
@@ -359,13 +362,13 @@ def _word_ids(
     missed = np.flatnonzero(~held)
     if not len(missed):
         return ids, sizes
-    merged = [model.merge(spelled[i]) for i in missed]
-    sizes[missed] = [len(m) for m in merged]
+    merged = model.merge([spelled[i] for i in missed.tolist()])
+    sizes[missed] = list(map(len, merged))
     # Held words keep their order, merged ones go between them.
     result = np.empty(int(sizes.sum()), dtype=np.int32)
     from_lexicon = np.repeat(held, sizes)
     result[from_lexicon] = ids
-    result[~from_lexicon] = [i for m in merged for i in m]
+    result[~from_lexicon] = list(chain.from_iterable(merged))
     return result, sizes
 
 
@@ -373,8 +376,9 @@ def encode_texts(
     texts: list[str], model: WordModel, pattern: regex.Pattern, transducer: Transducer
 ) -> list[np.ndarray]:
     """Ids of each text. Words are looked up once per call, however often they occur."""
-    # The empty word stands for added tokens and has no ids of its own.
-    numbers: dict[str, int] = {"": 0}
+    # A new word gets the next number. The empty word stands for added tokens and has no ids of its own.
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    numbers[""]
     tokens: list[int] = []
     counts = []
     marks: list[tuple[int, int]] = []
@@ -385,7 +389,7 @@ def encode_texts(
                 marks.append((len(tokens), model.added[stretch]))
                 tokens.append(0)
             else:
-                tokens.extend([numbers.setdefault(w, len(numbers)) for w in model.words(stretch, pattern)])
+                tokens.extend(map(numbers.__getitem__, model.words(stretch, pattern)))
         counts.append(len(tokens) - before)
     ids, sizes = _word_ids(list(numbers), model, transducer)
     begins = np.cumsum(sizes) - sizes
@@ -402,6 +406,19 @@ def encode_texts(
     return [whole[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in parts of rows whose texts together are about so long, or one row that is longer alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part.column(1).to_pylist()]
+        start = stop
+
+
 def encode(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of every whole text, as the tokenizers library gives them without special tokens around.
 
@@ -416,10 +433,10 @@ def encode(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pattern = shipped.value.get()
         transducer = _transducer(name)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = pa.array(encode_texts(texts, model, pattern, transducer), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+        for batch in batches:
+            for part, texts in _together(batch):
+                ids = pa.array(encode_texts(texts, model, pattern, transducer), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
 
@@ -445,11 +462,13 @@ def decode(
         model, _ = shipped.value.get()
         size = len(model.token_bytes)
         for batch in slices(batches):
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                if ids and not (0 <= min(ids) and max(ids) < size):
-                    raise ValueError("ids outside the vocabulary")
-                texts.append(b"".join(map(model.token_bytes.__getitem__, ids or [])).decode("utf-8", "replace"))
+            ids = batch.column(1)
+            flat = ids.flatten().to_numpy()
+            if len(flat) and not (0 <= flat.min() and flat.max() < size):
+                raise ValueError("ids outside the vocabulary")
+            spelled = list(map(model.token_bytes.__getitem__, flat.tolist()))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+            texts = [b"".join(spelled[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, ids_col, "text"])
 
