@@ -606,6 +606,17 @@ ORACLE_SQL = {
                  AS rank FROM scored)
         SELECT vec_id, similar_id, round(score, 6) AS similarity, rank::INT AS rank
         FROM ranked WHERE rank <= 5""",
+    "similar_by_embedding_batch": """
+        WITH scored AS (
+          SELECT a.vec_id, b.vec_id AS similar_id,
+                 list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+          FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+          WHERE a.vec_id % 10 = 0),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, similar_id)
+                 AS rank FROM scored)
+        SELECT vec_id, similar_id, round(score, 6) AS similarity, rank::INT AS rank
+        FROM ranked WHERE rank <= 5""",
     "log_stats": f"""WITH {LOGS}
         SELECT count(*) AS total_queries, round(avg(success::INT), 6) AS success_rate,
                round(avg(response_time_ms), 6) AS avg_response_time_ms,

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import requests as Q
 from wayfold.operators import retrieval as R
-from wayfold.operators.similarity import similar_by_embedding
+from wayfold.operators import similarity
+from wayfold.operators.similarity import similar_by_embedding, similar_by_embedding_batch
 
 SCHEMA = (
     "product_id long, name string, segment string, category string, type string, "
@@ -235,3 +237,83 @@ def test_nearest_vectors(spark):
     got = similar_by_embedding(vectors, [0, 2], 2).orderBy("vec_id", "rank").collect()
     assert [(r["vec_id"], r["similar_id"]) for r in got] == [(0, 4), (0, 1), (2, 1), (2, 0)]
     assert similar_by_embedding(vectors, [77]).count() == 0
+
+
+VECTOR = "vec_id long, embedding array<double>"
+
+
+def nearest(rows, asked, k):
+    """Plain comparison of all with all; of an id's copies the smallest vector is asked."""
+    usable = [(i, np.array(v)) for i, v in rows if i is not None and good_vector(v)]
+    own = {}
+    for i, v in usable:
+        if i not in own or v.tolist() < own[i].tolist():
+            own[i] = v
+    units = [(i, v / np.abs(v).max()) for i, v in usable]
+    units = [(i, v / np.linalg.norm(v)) for i, v in units]
+    found = {}
+    for a in {i for i in asked if i in own}:
+        q = own[a] / np.abs(own[a]).max()
+        q = q / np.linalg.norm(q)
+        best = sorted({(-round(float(u @ q), 9), i) for i, u in units if i != a and len(u) == len(q)})
+        found[a] = [i for _, i in best[:k]]
+    return found
+
+
+def good_vector(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+
+def batch(spark, rows, asked, k):
+    vectors = spark.createDataFrame(rows, VECTOR)
+    wanted = spark.createDataFrame([(i,) for i in asked], "vec_id long")
+    found = {}
+    for r in similar_by_embedding_batch(vectors, wanted, k).orderBy("vec_id", "rank").collect():
+        found.setdefault(r["vec_id"], []).append(r["similar_id"])
+    return found
+
+
+def clustered(n, dim, clusters, noise, seed=5):
+    random_ = np.random.default_rng(seed)
+    centres = random_.normal(size=(clusters, dim))
+    return [(i, (centres[i % clusters] + noise * random_.normal(size=dim)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_nearest_vectors_of_a_table(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rows = clustered(150, 6, 9, 0.2)
+    copies = [(1000 + i, rows[3][1]) for i in range(25)] + [(2000 + i, [2 * x for x in rows[3][1]]) for i in range(3)]
+    odd = [(3000, None), (3001, []), (3002, [0.0] * 6), (3003, [float("nan")] * 6), (3004, [None] * 6)]
+    odd += [(3005, [float("inf")] * 6), (None, rows[0][1]), (3006, [1e200] * 6), (3007, [1e-200] * 6)]
+    rows = rows + copies + odd
+    asked = [0, 3, 7, 8, 1010, 2001, 3000, 3002, 3006, 77, 77, 9999, None]
+    assert batch(spark, rows, asked, 4) == nearest(rows, asked, 4)
+
+
+def test_nearest_vectors_by_shuffle_joins(spark, shuffled):
+    rows = clustered(60, 4, 5, 0.3)
+    assert batch(spark, rows, range(0, 60, 7), 3) == nearest(rows, range(0, 60, 7), 3)
+
+
+def test_nearest_vectors_of_several_lengths_and_of_few(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.2]), (3, [1.0]), (4, [1.0, 0.1, 0.0]), (5, [3.0]), (6, [0.0, 1.0, 1.0])]
+    assert batch(spark, rows, range(1, 7), 5) == nearest(rows, range(1, 7), 5)
+    assert batch(spark, rows[:1], [1], 5) == {} and batch(spark, [], [1], 5) == {}
+
+
+def test_few_pairs_of_clustered_vectors_are_scored(spark, monkeypatch):
+    rows = clustered(4000, 8, 40, 0.02)
+    asked = range(0, 4000, 10)
+    scored = []
+    whole = similarity._scores
+
+    def counted(tables, pairs, *kept):
+        met = pairs.join(tables.data.groupBy("cell", "ring", "part").count(), ["cell", "ring", "part"])
+        scored.append(met.agg(F.sum("count")).first()[0] or 0)
+        return whole(tables, pairs, *kept)
+
+    monkeypatch.setattr(similarity, "_scores", counted)
+    assert batch(spark, rows, asked, 5) == nearest(rows, asked, 5)
+    assert sum(scored) < 0.1 * len(asked) * len(rows)
+    print("share of pairs scored", sum(scored) / (len(asked) * len(rows)))

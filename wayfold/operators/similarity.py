@@ -1,11 +1,24 @@
-"""Nearest vectors of given ones."""
+"""Nearest vectors: of a few given ones by one scan, of a table of them by blocks and bounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.operators.retrieval import top_per_key
+from wayfold.plans.scratch import staged
+
+# Centres of cells at most, width of the rings around a centre, and vectors of a block. These change the work only.
+MOST_CENTRES = 256
+RING = 0.05
+BLOCK = 2048
+# Room for rounding in bounds; similarities themselves are compared as they are.
+SLACK = 1e-7
+# No two unit vectors are farther apart.
+FARTHEST = 2.0
 
 
 def similar_by_embedding(
@@ -41,6 +54,196 @@ def similar_by_embedding(
     )
 
 
+def similar_by_embedding_batch(
+    vectors: DataFrame, asked: DataFrame, k: int = 5, id_col: str = "vec_id"
+) -> DataFrame:
+    """As :func:`similar_by_embedding` for a table of ids: exact, without comparing all with all.
+
+    Vectors lie in cells around a bounded number of centres, in rings by their distance to the centre, in blocks
+    of bounded size. A first round compares each asked vector with the blocks of its own ring, which
+    bounds how far its neighbours can be. By the triangle inequality a block whose ring is farther from
+    the vector holds none of them, and a second round compares what is left. Vectors that are null, of
+    another length, zero or not finite have no similarity. Of an id's copies the smallest vector is asked.
+    """
+    tables = _Blocks(vectors, k, id_col)
+    wanted = asked.select(F.col(id_col).alias("asked_id")).distinct()
+    mine = lookup_join(
+        tables.smallest.withColumnRenamed("id", "asked_id"),
+        Lookup.stage(wanted, ["asked_id"], "similar-asked"),
+        ["asked_id"],
+        "left_semi",
+    )
+    mine = staged(mine.select("asked_id", "h", "g"), "similar-own")
+    queries = tables.queries(mine.select("h", "g").distinct())
+    scored = staged(_first_round(tables, queries, k), "similar-first")
+    rest = _scores(tables, _second_round(tables, queries, scored, k))
+    best = _best_ids(scored.select("query", "similarity", "ids").union(rest), k + 1)
+    # All ids of one vector share its neighbours; each leaves itself out.
+    named = mine.join(queries.select("query", "h", "g"), ["h", "g"]).select("asked_id", "query")
+    found = best.join(named, "query").where(F.col("asked_id") != F.col("similar_id"))
+    order = [F.col("similarity").desc(), F.col("similar_id").asc()]
+    return top_per_key(
+        found.select(F.col("asked_id").alias(id_col), "similar_id", "similarity"), [id_col], order, k
+    )
+
+
+class _Blocks:
+    """Different vectors in blocks, and the rings of the blocks.
+
+    Of equal vectors only the ``k + 1`` smallest ids can be among anyone's neighbours, so many copies of one
+    vector are one row.
+    """
+
+    def __init__(self, vectors: DataFrame, k: int, id_col: str):
+        spark = vectors.sparkSession
+        vector = F.col("embedding").cast("array<double>")
+        finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        some = F.exists(vector, lambda x: x != 0)
+        usable = vectors.where(F.col(id_col).isNotNull() & vector.isNotNull() & finite & some).select(
+            F.col(id_col).alias("id"), vector.alias("v")
+        )
+        # Scaled by the largest component, so that squares neither overflow nor vanish.
+        largest = F.array_max(F.transform("v", F.abs))
+        usable = usable.withColumn("v", F.transform("v", lambda x: x / largest)).withColumns(
+            {"h": F.xxhash64("v"), "g": F.xxhash64(F.lit("second"), "v")}
+        )
+        usable = staged(usable, "similar-usable")
+        self.smallest = usable.groupBy("id").agg(F.min(F.struct("v", "h", "g")).alias("s")).select("id", "s.h", "s.g")
+        few = top_per_key(usable.select("id", "h", "g").distinct(), ["h", "g"], [F.col("id").asc()], k + 1)
+        ids = few.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        different = usable.groupBy("h", "g").agg(F.any_value("v").alias("v"))
+        whole = staged(different.join(ids, ["h", "g"]), "similar-vectors")
+        sizes = whole.agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")
+        ).first()
+        self.size = sizes["most"] if sizes["least"] == sizes["most"] else None
+        self.centres = self._centres(whole, sizes["n"])
+        near = F.array_min(
+            F.transform(
+                F.col("centres"),
+                lambda c: F.struct(_distance(self.dot(F.col("u"), c["v"])).alias("d"), c["cell"].alias("cell")),
+            )
+        )
+        placed = (
+            whole.withColumn("length", F.sqrt(self.dot(F.col("v"), F.col("v"))))
+            .withColumn("u", F.transform("v", lambda x: x / F.col("length")))
+            .withColumn("centres", self.centres.scalar())
+            .withColumn("near", near)
+            .select("h", "g", "v", "u", "length", "ids", "near.cell", "near.d")
+            .withColumn("ring", F.floor(F.col("d") / RING).cast("int"))
+        )
+        placed = staged(placed, "similar-placed")
+        parts = placed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+        part = F.pmod("h", F.col("parts")).cast("int")
+        self.data = staged(
+            lookup_join(placed, Lookup.stage(parts, ["cell", "ring"], "similar-parts"), ["cell", "ring"])
+            .withColumn("part", part)
+            .drop("parts"),
+            "similar-blocks",
+        )
+        rings = self.data.groupBy("cell", "ring", "part").agg(
+            F.min("d").alias("low"), F.max("d").alias("high"), F.sum(F.size("ids")).alias("held")
+        )
+        self.rings = Lookup.stage(rings, ["cell"], "similar-rings")
+        self.blocks = Lookup.over(
+            self.data.select("cell", "ring", "part", F.col("v").alias("w"), F.col("length").alias("length_w"), "ids"),
+            ["cell", "ring", "part"],
+        )
+
+    def _centres(self, whole: DataFrame, total: int) -> DataFrame:
+        """One row: an array of ``cell`` and unit vector; vectors drawn by hash, about the root of their number."""
+        wanted = min(MOST_CENTRES, math.isqrt(max(total - 1, 0)) + 1)
+        below = min(1.0, 4 * wanted / max(1, total))
+        drawn = whole.where(F.pmod("g", F.lit(1 << 30)) <= int(below * (1 << 30)))
+        few = drawn.orderBy("g", "h").limit(wanted).select(_unit(F.col("v"), self.dot).alias("v"))
+        rows = staged(few, "similar-centres").agg(F.sort_array(F.collect_list("v")).alias("a"))
+        numbered = F.transform("a", lambda v, i: F.struct(i.alias("cell"), v.alias("v")))
+        return rows.select(numbered.alias("centres"))
+
+    def dot(self, left: Column, right: Column) -> Column:
+        """Scalar product, null for vectors of different lengths."""
+        return _dot(left, right) if self.size else F.when(F.size(left) == F.size(right), _dot(left, right))
+
+    def queries(self, keys: DataFrame) -> DataFrame:
+        """The asked vectors with a number, their cell and their distances to all centres."""
+        distances = F.transform("centres", lambda c: _distance(self.dot(F.col("u"), c["v"])))
+        rows = (
+            self.data.join(keys, ["h", "g"])
+            # A few vectors make very many pairs, so they are dealt to all tasks.
+            .repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+            .withColumn("centres", self.centres.scalar())
+            .select(F.monotonically_increasing_id().alias("query"), "h", "g", "v", "length", "cell", "d", distances.alias("to"))
+        )
+        return staged(rows, "similar-queries")
+
+
+def _unit(vector: Column, dot) -> Column:
+    length = F.sqrt(dot(vector, vector))
+    return F.transform(vector, lambda x: x / length)
+
+
+def _distance(cosine: Column) -> Column:
+    return F.sqrt(F.greatest(2 - 2 * cosine, F.lit(0.0)))
+
+
+def _gap(low: str, high: str, at: Column) -> Column:
+    """How far a ring is at least from a vector at a distance from its centre."""
+    return F.greatest(F.col(low) - at, at - F.col(high), F.lit(0.0))
+
+
+def _first_round(tables: _Blocks, queries: DataFrame, k: int) -> DataFrame:
+    """Scores within the nearest blocks of the own cell that hold enough ids, with the block they are from."""
+    near = lookup_join(queries.select("query", "cell", "d"), tables.rings, ["cell"], "inner")
+    window = Window.partitionBy("query").orderBy("gap", "ring", "part")
+    held = F.sum("held").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = (
+        near.withColumn("gap", _gap("low", "high", F.col("d")))
+        .withColumn("before", F.coalesce(held, F.lit(0)))
+        .where(F.col("before") <= k)
+        .select("query", "cell", "ring", "part")
+    )
+    return _scores(tables, chosen.join(queries.select("query", "v", "length"), "query"), "cell", "ring", "part")
+
+
+def _second_round(tables: _Blocks, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """Blocks that may hold a better neighbour than the first round found, with the asked vector."""
+    best = _best_ids(scored.select("query", "similarity", "ids"), k + 1)
+    bound = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
+    reach = F.when(F.col("n") > k, _distance(F.col("least")) + SLACK).otherwise(FARTHEST + SLACK)
+    asked = queries.join(bound.select("query", reach.alias("reach")), "query", "left").select(
+        "query", "v", "length", F.coalesce("reach", F.lit(FARTHEST + SLACK)).alias("reach"), F.posexplode("to").alias("cell", "at")
+    )
+    rings = tables.rings.df
+    spans = Lookup.stage(
+        rings.groupBy("cell").agg(F.min("low").alias("first"), F.max("high").alias("last")), ["cell"], "similar-spans"
+    )
+    cells = lookup_join(asked, spans, ["cell"], "inner").where(
+        _gap("first", "last", F.col("at")) <= F.col("reach")
+    )
+    open_ = lookup_join(cells.drop("first", "last"), tables.rings, ["cell"], "inner").where(
+        _gap("low", "high", F.col("at")) <= F.col("reach")
+    )
+    done = scored.select("query", "cell", "ring", "part").distinct()
+    return open_.select("query", "v", "length", "cell", "ring", "part").join(
+        done, ["query", "cell", "ring", "part"], "left_anti"
+    )
+
+
+def _scores(tables: _Blocks, pairs: DataFrame, *kept: str) -> DataFrame:
+    """Similarity of each asked vector to all vectors of its blocks."""
+    met = lookup_join(pairs, tables.blocks, ["cell", "ring", "part"], "inner")
+    cosine = tables.dot(F.col("v"), F.col("w")) / (F.col("length") * F.col("length_w"))
+    return met.select("query", cosine.alias("similarity"), "ids", *kept).where(
+        F.col("similarity").isNotNull()
+    )
+
+
+def _best_ids(scores: DataFrame, k: int) -> DataFrame:
+    each = scores.select("query", "similarity", F.explode("ids").alias("similar_id"))
+    order = [F.col("similarity").desc(), F.col("similar_id").asc()]
+    return top_per_key(each, ["query"], order, k).drop("rank")
+
+
 def _dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a * b)
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

@@ -605,6 +605,13 @@ def similar_by_embedding(spark, sf_dir):
     )
 
 
+@query
+def similar_by_embedding_batch(spark, sf_dir):
+    vectors = model.table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 10 == 0).select("vec_id")
+    return _rounded(similarity.similar_by_embedding_batch(vectors, asked), "similarity")
+
+
 # Request logs
 
 
