@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.operators import requests as Q
+from wayfold.operators import names, similarity
 from wayfold.operators import retrieval as R
-from wayfold.operators import similarity
 from wayfold.operators.similarity import similar_by_embedding, similar_by_embedding_batch
 
 SCHEMA = (
@@ -317,3 +317,51 @@ def test_few_pairs_of_clustered_vectors_are_scored(spark, monkeypatch):
     assert batch(spark, rows, asked, 5) == nearest(rows, asked, 5)
     assert sum(scored) < 0.1 * len(asked) * len(rows)
     print("share of pairs scored", sum(scored) / (len(asked) * len(rows)))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_terms_of_any_length_in_the_index(spark, monkeypatch, large):
+    if large:
+        monkeypatch.setattr("wayfold.operators.joins.BROADCAST_BYTES", -1)
+    monkeypatch.setattr(names, "BLOCK_BITS", 3)
+    rng = random.Random(7)
+    rows = [(i * 5, "".join(rng.choices("abÄ %_\\", k=rng.randint(0, 12))), rng.random()) for i in range(150)]
+    rows += [(9000, None, 1.0), (9001, "aaaaaaaaaaaa", 0.0), (9002, "x" * 3000 + "end", 0.5)]
+    products = spark.createDataFrame(rows, "product_id long, name string, popularity_global double")
+    terms = {"".join(rng.choices("abä %", k=rng.randint(0, 6))) for _ in range(150)} | {"", "aaaa", "xxxx", "xend", "x" * 2000}
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {}
+    for r in R.fuzzy_matches(asked, products, 3, literal=True).orderBy("term", "rank").collect():
+        got.setdefault(r["term"], []).append(r["product_id"])
+    expected = {}
+    for term in terms:
+        found = sorted((-p, i) for i, n, p in rows if n is not None and term.lower() in n.lower())
+        if found:
+            expected[term] = [i for _, i in found[:3]]
+    assert got == expected and len(expected) > 40
+
+
+def test_rare_pieces_lead_to_few_candidates(spark, monkeypatch):
+    rows = [(i, f"red widget #{i}", 0.5) for i in range(2000)]
+    products = spark.createDataFrame(rows, "product_id long, name string, popularity_global double")
+    index = names.NameIndex.build(products)
+    looked_up = []
+    whole = names.lookup_join
+
+    def counted(left, lookup, *args, **kwargs):
+        if lookup is index.names:
+            looked_up.append(left.count())
+        return whole(left, lookup, *args, **kwargs)
+
+    monkeypatch.setattr(names, "lookup_join", counted)
+    asked = spark.createDataFrame([(f"Widget #{i}",) for i in range(100, 2000, 10)], "term string")
+    assert R.fuzzy_matches(asked, index, 1).count() == 190
+    # All names share most of a term's pieces; those it has of its own leave few names to compare.
+    assert looked_up[0] < 190 * 25
+
+
+def test_names_that_cannot_be_indexed_are_errors(spark):
+    for row in [(1, "x" * (1 << names.POSITION_BITS), 0.1), (1 << names.ID_BITS, "x", 0.1), (-1, "x", 0.1)]:
+        products = spark.createDataFrame([row], "product_id long, name string, popularity_global double")
+        with pytest.raises(Exception, match="too long"):
+            names.NameIndex.build(products)
