@@ -34,17 +34,30 @@ def primary_state(ancestors: Column | str) -> Column:
 
 
 def common_ancestor_level(left: Column, right: Column) -> Column:
+    """Level two places share, from their ancestor chains."""
+    shared = F.array_intersect(left["ancestors"], right["ancestors"])
+    deepest = F.array_max(F.transform(shared, lambda a: a["level"]))
+    return shared_level(
+        left,
+        right,
+        F.array_contains(right["ancestors"]["id"], left["id"]),
+        F.array_contains(left["ancestors"]["id"], right["id"]),
+        deepest,
+    )
+
+
+def shared_level(
+    left: Column, right: Column, left_above: Column, right_above: Column, deepest: Column
+) -> Column:
     """Level two places share.
 
     The same place gives its level, a container gives the container's level; otherwise the
     highest level among shared ancestors, never below the country level. The order of the cases
     matters when levels do not grow down the tree.
     """
-    shared = F.array_intersect(left["ancestors"], right["ancestors"])
-    deepest = F.array_max(F.transform(shared, lambda a: a["level"]))
     return (
         F.when(left["id"] == right["id"], left["level"])
-        .when(F.array_contains(right["ancestors"]["id"], left["id"]), left["level"])
-        .when(F.array_contains(left["ancestors"]["id"], right["id"]), right["level"])
+        .when(left_above, left["level"])
+        .when(right_above, right["level"])
         .otherwise(F.greatest(F.lit(COUNTRY_LEVEL), deepest))
     )

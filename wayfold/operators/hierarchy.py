@@ -9,14 +9,22 @@ A ``country`` column, when present, is carried along and separates the lookups.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import normalize_name
+from wayfold.operators import joins
+from wayfold.operators.intervals import range_minima, with_intervals
 from wayfold.operators.joins import Lookup, lookup_join
-from wayfold.plans.scratch import staged_and_measured
+from wayfold.plans.scratch import staged, staged_and_measured
+
+# Places up to which their range minima, 8 bytes times the logarithm for each, go to every task.
+MOST_LABELLED = 1 << 16
+# Steps of pointer doubling taken before a small tree is looked at again.
+LAZY_STEPS = 2
 
 
 def _carried(df: DataFrame) -> list[str]:
@@ -27,8 +35,8 @@ def build_hierarchy(nodes: DataFrame) -> DataFrame:
     """Ancestor chains of a node table, by pointer doubling.
 
     Every node holds a piece of its chain and points at the node above that piece; a round appends
-    the piece found there, so the pieces double and a tree of depth ``d`` takes ``log2(d)`` joins. Each
-    round is written out, so a lost executor costs one round and not the whole walk.
+    the piece found there, so the pieces double and a tree of depth ``d`` takes ``log2(d)`` joins. Rounds
+    are written out, those of a small tree a few at a time, so a lost executor costs little of the walk.
 
     A node without a level is dropped together with everything below it. A parent that is not in the
     table and a node that is its own ancestor are errors.
@@ -49,30 +57,15 @@ def build_hierarchy(nodes: DataFrame) -> DataFrame:
         .withColumn("ancestors", F.array(own))
         .withColumn("up", F.col("parent_id"))
     )
-    columns = chains.columns
-    pending, round_number = 1, 0
-    while pending:
+    table, _, size = staged_and_measured(chains, "nodes")
+    while True:
+        # A small tree is doubled several times at once: a stored step takes longer than it saves.
+        for _ in range(LAZY_STEPS if size <= joins.BROADCAST_BYTES else 1):
+            table = _doubled(table, size)
         seen = Observation()
-        watched = chains.observe(seen, F.count("up").alias("pending"))
-        table, _, size = staged_and_measured(watched, f"chains-{round_number}")
-        pending, round_number = seen.get["pending"], round_number + 1
-        if not pending:
+        table, _, size = staged_and_measured(table.observe(seen, F.count("up").alias("pending")), "chains")
+        if not seen.get["pending"]:
             break
-        above = table.select(
-            F.col("id").alias("up"),
-            F.col("path").alias("above_path"),
-            F.col("ancestors").alias("above_chain"),
-            F.col("up").alias("next"),
-        )
-        longer = (
-            lookup_join(
-                table.where(F.col("up").isNotNull()), Lookup(above, ("up",), size), ["up"]
-            )
-            .withColumn("path", F.concat("above_path", "path"))
-            .withColumn("ancestors", F.concat("ancestors", _sound_chain()))
-            .withColumn("up", F.col("next"))
-        )
-        chains = table.where(F.col("up").isNull()).unionByName(longer.select(*columns))
     levels = F.transform("ancestors", lambda a: a["level"].isNotNull())
     whole = table.where(F.forall(levels, lambda known: known))
     return whole.select(
@@ -87,6 +80,23 @@ def build_hierarchy(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _doubled(table: DataFrame, size: int) -> DataFrame:
+    """One step of pointer doubling."""
+    above = table.select(
+        F.col("id").alias("up"),
+        F.col("path").alias("above_path"),
+        F.col("ancestors").alias("above_chain"),
+        F.col("up").alias("next"),
+    )
+    longer = (
+        lookup_join(table.where(F.col("up").isNotNull()), Lookup(above, ("up",), size), ["up"])
+        .withColumn("path", F.concat("above_path", "path"))
+        .withColumn("ancestors", F.concat("ancestors", _sound_chain()))
+        .withColumn("up", F.col("next"))
+    )
+    return table.where(F.col("up").isNull()).unionByName(longer.select(*table.columns))
+
+
 def _sound_chain() -> Column:
     """The piece of chain found above, or an error where there is none or the node is in it."""
     absent = F.concat(
@@ -103,32 +113,55 @@ def _sound_chain() -> Column:
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """A hierarchy with its two name lookups, each holding one row per key."""
+    """A hierarchy with its two name lookups, each holding one row per key.
+
+    ``ranges`` is the one-row table by which labelled places are compared; without it the lookups hold
+    places with their ancestor chains.
+    """
 
     nodes: DataFrame
     by_city: Lookup
     by_city_state: Lookup
     has_country: bool
+    ranges: DataFrame | None = None
 
 
 def build_gazetteer(hierarchy: DataFrame) -> Gazetteer:
     """Stage the lookups of a stored hierarchy.
 
     A lookup row holds the number of places with that key and the first of them in document
-    order, never the whole list, so a very common name costs one row and joins never fan out.
+    order, never the whole list, so a very common name costs one row and joins never fan out. Places are
+    labelled by intervals while the table of range minima is small enough to go to every task.
     """
-    nodes, extra = hierarchy, _carried(hierarchy)
-    by_city = nodes.groupBy(*extra, "name").agg(*_match_summary())
-    by_city_state = (
-        nodes.select("*", F.explode(ancestor_names()).alias("state"))
+    extra = _carried(hierarchy)
+    places = hierarchy.count()
+    labelled = 0 < places <= MOST_LABELLED
+    nodes = with_intervals(hierarchy) if labelled else hierarchy
+    # Rows without a state are the lookup by name alone; both come from one pass.
+    states = F.concat(F.array(F.lit(None).cast("string")), ancestor_names())
+    by_name = (
+        nodes.select("*", F.explode(states).alias("state"))
         .groupBy(*extra, "name", "state")
-        .agg(*_match_summary())
+        .agg(F.count(F.lit(1)).alias("n"), F.min_by(place(labelled), F.col("path")).alias("first"))
     )
+    # The two tables do not depend on each other.
+    with ThreadPoolExecutor(2) as pool:
+        ranges = pool.submit(lambda: staged(range_minima(hierarchy, places), "ranges") if labelled else None)
+        names, _, size = pool.submit(staged_and_measured, by_name, "place-names").result()
+        ranges = ranges.result()
+    alone, within = names.where("state is null").drop("state"), names.where("state is not null")
+
+    def lookup(table: DataFrame, keys: list[str]) -> Lookup:
+        if size <= joins.BROADCAST_BYTES:
+            return Lookup(table, tuple(keys), size)
+        return Lookup.over(table, keys)
+
     return Gazetteer(
-        nodes,
-        Lookup.stage(by_city, [*extra, "name"], "by-city"),
-        Lookup.stage(by_city_state, [*extra, "name", "state"], "by-city-state"),
+        hierarchy,
+        lookup(alone, [*extra, "name"]),
+        lookup(within, [*extra, "name", "state"]),
         bool(extra),
+        ranges,
     )
 
 
@@ -138,21 +171,13 @@ def ancestor_names() -> Column:
     return F.array_distinct(F.transform(proper, lambda a: a["name"]))
 
 
-def place() -> Column:
-    """The place struct used by :func:`wayfold.functions.places.common_ancestor_level`."""
+def place(labelled: bool) -> Column:
+    """What a lookup knows of a place: its interval or, where there is none, its ancestor chain."""
+    known = [F.col("id").alias("id"), F.col("admin_level").alias("level")]
+    if labelled:
+        return F.struct(*known, "enter", "leave")
     chain = F.transform("ancestors", lambda a: F.struct(a["id"].alias("id"), a["level"].alias("level")))
-    return F.struct(
-        F.col("id").alias("id"),
-        F.col("admin_level").alias("level"),
-        chain.alias("ancestors"),
-    )
-
-
-def _match_summary() -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(place(), F.col("path")).alias("first"),
-    ]
+    return F.struct(*known, chain.alias("ancestors"))
 
 
 def hierarchy_totals(hierarchy: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from wayfold.functions.places import COUNTRY_LEVEL, common_ancestor_level
 from wayfold.functions.text import is_empty, normalize_name
 from wayfold.operators import joins
 from wayfold.operators.hierarchy import Gazetteer, ancestor_names
+from wayfold.operators.intervals import with_shared_level
 from wayfold.operators.joins import Lookup, hot_keys, lookup_join
 from wayfold.plans.scratch import staged
 
@@ -206,7 +207,8 @@ def match_levels(
     pairs = pairs.drop("expected_level", "is_ambiguous")
     keyed, sides = _keyed_pairs(pairs, gaz, country, (_ONE, _TWO))
     if mode == "first":
-        scored = _scored(_attach(keyed, gaz, sides, strict_state), _first_level())
+        levels = _with_first_level(_attach(keyed, gaz, sides, strict_state), gaz)
+        scored = _scored(levels, F.col("_wf_level"))
         return scored.select(*pairs.columns, "expected_level", "is_ambiguous")
     if pairs.isStreaming:
         raise ValueError("the best level needs the distinct keys of a finite table")
@@ -236,8 +238,12 @@ def _unmatched() -> Column:
     return (F.col(f"n{_ONE}") == 0) | (F.col(f"n{_TWO}") == 0)
 
 
-def _first_level() -> Column:
-    return common_ancestor_level(F.col(f"first{_ONE}"), F.col(f"first{_TWO}"))
+def _with_first_level(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
+    """Add the level shared by the first matches, by their intervals or their ancestor chains."""
+    one, two = f"first{_ONE}", f"first{_TWO}"
+    if gaz.ranges is None:
+        return resolved.withColumn("_wf_level", common_ancestor_level(F.col(one), F.col(two)))
+    return with_shared_level(resolved, one, two, gaz.ranges, "_wf_level")
 
 
 def _scored(resolved: DataFrame, level: Column) -> DataFrame:
@@ -291,8 +297,8 @@ def _best_scored(resolved: DataFrame, gaz: Gazetteer) -> DataFrame:
     )
     best = best_levels(staged(key_pairs, "key-pairs"), gaz)
     table = Lookup.stage(best, ["few", "many"], "best-levels")
-    level = F.coalesce("_best", _first_level())
-    return _scored(lookup_join(resolved, table, ["_few", "_many"]), level)
+    found = lookup_join(_with_first_level(resolved, gaz), table, ["_few", "_many"])
+    return _scored(found, F.coalesce("_best", "_wf_level"))
 
 
 def best_levels(key_pairs: DataFrame, gaz: Gazetteer) -> DataFrame:

@@ -150,6 +150,8 @@ def write_gazetteer(gaz: Gazetteer, root: str) -> None:
     gaz.nodes.write.parquet(f"{root}/nodes")
     gaz.by_city.df.write.parquet(f"{root}/by_city")
     gaz.by_city_state.df.write.parquet(f"{root}/by_city_state")
+    if gaz.ranges is not None:
+        gaz.ranges.write.parquet(f"{root}/ranges")
 
 
 def read_gazetteer(spark: SparkSession, root: str) -> Gazetteer:
@@ -158,9 +160,11 @@ def read_gazetteer(spark: SparkSession, root: str) -> Gazetteer:
     extra = ["country"] if "country" in nodes.columns else []
     by_city = spark.read.parquet(f"{root}/by_city")
     by_city_state = spark.read.parquet(f"{root}/by_city_state")
+    labelled = "enter" in by_city.schema["first"].dataType.names
     return Gazetteer(
         nodes,
         Lookup.over(by_city, [*extra, "name"]),
         Lookup.over(by_city_state, [*extra, "name", "state"]),
         bool(extra),
+        spark.read.parquet(f"{root}/ranges") if labelled else None,
     )
