@@ -137,6 +137,20 @@ def match_sql(best: bool = False, strict: bool = False, country: bool = False) -
     LEFT JOIN levels ON a = pa.id AND b = pb.id"""
 
 
+MISSPELLED_PLACES = """
+asked AS (
+  SELECT c_custkey,
+         CASE c_custkey % 5 WHEN 0 THEN c_mktsegment[:1] || c_mktsegment[3:] || 'q'
+                            WHEN 1 THEN 'x' || c_mktsegment[2:]
+                            WHEN 2 THEN c_mktsegment || 'qz'
+                            WHEN 3 THEN 'xx' || c_mktsegment[3:] ELSE c_mktsegment END AS city,
+         CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' WHEN c_custkey % 3 = 0 THEN n_name
+              WHEN c_custkey % 3 = 1 THEN 'z' || n_name[2:-2] END AS state,
+         CASE WHEN c_custkey % 11 = 0 THEN 'ATLANTIS' WHEN c_custkey % 4 = 0 THEN lower(r_name)
+              ELSE r_name END AS country
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+
 MISSPELLED = """
 asked AS (
   SELECT c_custkey,
@@ -422,6 +436,53 @@ ORACLE_SQL = {
                coalesce(e.first_id, d.first_id) AS first_id
         FROM fixed LEFT JOIN exact e ON e.name = known AND above_name = state
         LEFT JOIN named d ON d.name = known""",
+    "geo_fuzzy_far": f"""WITH RECURSIVE {TREE}, {MISSPELLED_PLACES},
+        names AS (SELECT DISTINCT name FROM places),
+        fixes AS (
+          SELECT typo, arg_min(name, (levenshtein(typo, name), name)) AS nearest
+          FROM (SELECT DISTINCT lower(city) AS typo FROM asked) t JOIN names
+            ON levenshtein(typo, name) <= 2
+          WHERE typo NOT IN (SELECT name FROM names) GROUP BY 1),
+        fixed AS (
+          SELECT asked.*, nearest, coalesce(nearest, lower(city)) AS known
+          FROM asked LEFT JOIN fixes ON typo = lower(city)),
+        exact AS (
+          SELECT p.name, above_name, count(DISTINCT p.id) AS n, arg_min(p.id, ord) AS first_id
+          FROM places p JOIN up ON up.id = p.id AND step > 0 GROUP BY 1, 2),
+        named AS (
+          SELECT name, count(*) AS n, arg_min(id, ord) AS first_id FROM places GROUP BY 1)
+        SELECT c_custkey, city, nearest AS corrected_city, coalesce(e.n, d.n, 0) AS n,
+               coalesce(e.first_id, d.first_id) AS first_id
+        FROM fixed LEFT JOIN exact e ON e.name = known AND above_name = lower(state)
+        LEFT JOIN named d ON d.name = known""",
+    "geo_fuzzy_country": f"""WITH RECURSIVE {COUNTRY_TREE}, {MISSPELLED_PLACES},
+        exact AS (
+          SELECT p.country, p.name, above_name AS state, count(DISTINCT p.id) AS n, arg_min(p.id, ord) AS first_id
+          FROM places p JOIN up ON up.id = p.id AND step > 0 GROUP BY 1, 2, 3),
+        named AS (
+          SELECT country, name, count(*) AS n, arg_min(id, ord) AS first_id FROM places GROUP BY 1, 2),
+        keys AS (
+          SELECT DISTINCT lower(country) AS land, lower(city) AS typo, lower(state) AS region FROM asked),
+        single AS (
+          SELECT land, typo, arg_min(name, (levenshtein(typo, name), name)) AS nearest
+          FROM (SELECT DISTINCT land, typo FROM keys) k JOIN named ON country = land AND levenshtein(typo, name) <= 2
+          GROUP BY 1, 2),
+        pairs AS (
+          SELECT land, typo, region, arg_min(struct_pack(city := name, state := state),
+                 (levenshtein(typo, name) + levenshtein(region, state), levenshtein(typo, name), name, state)) AS best
+          FROM keys JOIN exact ON country = land AND levenshtein(typo, name) <= 2 AND levenshtein(region, state) <= 2
+          GROUP BY 1, 2, 3),
+        fixed AS (
+          SELECT c_custkey, land, typo, region, coalesce(p.best.city, s.nearest, typo) AS city_now,
+                 coalesce(p.best.state, region) AS state_now
+          FROM (SELECT *, lower(country) AS land, lower(city) AS typo, lower(state) AS region FROM asked)
+          LEFT JOIN single s USING (land, typo)
+          LEFT JOIN pairs p USING (land, typo, region))
+        SELECT c_custkey, CASE WHEN city_now <> typo THEN city_now END AS corrected_city,
+               CASE WHEN state_now <> region THEN state_now END AS corrected_state,
+               coalesce(e.n, d.n, 0) AS n, coalesce(e.first_id, d.first_id) AS first_id
+        FROM fixed LEFT JOIN exact e ON e.country = land AND e.name = city_now AND e.state = state_now
+        LEFT JOIN named d ON d.country = land AND d.name = city_now""",
     "catalog_products": f"WITH {PRODUCTS} SELECT * FROM products",
     "catalog_raw_tables": f"""WITH {TYPE_CELLS}
         SELECT 'products_raw' AS name, count(*) AS rows, sum(p_partkey)::BIGINT AS total FROM part

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.places import path_string, primary_state
 from wayfold.operators import hierarchy as H
 from wayfold.operators import matching as M
+from wayfold.operators.typos import near_names, nearest_names
 from wayfold.sources.json_tree import (
     load_gazetteer,
     read_gazetteer,
@@ -187,26 +188,90 @@ def test_typos_are_corrected_wherever_they_are(spark, mini):
     assert two[3] == "funchal"
 
 
-def test_deletion_forms_find_every_near_name(spark):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 4])
+def test_all_near_names_within_their_scope(spark, limit):
+    rng = random.Random(limit)
+    rows = [(rng.choice("xy"), "".join(rng.choices("abé", k=rng.randint(0, 14)))) for _ in range(160)]
+    asked, known = rows[::2] + [("x", None), (None, "ab")], rows[1::2] + [("y", None), (None, "ab")]
+    got = near_names(
+        spark.createDataFrame(asked, "land string, name string"),
+        spark.createDataFrame(known, "land string, name string"),
+        limit,
+        ["land"],
+    ).collect()
+    expected = {
+        (k, a, b, distance(a, b))
+        for k, a in asked
+        for q, b in known
+        if k == q and None not in (k, a, b) and distance(a, b) <= limit
+    }
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_city_and_state_are_corrected_together(spark, monkeypatch, large):
+    if large:
+        monkeypatch.setattr("wayfold.operators.joins.BROADCAST_BYTES", -1)
+    rows = [
+        (0, None, 0, "Land", 2, "A"), (1, 0, 0, "Norte", 4, "A"), (2, 0, 1, "Sorte", 4, "A"),
+        (3, 1, 0, "Porto", 8, "A"), (4, 2, 0, "Porta", 8, "A"), (5, 2, 1, "Braga", 8, "A"),
+        (6, None, 1, "Other", 2, "B"), (7, 6, 0, "Norte", 4, "B"), (8, 7, 0, "Porty", 8, "B"),
+    ]
+    nodes = spark.createDataFrame(
+        rows, "id long, parent_id long, position int, name string, admin_level int, country string"
+    )
+    gaz = H.build_gazetteer(H.build_hierarchy(nodes))
+    asked = [
+        (0, "Porto", "Norte", "a"),  # known
+        (1, "Portx", "Xorte", "A"),  # two pairs at one distance: the first by city
+        (2, "Porto", "Sorta", "A"),  # the pair is nearer than the known city alone
+        (3, "Brago", "elsewhere", "A"),  # no pair: the city alone
+        (4, "Portx", "Norte", "B"),  # within its own country
+        (5, "Portx", None, "A"),  # no state: nothing to correct it with
+        (6, None, "Norte", "A"),
+        (7, "Porto", "Norte", "C"),
+        (8, "zzzzz", "Norte", "A"),
+    ]
+    df = spark.createDataFrame(
+        [(*r, "kept") for r in asked], "i int, city string, state string, land string, _wf_city_code string"
+    )
+    found = M.resolve_fuzzy(df, gaz, max_distance=1, country="land", correct_state=True)
+    assert found.columns[:5] == df.columns
+    got = {r["i"]: (r["corrected_city"], r["corrected_state"], r["n"], r["first"] and r["first"]["id"]) for r in found.collect()}
+    assert got == {
+        0: (None, None, 1, 3),
+        1: ("porta", "sorte", 1, 4),
+        2: ("porta", "sorte", 1, 4),
+        3: ("braga", None, 1, 5),
+        4: ("porty", None, 1, 8),
+        5: ("porta", None, 1, 4),
+        6: (None, None, 0, None),
+        7: (None, None, 0, None),
+        8: (None, None, 0, None),
+    }
+
+
+def test_parts_find_every_near_name(spark):
     rng = random.Random(5)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(120)})
     unknown, known = words[::2], words[1::2]
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    for limit in (1, 2):
+    for limit in (1, 2, 3):
         expected = {}
         for u in unknown:
             best = min((distance(u, k), k) for k in known)
             if best[0] <= limit:
                 expected[u] = best[1]
-        got = M.nearest_names(
+        got = nearest_names(
             spark.createDataFrame([(u,) for u in unknown], "name string"),
             spark.createDataFrame([(k,) for k in known], "name string"),
             limit,

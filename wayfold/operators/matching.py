@@ -15,6 +15,7 @@ from wayfold.operators import joins
 from wayfold.operators.hierarchy import Gazetteer, ancestor_names
 from wayfold.operators.intervals import with_shared_level
 from wayfold.operators.joins import Lookup, hot_keys, lookup_join
+from wayfold.operators.typos import near_names, nearest_names
 from wayfold.plans.scratch import staged
 
 # Stands for NULL in a join key; a folded name never ends in white space.
@@ -47,7 +48,7 @@ def resolve(
     (NULL when the name alone did).
     """
     side = _Side(city, state, country, suffix)
-    return _drop_keys(_attach(_with_keys(df, gaz, [side]), gaz, [side], strict_state))
+    return _drop_keys(_attach(_with_keys(df, gaz, [side]), gaz, [side], strict_state), gaz, [side])
 
 
 def resolve_pairs(
@@ -59,7 +60,7 @@ def resolve_pairs(
     """Resolve both sides of a pair table; absent city or state columns read as NULL."""
     keyed, sides = _keyed_pairs(pairs, gaz, country, ("_1", "_2"))
     absent = [c for c in PAIR_COLUMNS if c not in pairs.columns]
-    return _drop_keys(_attach(keyed, gaz, sides, strict_state)).drop(*absent)
+    return _drop_keys(_attach(keyed, gaz, sides, strict_state), gaz, sides).drop(*absent)
 
 
 def _keyed_pairs(
@@ -105,8 +106,8 @@ def _with_keys(df: DataFrame, gaz: Gazetteer, sides: list[_Side]) -> DataFrame:
     return df.withColumns(keys)
 
 
-def _drop_keys(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(("_wf_city", "_wf_state", "_wf_country"))])
+def _drop_keys(df: DataFrame, gaz: Gazetteer, sides: list[_Side]) -> DataFrame:
+    return df.drop(*[key for side in sides for key in side.keys(gaz)])
 
 
 def _attach(
@@ -411,71 +412,82 @@ def resolve_fuzzy(
     city: str = "city",
     state: str = "state",
     max_distance: int = 1,
+    country: str | None = None,
+    correct_state: bool = False,
 ) -> DataFrame:
     """As :func:`resolve`, with names that match nothing replaced by the nearest known name.
 
     The nearest name is the one with the smallest edit distance within ``max_distance``, the
-    alphabetically first of equals. Adds ``corrected_city`` (NULL when nothing was corrected).
+    alphabetically first of equals; in a gazetteer of several countries, among those of the row's
+    country. Adds ``corrected_city`` (NULL when nothing was corrected).
+
+    ``correct_state`` corrects both names together where a state is given and the pair is not known:
+    of all known pairs with both names within ``max_distance``, the one with the smallest sum of distances
+    is taken, then the smallest distance of the city, then the first by city and state. Without such a pair the
+    city alone is corrected. Adds ``corrected_state``, too.
     """
-    if gaz.has_country:
-        raise ValueError("typo correction works on a gazetteer without countries")
-    keyed = _with_keys(df, gaz, [_Side(city, state, None, "")])
-    known = gaz.by_city.df.select("name")
-    unknown = (
-        keyed.select(F.col("_wf_city").alias("name"))
-        .where(F.col("name").isNotNull())
-        .distinct()
-        .join(known, "name", "left_anti")
-    )
-    fixes = Lookup.stage(
-        nearest_names(unknown, known, max_distance), ["name"], "name-fixes"
-    )
-    fixed = lookup_join(keyed, fixes, ["_wf_city"])
-    fixed = fixed.withColumn("_wf_city", F.coalesce("nearest", "_wf_city"))
-    resolved = _attach(fixed, gaz, [_Side(city, state, None, "")], False)
-    return _drop_keys(resolved).withColumnRenamed("nearest", "corrected_city")
+    side = _Side(city, state, country, "")
+    keyed = _with_keys(df, gaz, [side])
+    *scope, city_key, state_key = side.keys(gaz)
+    known = gaz.by_city.df.select(*scope_names(gaz), "name").withColumnsRenamed(_scoped(gaz, scope))
+    cities = keyed.select(*scope, F.col(city_key).alias("name")).distinct()
+    unknown = cities.join(known, [*scope, "name"], "left_anti")
+    nearest = nearest_names(unknown, known, max_distance, scope)
+    fixes = Lookup.stage(nearest, [*scope, "name"], "name-fixes")
+    fixed = lookup_join(keyed, fixes, [*scope, city_key])
+    new_city, new_state = F.coalesce("nearest", city_key), F.col(state_key)
+    if correct_state:
+        pairs = Lookup.stage(
+            _nearest_pairs(keyed, gaz, [*scope, city_key, state_key], max_distance),
+            [*scope, city_key, state_key],
+            "pair-fixes",
+        )
+        fixed = lookup_join(fixed, pairs, [*scope, city_key, state_key])
+        new_city, new_state = F.coalesce("_wf_pair.city", new_city), F.coalesce("_wf_pair.state", state_key)
+    fixed = fixed.withColumns(
+        {
+            "corrected_city": F.when(new_city != F.col(city_key), new_city),
+            "corrected_state": F.when(new_state != F.col(state_key), new_state),
+            city_key: new_city,
+            state_key: new_state,
+        }
+    ).drop("nearest", "_wf_pair")
+    resolved = _drop_keys(_attach(fixed, gaz, [side], False), gaz, [side])
+    return resolved if correct_state else resolved.drop("corrected_state")
 
 
-def nearest_names(
-    unknown: DataFrame, known: DataFrame, max_distance: int
-) -> DataFrame:
-    """For each distinct ``name`` in ``unknown`` the nearest one in ``known``.
+def scope_names(gaz: Gazetteer) -> list[str]:
+    return ["country"] if gaz.has_country else []
 
-    Two names within edit distance d become equal after deleting at most d characters from each,
-    so an equi-join on those deletion forms finds every candidate. No first-letter or length
-    block is needed, and none would be exact.
-    """
-    left = unknown.select("name", _deletion_forms("name", max_distance).alias("form"))
-    right = known.select(
-        F.col("name").alias("candidate"),
-        _deletion_forms("name", max_distance).alias("form"),
-    )
-    distance = F.levenshtein("name", "candidate")
-    return (
-        left.join(right, "form")
-        .withColumn("distance", distance)
-        .where(F.col("distance") <= max_distance)
-        .groupBy("name")
-        .agg(F.min_by("candidate", F.struct("distance", "candidate")).alias("nearest"))
-    )
 
+def _scoped(gaz: Gazetteer, scope: list[str]) -> dict[str, str]:
+    return dict(zip(scope_names(gaz), scope))
 
-def _deletion_forms(name: str, deletions: int) -> Column:
-    def shorter(text: Column) -> Column:
-        positions = F.sequence(F.lit(1), F.char_length(text))
-        cut = F.transform(
-            positions,
-            lambda i: F.concat(
-                F.substring(text, F.lit(1), i - 1), F.substr(text, i + 1)
-            ),
-        )
-        return F.when(F.char_length(text) > 0, cut).otherwise(
-            F.array().cast("array<string>")
-        )
 
-    forms = F.array(F.col(name))
-    for _ in range(deletions):
-        forms = F.array_distinct(
-            F.concat(forms, F.flatten(F.transform(forms, shorter)))
-        )
-    return F.explode(forms)
+def _nearest_pairs(
+    keyed: DataFrame, gaz: Gazetteer, keys: list[str], max_distance: int
+) -> DataFrame:
+    """The keys whose city and state are given but not known together, with the nearest known pair."""
+    *scope, city, state = keys
+    pairs = gaz.by_city_state.df.select(*scope_names(gaz), "name", "state").withColumnsRenamed(
+        {**_scoped(gaz, scope), "name": "candidate", "state": "known_state"}
+    )
+    exact = pairs.withColumnsRenamed({"candidate": city, "known_state": state})
+    wanted = (
+        keyed.select(*keys)
+        .where(F.col(city).isNotNull() & F.col(state).isNotNull())
+        .distinct()
+        .join(exact, keys, "left_anti")
+    )
+    wanted = staged(wanted, "unknown-pairs")
+    cities = wanted.select(*scope, F.col(city).alias("name"))
+    near = near_names(cities, pairs.withColumnRenamed("candidate", "name"), max_distance, scope)
+    near = Lookup.stage(near.withColumnRenamed("distance", "of_city"), [*scope, "name"], "near-cities")
+    met = lookup_join(wanted, near, [*scope, city], "inner")
+    states = Lookup.stage(pairs, [*scope, "candidate"], "known-pairs")
+    both = lookup_join(met, states, [*scope, "candidate"], "inner").withColumn(
+        "of_state", F.levenshtein(state, "known_state", max_distance)
+    )
+    order = F.struct(F.col("of_city") + F.col("of_state"), "of_city", "candidate", "known_state")
+    pair = F.struct(F.col("candidate").alias("city"), F.col("known_state").alias("state"))
+    return both.where("of_state >= 0").groupBy(*keys).agg(F.min_by(pair, order).alias("_wf_pair"))

@@ -177,6 +177,29 @@ def misspelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def misspelled_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place per customer with its country; city and state carry up to two typos each."""
+    name, key = F.col("c_mktsegment"), F.col("c_custkey")
+    nations = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    people = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return people.select(
+        "c_custkey",
+        F.when(key % 5 == 0, F.expr("concat(substr(c_mktsegment, 1, 1), substr(c_mktsegment, 3), 'q')"))
+        .when(key % 5 == 1, F.expr("concat('x', substr(c_mktsegment, 2))"))
+        .when(key % 5 == 2, F.concat(name, F.lit("qz")))
+        .when(key % 5 == 3, F.expr("concat('xx', substr(c_mktsegment, 3))"))
+        .otherwise(name)
+        .alias("city"),
+        F.when(key % 7 == 0, "nowhere")
+        .when(key % 3 == 0, F.col("n_name"))
+        .when(key % 3 == 1, F.expr("concat('z', substr(n_name, 2, length(n_name) - 2))"))
+        .alias("state"),
+        F.when(key % 11 == 0, "ATLANTIS").when(key % 4 == 0, F.lower("r_name")).otherwise(F.col("r_name")).alias("country"),
+    )
+
+
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as raw products, their sales by store taken from the order lines."""
     part, key = table(spark, sf_dir, "part"), F.col("p_partkey")

@@ -188,6 +188,32 @@ def geo_fuzzy(spark, sf_dir):
     )
 
 
+@query
+def geo_fuzzy_far(spark, sf_dir):
+    """City names with up to two typos."""
+    found = matching.resolve_fuzzy(
+        model.misspelled_places(spark, sf_dir), stages.gazetteer(spark, sf_dir), max_distance=2
+    )
+    return found.select(
+        "c_custkey", "city", "corrected_city", "n", F.col("first.id").alias("first_id")
+    )
+
+
+@query
+def geo_fuzzy_country(spark, sf_dir):
+    """Cities and states with up to two typos each, corrected together within their country."""
+    found = matching.resolve_fuzzy(
+        model.misspelled_places(spark, sf_dir),
+        stages.country_gazetteer(spark, sf_dir),
+        max_distance=2,
+        country="country",
+        correct_state=True,
+    )
+    return found.select(
+        "c_custkey", "corrected_city", "corrected_state", "n", F.col("first.id").alias("first_id")
+    )
+
+
 # Catalog
 
 
