@@ -716,6 +716,11 @@ ORACLE_SQL = {
                round(sum(llm_tokens_used) * 0.2::DOUBLE / 1000, 6) AS cost_usd,
                sum(llm_tokens_used) * 0.2::DOUBLE / 1000 > 400 AS alert
         FROM logs GROUP BY 1""",
+    "log_rollup_percentiles": f"""WITH {LOGS}
+        SELECT intent_type, count(*) AS timed, true AS p50, true AS p95, true AS p99
+        FROM logs WHERE response_time_ms IS NOT NULL GROUP BY 1""",
+    "log_rollup_sessions": f"""WITH {LOGS}
+        SELECT intent_type, count(DISTINCT session_id) AS sessions, true AS near FROM logs GROUP BY 1""",
     "log_rate_breaches": f"""WITH {LOGS},
         periods AS (
           SELECT session_id, 'minute' AS period, date_trunc('minute', timestamp) AS start,
@@ -772,3 +777,8 @@ ORACLE_SQL = {
     "log_window_metrics": WINDOW_METRICS,
     "stream_log_metrics": WINDOW_METRICS,
 }
+
+# The rollup answers as the logs do.
+ORACLE_SQL["log_rollup_stats"] = ORACLE_SQL["log_stats"]
+ORACLE_SQL["log_rollup_by_intent"] = ORACLE_SQL["log_by_intent"]
+ORACLE_SQL["log_rollup_budget"] = ORACLE_SQL["log_monthly_budget"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.places import path_string, primary_state
 from wayfold.functions.product import store_key
 from wayfold.functions.text import is_empty, normalize_name
-from wayfold.operators import catalog, cooccurrence, hierarchy, matching, querylog
+from wayfold.operators import catalog, cooccurrence, hierarchy, matching, querylog, rollup
 from wayfold.operators import requests as product_requests
 from wayfold.operators import retrieval, similarity
 from wayfold.plans import model, stages
@@ -714,6 +714,68 @@ def log_rate_breaches(spark, sf_dir):
     return result.withColumn("start", _text_time("start"))
 
 
+def _rollup(spark, sf_dir) -> DataFrame:
+    """The rollup of logs that came in two goes, the second one late rows of some days."""
+
+    def build() -> DataFrame:
+        logs = model.query_logs(spark, sf_dir)
+        path, kept = scratch_path(spark, "rolled-logs"), scratch_path(spark, "rollup")
+        late = F.col("log_id") % 97 == 0
+        for part in (logs.where(~late), logs.where(late)):
+            append_logs(part, path)
+            rollup.refresh_rollup(spark, path, kept, token_cap=500)
+        return spark.read.parquet(kept)
+
+    return stages.once(spark, sf_dir, "log-rollup", build)
+
+
+@query
+def log_rollup_stats(spark, sf_dir):
+    stats = rollup.stats(_rollup(spark, sf_dir))
+    return _rounded(stats, *stats.columns[1:])
+
+
+@query
+def log_rollup_by_intent(spark, sf_dir):
+    result = rollup.performance(_rollup(spark, sf_dir)).drop("sessions")
+    return _rounded(result, "avg_latency", "avg_results", "success_rate")
+
+
+@query
+def log_rollup_budget(spark, sf_dir):
+    return _rounded(rollup.budget(_rollup(spark, sf_dir), USD_PER_1000_TOKENS), "cost_usd")
+
+
+LEVELS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+
+
+def _ranks_hold(found: DataFrame, logs: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether the rank of each reported percentile is as near the wanted one as the sketch states."""
+    met = logs.where(F.col("response_time_ms").isNotNull()).join(F.broadcast(found), keys)
+    value = F.col("response_time_ms")
+    checks = []
+    for name, level in LEVELS.items():
+        low = F.count_if(value < F.col(name)) / F.count(F.lit(1)) <= level + rollup.RANK_ERROR
+        high = F.count_if(value <= F.col(name)) / F.count(F.lit(1)) >= level - rollup.RANK_ERROR
+        checks.append((low & high).alias(name))
+    return met.groupBy(*keys).agg(F.count(F.lit(1)).alias("timed"), *checks)
+
+
+@query
+def log_rollup_percentiles(spark, sf_dir):
+    found = rollup.percentiles(_rollup(spark, sf_dir), LEVELS)
+    return _ranks_hold(found, model.query_logs(spark, sf_dir), ["intent_type"])
+
+
+@query
+def log_rollup_sessions(spark, sf_dir):
+    """Exact numbers of sessions by intent, and whether the sketches' estimates are within 5 %."""
+    found = rollup.performance(_rollup(spark, sf_dir)).select("intent_type", F.col("sessions").alias("estimate"))
+    exact = model.query_logs(spark, sf_dir).groupBy("intent_type").agg(F.count_distinct("session_id").alias("sessions"))
+    near = F.abs(F.col("estimate") - F.col("sessions")) <= 0.05 * F.col("sessions")
+    return exact.join(found, "intent_type").select("intent_type", "sessions", near.alias("near"))
+
+
 @query
 def log_latest(spark, sf_dir):
     result = querylog.latest_logs(model.query_logs(spark, sf_dir))

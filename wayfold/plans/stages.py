@@ -22,7 +22,7 @@ from wayfold.plans.scratch import staged
 _built: dict[tuple[str, str, str], Any] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any]) -> Any:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _built:
         _built[key] = build()
@@ -30,7 +30,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Any])
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    return _once(
+    return once(
         spark,
         sf_dir,
         "gazetteer",
@@ -39,7 +39,7 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
 
 
 def country_gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    return _once(
+    return once(
         spark,
         sf_dir,
         "country-gazetteer",
@@ -49,7 +49,7 @@ def country_gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
 
 def base_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products without graph features; ``source_key`` is the part they come from."""
-    return _once(
+    return once(
         spark,
         sf_dir,
         "base-products",
@@ -69,12 +69,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             pairs.toDF("product_id_1", "product_id_2", "cooccurrence_count"), "edges"
         )
 
-    return _once(spark, sf_dir, "edges", build)
+    return once(spark, sf_dir, "edges", build)
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final product table."""
-    return _once(
+    return once(
         spark,
         sf_dir,
         "products",
@@ -86,6 +86,6 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
     """The index of the product names, built with the catalog."""
-    return _once(
+    return once(
         spark, sf_dir, "name-index", lambda: NameIndex.build(products(spark, sf_dir))
     )
