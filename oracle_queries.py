@@ -518,6 +518,18 @@ ORACLE_SQL = {
         SELECT segment, count(*) AS products,
                count(*) / (SELECT count(*) FROM products WHERE min_age <= 12) AS share
         FROM products WHERE min_age <= 12 GROUP BY 1""",
+    "catalog_share_sets": f"""WITH {PRODUCTS},
+        base AS (SELECT segment, category, count(*) AS n FROM products GROUP BY 1, 2),
+        whole AS (SELECT sum(n) AS total FROM base)
+        SELECT b.segment, category, 0 AS grouping_id, n AS products, round(n / s.total, 6) AS share
+        FROM base b JOIN (SELECT segment, sum(n) AS total FROM base GROUP BY 1) s
+          ON s.segment IS NOT DISTINCT FROM b.segment
+        UNION ALL
+        SELECT segment, NULL, 1, sum(n)::BIGINT, round(sum(n) / any_value(total), 6) FROM base, whole GROUP BY 1
+        UNION ALL
+        SELECT NULL, category, 2, sum(n)::BIGINT, round(sum(n) / any_value(total), 6) FROM base, whole GROUP BY 2
+        UNION ALL
+        SELECT NULL, NULL, 3, sum(n)::BIGINT, round(sum(n) / any_value(total), 6) FROM base, whole""",
     "store_keys": f"WITH {REQUESTS} SELECT request_id, store FROM requests",
     "matrix_from_file": f"WITH {TYPE_CELLS} SELECT * FROM cells",
     "matrix_long": f"WITH {TYPE_CELLS} SELECT * FROM cells",
@@ -782,3 +794,9 @@ ORACLE_SQL = {
 ORACLE_SQL["log_rollup_stats"] = ORACLE_SQL["log_stats"]
 ORACLE_SQL["log_rollup_by_intent"] = ORACLE_SQL["log_by_intent"]
 ORACLE_SQL["log_rollup_budget"] = ORACLE_SQL["log_monthly_budget"]
+# Maintained tables are those built from all baskets.
+ORACLE_SQL["edges_maintained"] = ORACLE_SQL["cooccurrence_baskets"]
+ORACLE_SQL["solo_maintained"] = ORACLE_SQL["solo_baskets"]
+ORACLE_SQL["degrees_maintained"] = f"""
+    SELECT item_1 AS item, count(*) AS num_neighbors, sum(count)::BIGINT AS total_cooccurrence
+    FROM ({ORACLE_SQL["cooccurrence_baskets"]}) GROUP BY 1"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.product import (
@@ -110,9 +110,45 @@ def catalog_share(
 ) -> DataFrame:
     """Products per value of ``by`` with their share of all products that pass ``where``."""
     chosen = products if where is None else products.where(where)
-    total = chosen.agg(F.count(F.lit(1))).scalar()
+    return share_of_total(chosen, F.col(by), "products")
+
+
+def share_of_total(df: DataFrame, by: Column, count: str, counted: Column | None = None) -> DataFrame:
+    """Rows per group with their ``share`` of all rows; ``counted`` limits which of them the groups count.
+
+    The total adds up the groups, by the same aggregate and from the same shuffle, so the rows are read once.
+    """
+    counted = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    groups = df.groupBy(by).agg(F.count_if(counted).alias(count), F.count(F.lit(1)).alias("_rows"))
+    # Never false: it only keeps both counts in the total's aggregate, so that Spark sees the same shuffle.
+    all_rows = F.when(F.col(count) <= F.col("_rows"), F.col("_rows"))
+    total = groups.agg(F.sum(all_rows)).scalar()
+    return (
+        groups.where(F.col(count) > 0)
+        .withColumn("share", F.col(count) / total)
+        .where(F.col("_rows") > 0)
+        .drop("_rows")
+    )
+
+
+def share_sets(df: DataFrame, outer: str, inner: str, count: str = "products") -> DataFrame:
+    """Rows by ``outer``, by ``inner``, by both and in all, from one scan.
+
+    ``grouping_id`` is 0 for both, 1 for ``outer`` alone, 2 for ``inner`` alone, 3 for all. ``share`` is that of
+    the parent: a pair's of its ``outer`` value, everything else's of all rows. NULL is a value like others.
+    """
+    both = [F.col(outer), F.col(inner)]
+    sets = df.groupingSets([both, both[:1], both[1:], []], *both).agg(
+        F.grouping_id().cast("int").alias("grouping_id"), F.count(F.lit(1)).alias(count)
+    )
+    # A parent is in the same aggregate: for pairs the row of their outer value, for the rest that of all.
+    pair = F.col("grouping_id") == 0
+    scope = F.when(pair | (F.col("grouping_id") == 1), F.col(outer))
+    by_outer = Window.partitionBy(F.col("grouping_id") <= 1, scope)
+    within = F.max(F.when(F.col("grouping_id") == 1, F.col(count))).over(by_outer)
+    whole = sets.agg(F.max(F.when(F.col("grouping_id") == 3, F.col(count)))).scalar()
     return (
-        chosen.groupBy(by)
-        .agg(F.count(F.lit(1)).alias("products"))
-        .withColumn("share", F.col("products") / total)
+        sets.withColumns({"_within": within, "_whole": whole})
+        .withColumn("share", F.col(count) / F.when(pair, F.col("_within")).otherwise(F.col("_whole")))
+        .drop("_within", "_whole")
     )

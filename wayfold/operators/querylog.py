@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.catalog import share_of_total
 from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.operators.percentiles import exact_percentiles
 from wayfold.sources.tables import rating_ok
@@ -83,26 +84,16 @@ def latency_percentiles(logs: DataFrame, by: str = "intent_type") -> DataFrame:
 
 
 def intent_distribution(logs: DataFrame) -> DataFrame:
-    total = logs.agg(F.count(F.lit(1))).scalar()
-    return (
-        logs.groupBy("intent_type")
-        .agg(F.count(F.lit(1)).alias("queries"))
-        .withColumn("share", F.col("queries") / total)
-    )
+    """Queries per intent with their share, from one scan."""
+    return share_of_total(logs, F.col("intent_type"), "queries")
 
 
 def tool_opportunities(
     logs: DataFrame, pattern: Column, share: float = OPPORTUNITY_SHARE
 ) -> DataFrame:
     """Patterns that reach the fallback in at least ``share`` of all queries."""
-    total = logs.agg(F.count(F.lit(1))).scalar()
-    return (
-        logs.where(F.col("used_fallback"))
-        .groupBy(pattern.alias("pattern"))
-        .agg(F.count(F.lit(1)).alias("queries"))
-        .withColumn("share", F.col("queries") / total)
-        .where(F.col("share") >= share)
-    )
+    found = share_of_total(logs, pattern.alias("pattern"), "queries", F.col("used_fallback"))
+    return found.where(F.col("share") >= share)
 
 
 def budget_flags(

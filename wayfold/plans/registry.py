@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.places import path_string, primary_state
 from wayfold.functions.product import store_key
 from wayfold.functions.text import is_empty, normalize_name
-from wayfold.operators import catalog, cooccurrence, hierarchy, matching, querylog, rollup
+from wayfold.operators import catalog, cooccurrence, edge_store, hierarchy, matching, querylog, rollup
 from wayfold.operators import requests as product_requests
 from wayfold.operators import retrieval, similarity
 from wayfold.plans import model, stages
@@ -349,6 +349,12 @@ def catalog_share(spark, sf_dir):
     )
 
 
+@query
+def catalog_share_sets(spark, sf_dir):
+    """Products by segment, by category, by both and in all, with the share of their parent."""
+    return _rounded(catalog.share_sets(stages.base_products(spark, sf_dir), "segment", "category"), "share")
+
+
 @query
 def store_keys(spark, sf_dir):
     asked = model.requests(spark, sf_dir)
@@ -407,6 +413,39 @@ def solo_baskets(spark, sf_dir):
     return cooccurrence.solo_from_baskets(lines, "l_orderkey", "l_partkey")
 
 
+def _kept_edges(spark, sf_dir) -> str:
+    """Stored edges of most baskets, then changed by new, withdrawn and changed ones."""
+
+    def build() -> str:
+        root = scratch_path(spark, "edge-store")
+        lines = model.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+        key = F.col("l_orderkey")
+        # Every thirteenth basket comes later, every eleventh is there at first only in part.
+        first = lines.where((key % 13 != 0) & ((key % 11 != 0) | (F.col("l_linenumber") != 1)))
+        edge_store.create(first, "l_orderkey", "l_partkey", root)
+        later = lines.where((key % 13 == 0) | (key % 11 == 0))
+        gone = first.where(key % 11 == 0)
+        edge_store.apply_changes(spark, root, later, gone, "l_orderkey", "l_partkey")
+        return root
+
+    return stages.once(spark, sf_dir, "edge-store", build)
+
+
+@query
+def edges_maintained(spark, sf_dir):
+    return edge_store.read(spark, _kept_edges(spark, sf_dir), edge_store.EDGES)
+
+
+@query
+def solo_maintained(spark, sf_dir):
+    return edge_store.read(spark, _kept_edges(spark, sf_dir), edge_store.SOLO)
+
+
+@query
+def degrees_maintained(spark, sf_dir):
+    return edge_store.read(spark, _kept_edges(spark, sf_dir), edge_store.DEGREES)
+
+
 def _named_lines(spark, sf_dir) -> DataFrame:
     part = model.table(spark, sf_dir, "part")
     named = part.select("p_partkey", F.concat("p_name", F.lit(" #"), "p_partkey").alias("name"))
