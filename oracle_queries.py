@@ -800,3 +800,20 @@ ORACLE_SQL["solo_maintained"] = ORACLE_SQL["solo_baskets"]
 ORACLE_SQL["degrees_maintained"] = f"""
     SELECT item_1 AS item, count(*) AS num_neighbors, sum(count)::BIGINT AS total_cooccurrence
     FROM ({ORACLE_SQL["cooccurrence_baskets"]}) GROUP BY 1"""
+ORACLE_SQL["logs_feedback_merged"] = ORACLE_SQL["log_feedback_latest"]
+ORACLE_SQL["logs_once"] = ORACLE_SQL["logs_appended"]
+ORACLE_SQL["stream_log_percentiles"] = f"""WITH {LOGS}
+    SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d %H:%M:%S') AS window_start, intent_type,
+           count(*) AS timed, true AS p50, true AS p95, true AS p99
+    FROM logs WHERE response_time_ms IS NOT NULL GROUP BY 1, 2"""
+ORACLE_SQL["stream_rate_breaches"] = f"""WITH {LOGS},
+    numbered AS (
+      SELECT session_id, timestamp::TIMESTAMP AS moment,
+             lag(timestamp::TIMESTAMP, 1) OVER w AS minute_back, lag(timestamp::TIMESTAMP, 3) OVER w AS day_back
+      FROM logs WINDOW w AS (PARTITION BY session_id ORDER BY timestamp))
+    SELECT session_id AS "user", 'minute' AS period, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS called,
+           1::INT AS allowed
+    FROM numbered WHERE moment - minute_back < INTERVAL 60 SECOND
+    UNION ALL
+    SELECT session_id, 'day', strftime(moment, '%Y-%m-%d %H:%M:%S.%f'), 3::INT FROM numbered
+    WHERE moment - day_back < INTERVAL 24 HOUR"""

@@ -20,14 +20,18 @@ from wayfold.sources.json_tree import read_hierarchy_json
 from wayfold.sources.tables import (
     append_log_stream,
     append_logs,
+    append_logs_once,
     load_raw,
+    merge_feedback,
     read_catalog,
+    read_logs,
     read_name_index,
     validate_feedback,
     write_catalog,
     write_raw,
 )
-from wayfold.streaming.logs import log_metrics, match_stream
+from wayfold.streaming.limits import rate_breaches
+from wayfold.streaming.logs import log_metrics, match_stream, window_percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -899,6 +903,65 @@ def stream_log_metrics(spark, sf_dir):
     return _metrics_as_text(_streamed(spark, metrics, "stream-metrics"))
 
 
+def _log_stream(spark, sf_dir, label: str) -> DataFrame:
+    """The event file as a stream of logs, with a closing row that lets all others pass the watermark."""
+    events = model.table(spark, sf_dir, "events")
+    closing = scratch_path(spark, f"{label}-closing")
+    late = F.max(F.col("timestamp").cast("timestamp")) + F.expr("interval 3 day")
+    last = model.query_logs(spark, sf_dir).agg(late.alias("timestamp"))
+    last.write.parquet(closing)
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    closed = spark.readStream.schema(last.schema).parquet(closing)
+    logs = model.events_as_logs(stream).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return logs.unionByName(closed, allowMissingColumns=True)
+
+
+@query
+def stream_log_percentiles(spark, sf_dir):
+    """Percentiles of the windows of a stream, and whether their ranks are as near as stated."""
+    stream = _log_stream(spark, sf_dir, "stream-percentiles")
+    found = _streamed(spark, window_percentiles(stream, LEVELS, "1 day"), "stream-percentiles")
+    logs = model.query_logs(spark, sf_dir).withColumn("window_start", F.window("timestamp", "1 day")["start"])
+    held = _ranks_hold(found.where("timed > 0"), logs, ["window_start", "intent_type"])
+    return held.withColumn("window_start", _text_time("window_start"))
+
+
+@query
+def stream_rate_breaches(spark, sf_dir):
+    """Calls beyond a limit in the last 60 seconds or 24 hours, from a stream."""
+    stream = _log_stream(spark, sf_dir, "stream-limits")
+    limits = {"minute": CALLS_PER_MINUTE, "day": CALLS_PER_DAY}
+    found = _streamed(spark, rate_breaches(stream, "session_id", limits), "stream-breaches")
+    return found.withColumn("called", F.date_format("called", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query
+def logs_once(spark, sf_dir):
+    """Logs by day from a stream that brings many of them twice."""
+    path, source = scratch_path(spark, "logs-once"), scratch_path(spark, "logs-twice")
+    logs = model.query_logs(spark, sf_dir)
+    logs.unionByName(logs.where(F.col("log_id") % 3 == 0)).write.parquet(source)
+    stream = spark.readStream.schema(logs.schema).parquet(source)
+    append_logs_once(stream, path, scratch_path(spark, "logs-once-state"), watermark="400 days").awaitTermination()
+    return _by_day(spark.read.parquet(path))
+
+
+@query
+def logs_feedback_merged(spark, sf_dir):
+    """Logs after their feedback was merged into the stored days, twice."""
+    path = scratch_path(spark, "merged-logs")
+    append_logs(model.query_logs(spark, sf_dir), path)
+    feedback = model.feedback(spark, sf_dir)
+    merge_feedback(spark, path, feedback.where(F.hour("rated_at") % 2 == 0))
+    merge_feedback(spark, path, feedback)
+    merge_feedback(spark, path, feedback)
+    return read_logs(spark, path).select("log_id", "session_id", "user_feedback", "user_clicked_product")
+
+
 def _streamed(spark, rows: DataFrame, label: str) -> DataFrame:
     """What a stream has written once it has read all there is."""
     out = scratch_path(spark, label)

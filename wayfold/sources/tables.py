@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.operators.names import INDEX_TABLES, NameIndex
+from wayfold.plans.scratch import staged
 
 RAW_TABLES = ("products_raw", "product_solo_sales_raw", "product_cooccurrence_raw")
 FINAL_TABLES = ("products", "product_solo_sales", "product_cooccurrence")
@@ -37,6 +39,14 @@ FEEDBACK_SCHEMA = T.StructType(
         T.StructField("product_id", T.LongType()),
     ]
 )
+# Columns a log has of its feedback.
+FEEDBACK_COLUMNS = T.StructType(
+    [
+        T.StructField("user_feedback", T.IntegerType()),
+        T.StructField("user_clicked_product", T.LongType()),
+        T.StructField("rated_at", T.TimestampType()),
+    ]
+)
 # Allowed ratings.
 LOWEST_RATING, HIGHEST_RATING = 1, 5
 
@@ -112,6 +122,79 @@ def append_log_stream(logs: DataFrame, path: str, checkpoint: str):
     )
 
 
+def append_logs_once(
+    logs: DataFrame, path: str, checkpoint: str, id_col: str = "log_id", watermark: str = "1 day"
+):
+    """As :func:`append_log_stream`, each log once: returns the started query.
+
+    Repeats of a log id within the watermark are removed by the stream's state. A batch is written to a folder of
+    its number and replaces what an attempt that broke off has left there, so a restart writes nothing
+    twice. Read by day; the folders of the batches are a partition column of no further meaning.
+    """
+    timed = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    once = timed.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark([id_col])
+
+    return (
+        once.writeStream.foreachBatch(lambda batch, number: _write_batch(batch, path, number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _write_batch(batch: DataFrame, path: str, number: int) -> None:
+    _by_day(batch).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+
+
+def merge_feedback(spark: SparkSession, logs_path: str, feedback: DataFrame) -> list:
+    """Put accepted feedback into the logs stored by day; returns the days that were rewritten.
+
+    A log takes the last rating of its time and session, and with it ``user_feedback, user_clicked_product`` and
+    ``rated_at``, when that is later than what it has. So the same feedback again changes nothing, in any
+    order, and only days with a log that changes are written. The new rows are stored in the scratch folder
+    before the days are replaced; a merge that breaks off is repeated with the same feedback.
+    """
+    logs = read_logs(spark, logs_path)
+    key = ["timestamp", "session_id"]
+    last = (
+        feedback.where(rating_ok())
+        .groupBy(*key)
+        .agg(F.max(F.struct("rated_at", "rating", "product_id")).alias("new"))
+    )
+    last = Lookup.stage(last, key, "feedback-merge")
+    # One row per day.
+    days = [r["d"] for r in last.df.select(F.to_date("timestamp").alias("d")).distinct().collect()]
+    have = F.struct("rated_at", F.col("user_feedback").alias("rating"), F.col("user_clicked_product").alias("product_id"))
+    newer = F.col("new").isNotNull() & (F.col("rated_at").isNull() | (F.col("new") > have))
+    met = lookup_join(logs.where(F.col("day").isin(days)), last, key)
+    changed = [r["day"] for r in met.where(newer).select("day").distinct().orderBy("day").collect()]
+    if not changed:
+        return []
+    fields = {"rated_at": "rated_at", "user_feedback": "rating", "user_clicked_product": "product_id"}
+    rewritten = (
+        lookup_join(logs.where(F.col("day").isin(changed)), last, key)
+        .withColumns({c: F.when(newer, F.col(f"new.{n}")).otherwise(F.col(c)) for c, n in fields.items()})
+        .drop("new")
+    )
+    (
+        staged(rewritten.select(*logs.columns), "merged-feedback")
+        .repartition("day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(logs_path)
+    )
+    return changed
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Logs stored by day with their feedback columns, which days without feedback lack."""
+    found = spark.read.parquet(path).schema
+    names = set(found.names)
+    added = [f for f in FEEDBACK_COLUMNS.fields if f.name not in names]
+    return spark.read.schema(T.StructType([*found.fields, *added])).parquet(path)
+
+
 def _by_day(logs: DataFrame) -> DataFrame:
     return logs.withColumn("day", F.to_date("timestamp"))
 

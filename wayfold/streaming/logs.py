@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.hierarchy import Gazetteer
 from wayfold.operators.matching import match_levels
+from wayfold.operators.rollup import SKETCH
 
 
 def log_metrics(
@@ -38,6 +39,39 @@ def log_metrics(
     )
 
 
+def window_percentiles(
+    logs: DataFrame,
+    levels: dict[str, float],
+    window: str = "5 minutes",
+    watermark: str = "10 minutes",
+) -> DataFrame:
+    """Latency percentiles per time window and intent, from a mergeable sketch as the window's state.
+
+    Works on a stream and on a table. A rank is off by :data:`wayfold.operators.rollup.RANK_ERROR` of the
+    window's rows at most; windows of no more rows than the sketch's size are exact up to the choice between
+    neighbours. ``timed`` counts the rows with a latency; without any the percentiles are NULL.
+    """
+    timed = logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    if timed.isStreaming:
+        timed = timed.withWatermark("timestamp", watermark)
+    latency = F.col("response_time_ms")
+    grouped = timed.groupBy(F.window("timestamp", window).alias("w"), "intent_type").agg(
+        F.count(latency).alias("timed"),
+        F.kll_sketch_agg_double(latency, F.lit(SKETCH)).alias("sketch"),
+    )
+    quantiles = [
+        F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q))).alias(name)
+        for name, q in levels.items()
+    ]
+    return grouped.select(
+        F.col("w.start").alias("window_start"),
+        F.col("w.end").alias("window_end"),
+        "intent_type",
+        "timed",
+        *quantiles,
+    )
+
+
 def match_stream(pairs: DataFrame, gaz: Gazetteer) -> DataFrame:
     """Score a stream of place pairs; the lookups are static, so there is no state."""
     return match_levels(pairs, gaz)
