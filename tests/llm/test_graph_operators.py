@@ -170,20 +170,68 @@ def test_lines_use_no_python_and_take_empty_tables(make_docs):
     assert "Python" not in text and "Pandas" not in text and "Cartesian" not in text
 
 
-def test_simhash_counts_bits_by_weight(spark):
-    frame = spark.createDataFrame([("aa longer words longer",), ("of of of elephant",)], "norm string")
-    frame = frame.withColumns({"h": F.xxhash64("norm"), "g": F.xxhash64(F.lit(1), F.col("norm"))})
-    hashes = {r["w"]: r["x"] for r in frame.select(F.explode(F.split("norm", " ")).alias("w")).distinct()
-              .select("w", F.xxhash64("w").alias("x")).collect()}
-    found = frame.join(lines.simhashes(frame), ["h", "g"]).collect()
-    for row in found:
-        tokens = row["norm"].split()
-        weight = [lines.LONG_WEIGHT if len(t) >= lines.LONG_WORD else 1 for t in tokens]
-        bits = 0
-        for k in range(64):
-            votes = sum(w for t, w in zip(tokens, weight) if hashes[t] >> k & 1)
-            bits |= (2 * votes > sum(weight)) << k
-        assert row["sim"] % (1 << 64) == bits and row["words"] == len(tokens)
+def test_simhash_is_the_majority_of_each_bit(spark):
+    random.seed(3)
+    rows = [([random.randrange(-(2**60), 2**60) for _ in range(n)],) for n in (1, 2, 3, 12, 255, 400)]
+    frame = spark.createDataFrame(rows, "tokens array<long>")
+    votes = frame.select("tokens", lines.simhash(F.col("tokens")).alias("sim"),
+                         F.transform("tokens", lambda t: F.xxhash64(F.lit("vote"), t)).alias("x"))
+    for row in votes.collect():
+        voters = row["x"][: lines.VOTES]
+        bits = sum((2 * sum(x >> k & 1 for x in voters) > len(voters)) << k for k in range(64))
+        assert row["sim"] % (1 << 64) == bits
+
+
+def test_blocks_meet_whatever_two_bits_differ(spark):
+    random.seed(4)
+    sims = []
+    for _ in range(40):
+        sim = random.getrandbits(64)
+        near = sim ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64))
+        sims.append([x - (1 << 64) if x >= 1 << 63 else x for x in (sim, near)])
+    frame = spark.createDataFrame(sims, "sim long, near long")
+    own = frame.select(lines.block_tokens().alias("a"), F.col("near").alias("sim"))
+    both = own.select("a", lines.block_tokens().alias("b")).collect()
+    assert all(set(r["a"]) & set(r["b"]) for r in both)
+
+
+def test_words_that_share_a_letter_do_not_link(make_docs, monkeypatch):
+    # With so few letters most words share one, and letters alone would link nearly everything.
+    monkeypatch.setattr(lines, "LETTERS", 3)
+    random.seed(5)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(10)) for _ in range(30)]
+    texts += [texts[0].rsplit(" ", 1)[0] + " other", texts[1] + " other"]
+    found = {r["doc_id"]: r["kept_id"] for r in lines.mark(make_docs(list(enumerate(texts)))).collect()}
+    assert found == {**{i: i for i in range(30)}, 30: 0, 31: 1}
+
+
+def test_rows_that_repeat_an_id_lose_their_own_lines_only(make_docs):
+    rows = [
+        (0, "dup line here now"),
+        (1, "dup line here now\nfoo alpha"),
+        (1, "unique line zz top\nbar beta"),
+        (2, "bar beta"),
+        (2, "bar beta"),
+    ]
+    docs = make_docs(rows).withColumns({"_row": F.lit(1), "_gone": F.lit(2), "_removed": F.lit(3), "kept": F.lit(4)})
+    found = lines.drop_repeats(docs)
+    assert found.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"]) for r in found.collect())
+    assert got == [
+        (0, "dup line here now"), (1, "foo alpha"), (1, "unique line zz top\nbar beta"), (2, ""), (2, "")
+    ]
+
+
+def test_documents_of_very_many_lines_and_very_long_lines(make_docs):
+    many = "\n".join(["same old line of words"] * 160_000)
+    mixed = "\n".join(f"line {i // 2} of a document" for i in range(40_000))
+    long_ = " ".join(f"w{i % 3001}" for i in range(5_000))
+    changed = long_.split()
+    changed[100:400] = ["else"] * 300
+    docs = make_docs([(1, many), (2, mixed), (3, long_), (4, " ".join(changed)), (5, "x" * 300_000)])
+    found = {r["doc_id"]: r["text"] for r in lines.drop_repeats(docs).collect()}
+    assert found[1] == "same old line of words" and found[3] == long_ and found[4] == ""
+    assert found[2].split("\n")[0] == "line 0 of a document" and found[5] == "x" * 300_000
 
 
 VECTORS = T.StructType(
