@@ -817,3 +817,13 @@ ORACLE_SQL["stream_rate_breaches"] = f"""WITH {LOGS},
     UNION ALL
     SELECT session_id, 'day', strftime(moment, '%Y-%m-%d %H:%M:%S.%f'), 3::INT FROM numbered
     WHERE moment - day_back < INTERVAL 24 HOUR"""
+ORACLE_SQL["catalog_published_edges"] = f"""WITH {PRODUCTS}, {EDGES}
+    SELECT p.product_id, e.product_id_2, e.cooccurrence_count
+    FROM products p LEFT JOIN edges e ON e.product_id_1 = p.product_id"""
+ORACLE_SQL["cooccurrence_ids_known"] = f"""WITH {PRODUCTS}, {EDGES}
+    SELECT e.* FROM edges e
+    JOIN products p ON p.product_id = e.product_id_1 AND p.source_key % 3 <> 0
+    JOIN products q ON q.product_id = e.product_id_2 AND q.source_key % 3 <> 0"""
+ORACLE_SQL["solo_sales_ids_known"] = f"""
+    SELECT s.* FROM ({ORACLE_SQL["solo_sales_ids"]}) s
+    JOIN (WITH {PRODUCTS} SELECT product_id AS known FROM products WHERE source_key % 3 <> 0) ON known = product_id"""

@@ -1,16 +1,19 @@
 """Answer a table of product requests: constrained search, candidate filters, recommendations.
 
-Products and edges are stored tables. A request has ``request_id, intent_type, constraints`` and ``mentioned_products``. The struct
+Products and edges are stored tables; a :class:`Catalog` of the products saves building their indexes again. A request has ``request_id, intent_type, constraints`` and ``mentioned_products``. The struct
 ``constraints`` has ``store, max_age, category, exclude_franchise``; other fields are not used.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.product import STORES, store_key
 from wayfold.operators.joins import Lookup, lookup_join
+from wayfold.operators.names import NameIndex
 from wayfold.operators.retrieval import (
     DEFAULT_SEGMENT,
     SEARCH_COLUMNS,
@@ -59,21 +62,52 @@ def with_constraints(requests: DataFrame) -> DataFrame:
     ).withColumn("age", F.coalesce(F.col("max_age").cast("string"), F.lit("")))
 
 
+@dataclass(frozen=True)
+class Catalog:
+    """What requests are answered from, built and measured once: products, search index and name index."""
+
+    products: Lookup
+    index: Lookup
+    names: NameIndex
+    limit: int
+
+    @classmethod
+    def build(
+        cls, products: DataFrame, limit: int = SEARCH_LIMIT, names: NameIndex | None = None
+    ) -> Catalog:
+        """From a stored product table; ``limit`` is the most products a request may ask for."""
+        index = Lookup.stage(
+            search_index(products, limit), ["segment", "store", "scale", "cell"], "search-index"
+        )
+        return cls(Lookup.over(products, ["product_id"]), index, names or NameIndex.build(products), limit)
+
+    def traits(self, *columns: str | Column) -> Lookup:
+        """Some columns of the products by id; the size of all of them is an upper bound."""
+        return Lookup(self.products.df.select("product_id", *columns), ("product_id",), self.products.bytes)
+
+
+def _catalog(given: Catalog | DataFrame, k: int = SEARCH_LIMIT) -> Catalog:
+    if isinstance(given, DataFrame):
+        return Catalog.build(given, k)
+    if k > given.limit:
+        raise ValueError(f"this catalog was built for {given.limit} products a request")
+    return given
+
+
 def batch_search(
-    requests: DataFrame, products: DataFrame, k: int = SEARCH_LIMIT
+    requests: DataFrame, products: Catalog | DataFrame, k: int = SEARCH_LIMIT
 ) -> DataFrame:
     """The ``k`` best products for every search request: ``request_id, rank`` and the product.
 
     Requests are first reduced to their distinct constraints. Those look up a small index of the
     catalog by equality (see :func:`search_index`), so no request is compared with every product.
     """
+    catalog = _catalog(products, k)
     asked = with_constraints(
         requests.where(F.col("intent_type").isin(*SEARCH_INTENTS))
     ).select("request_id", "max_age", *_COMBO)
     combos = staged(asked.select("max_age", *_COMBO).distinct(), "constraints")
-    index = Lookup.stage(
-        search_index(products, k), ["segment", "store", "scale", "cell"], "search-index"
-    )
+    index = catalog.index
     probes = combos.select(*_COMBO, F.explode(_cells_up_to("max_age")).alias("c")).select(
         *_COMBO, "c.*"
     )
@@ -82,10 +116,8 @@ def batch_search(
     best = top_per_key(hits.where(allowed), _COMBO, _order(), k).select(
         *_COMBO, "rank", "product_id"
     )
-    traits = products.select(*SEARCH_COLUMNS).withColumnRenamed("segment", "in_segment")
-    described = lookup_join(
-        best, Lookup.over(traits, ["product_id"]), ["product_id"], "inner"
-    )
+    described = [F.col(c).alias("in_segment" if c == "segment" else c) for c in SEARCH_COLUMNS[1:]]
+    described = lookup_join(best, catalog.traits(*described), ["product_id"], "inner")
     listed = Lookup.stage(described, _COMBO, "search-results")
     return lookup_join(asked.select("request_id", *_COMBO), listed, _COMBO, "inner").select(
         "request_id",
@@ -170,9 +202,13 @@ def _cells_up_to(age: str) -> Column:
 
 
 def filter_by_constraints(
-    candidates: DataFrame, requests: DataFrame, products: DataFrame
+    candidates: DataFrame, requests: DataFrame, products: Catalog | Lookup | DataFrame
 ) -> DataFrame:
     """Keep the ``(request_id, product_id)`` rows whose product meets the request."""
+    if isinstance(products, Catalog):
+        products = products.products
+    elif isinstance(products, DataFrame):
+        products = Lookup.over(products, ["product_id"])
     wanted = Lookup.stage(
         with_constraints(requests).select(
             "request_id", "segment", "store", "max_age", "excluded"
@@ -180,16 +216,14 @@ def filter_by_constraints(
         ["request_id"],
         "request-constraints",
     )
-    traits = Lookup.over(
-        products.select(
-            "product_id",
-            F.col("segment").alias("_segment"),
-            F.col("min_age").alias("_min_age"),
-            F.col("franchise").alias("_franchise"),
-            *[F.col(s).alias(f"_{s}") for s in STORES],
-        ),
-        ["product_id"],
+    traits = products.df.select(
+        "product_id",
+        F.col("segment").alias("_segment"),
+        F.col("min_age").alias("_min_age"),
+        F.col("franchise").alias("_franchise"),
+        *[F.col(s).alias(f"_{s}") for s in STORES],
     )
+    traits = Lookup(traits, ("product_id",), products.bytes)
     in_store = F.col("store") == ""
     for s in STORES:
         in_store = in_store | ((F.col("store") == s) & (F.col(f"_{s}") > 0))
@@ -206,7 +240,7 @@ def filter_by_constraints(
 
 def recommend(
     requests: DataFrame,
-    products: DataFrame,
+    products: Catalog | DataFrame,
     edges: DataFrame,
     k: int = SEARCH_LIMIT,
     neighbors: int = 5,
@@ -218,10 +252,11 @@ def recommend(
     by the search follow in its order. A product is listed once. Returns ``request_id, rank,
     product_id, source``.
     """
+    catalog = _catalog(products, k)
     searched = requests.where(F.col("intent_type").isin(*SEARCH_INTENTS))
     mentions = searched.select("request_id", F.explode("mentioned_products").alias("term"))
     meant = Lookup.stage(
-        fuzzy_matches(mentions.select("term"), products, 1).select(
+        fuzzy_matches(mentions.select("term"), catalog.names, 1).select(
             "term", F.col("product_id").alias("product_id_1")
         ),
         ["term"],
@@ -231,7 +266,7 @@ def recommend(
         meant.df.select("product_id_1").distinct(), "product_id_1", "left_semi"
     )
     companions = Lookup.stage(
-        neighbors_topk(near, products, neighbors).select(
+        neighbors_topk(near, catalog.products, neighbors).select(
             "product_id_1", "product_id", "cooccurrence_count"
         ),
         ["product_id_1"],
@@ -240,14 +275,14 @@ def recommend(
     bought = lookup_join(
         lookup_join(mentions, meant, ["term"], "inner"), companions, ["product_id_1"], "inner"
     ).select("request_id", "product_id", "cooccurrence_count")
-    together = filter_by_constraints(bought, searched, products).select(
+    together = filter_by_constraints(bought, searched, catalog).select(
         "request_id",
         "product_id",
         F.lit("bought together").alias("source"),
         F.lit(0).alias("tier"),
         (-F.col("cooccurrence_count")).cast("double").alias("place"),
     )
-    found = batch_search(requests, products, k).select(
+    found = batch_search(requests, catalog, k).select(
         "request_id",
         "product_id",
         F.lit("search").alias("source"),

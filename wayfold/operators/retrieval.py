@@ -156,7 +156,7 @@ def find_similar_products(
 
 
 def neighbors_topk(
-    edges: DataFrame, products: DataFrame, k: int = 5, symmetric: bool = False
+    edges: DataFrame, products: Lookup | DataFrame, k: int = 5, symmetric: bool = False
 ) -> DataFrame:
     """The ``k`` neighbours of every product.
 
@@ -165,12 +165,14 @@ def neighbors_topk(
     """
     if symmetric:
         edges = both_directions(edges)
-    known = Lookup.over(products.select("product_id"), ["product_id"])
+    if isinstance(products, DataFrame):
+        products = Lookup.over(products.select(*NEIGHBOR_COLUMNS), ["product_id"])
+    known = Lookup(products.df.select("product_id"), ("product_id",), products.bytes)
     order = [F.col("cooccurrence_count").desc(), F.col("product_id_2").asc()]
     kept = top_per_key(
         lookup_join(edges, known, ["product_id_2"], "left_semi"), ["product_id_1"], order, k
     ).withColumnRenamed("product_id_2", "product_id")
-    traits = Lookup.over(products.select(*NEIGHBOR_COLUMNS), ["product_id"])
+    traits = Lookup(products.df.select(*NEIGHBOR_COLUMNS), ("product_id",), products.bytes)
     return lookup_join(kept, traits, ["product_id"], "inner").select(
         "product_id_1", "rank", *NEIGHBOR_COLUMNS, "cooccurrence_count"
     )

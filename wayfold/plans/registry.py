@@ -325,27 +325,41 @@ def catalog_from_json(spark, sf_dir):
     )
 
 
+def _published(spark, sf_dir) -> dict[str, DataFrame]:
+    """The catalog's tables, published as a version and read back."""
+
+    def build() -> dict[str, DataFrame]:
+        root = scratch_path(spark, "catalog")
+        solo = cooccurrence.solo_from_baskets(_numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
+        write_catalog(
+            {
+                "products": stages.products(spark, sf_dir),
+                "product_solo_sales": solo.withColumnRenamed("item", "product_id"),
+                "product_cooccurrence": stages.edges(spark, sf_dir),
+            },
+            root,
+        )
+        return read_catalog(spark, root)
+
+    return stages.once(spark, sf_dir, "published", build)
+
+
 @query
 def catalog_published(spark, sf_dir):
-    root = scratch_path(spark, "catalog")
-    products = stages.products(spark, sf_dir)
-    edges = stages.edges(spark, sf_dir)
-    lines = _numbered_lines(spark, sf_dir)
-    solo = cooccurrence.solo_from_baskets(lines, "l_orderkey", "product_id")
-    write_catalog(
-        {
-            "products": products,
-            "product_solo_sales": solo.withColumnRenamed("item", "product_id"),
-            "product_cooccurrence": edges,
-        },
-        root,
-    )
-    tables = read_catalog(spark, root)
+    tables = _published(spark, sf_dir)
     return tables["products"].join(tables["product_solo_sales"], "product_id").select(
         "product_id", "name", "num_neighbors", "total_cooccurrence", "solo_sales"
     )
 
 
+@query
+def catalog_published_edges(spark, sf_dir):
+    """Every product of the published catalog with its edges, those without any included."""
+    tables = _published(spark, sf_dir)
+    edges = tables["product_cooccurrence"].withColumnRenamed("product_id_1", "product_id")
+    return tables["products"].select("product_id").join(edges, "product_id", "left")
+
+
 @query
 def catalog_share(spark, sf_dir):
     return catalog.catalog_share(
@@ -466,6 +480,29 @@ def cooccurrence_ids(spark, sf_dir):
     return cooccurrence.edges_with_ids(named, stages.base_products(spark, sf_dir))
 
 
+def _known_products(spark, sf_dir) -> DataFrame:
+    """Products but for every third one, so that names of the others are unknown."""
+    return stages.base_products(spark, sf_dir).where(F.col("source_key") % 3 != 0)
+
+
+@query
+def cooccurrence_ids_known(spark, sf_dir):
+    """Edges between known names; a third of the names is not, and their edges go."""
+    pairs = cooccurrence.cooccurrence_from_baskets(
+        _named_lines(spark, sf_dir), "l_orderkey", "name"
+    )
+    named = pairs.toDF("product_1", "product_2", "count")
+    return cooccurrence.edges_with_ids(named, _known_products(spark, sf_dir))
+
+
+@query
+def solo_sales_ids_known(spark, sf_dir):
+    solo = cooccurrence.solo_from_baskets(_named_lines(spark, sf_dir), "l_orderkey", "name")
+    return cooccurrence.solo_sales_with_ids(
+        solo.withColumnRenamed("item", "product_name"), _known_products(spark, sf_dir)
+    )
+
+
 @query
 def solo_sales_ids(spark, sf_dir):
     solo = cooccurrence.solo_from_baskets(_named_lines(spark, sf_dir), "l_orderkey", "name")
@@ -624,9 +661,7 @@ def product_fuzzy_published(spark, sf_dir):
 
 @query
 def batch_search(spark, sf_dir):
-    return product_requests.batch_search(
-        model.requests(spark, sf_dir), stages.products(spark, sf_dir)
-    )
+    return product_requests.batch_search(model.requests(spark, sf_dir), stages.catalog(spark, sf_dir))
 
 
 @query
@@ -646,7 +681,7 @@ def filter_by_constraints(spark, sf_dir):
         .distinct()
     )
     return product_requests.filter_by_constraints(
-        candidates, model.requests(spark, sf_dir), stages.products(spark, sf_dir)
+        candidates, model.requests(spark, sf_dir), stages.catalog(spark, sf_dir)
     )
 
 
@@ -654,7 +689,7 @@ def filter_by_constraints(spark, sf_dir):
 def recommend(spark, sf_dir):
     return product_requests.recommend(
         model.requests(spark, sf_dir),
-        stages.products(spark, sf_dir),
+        stages.catalog(spark, sf_dir),
         stages.edges(spark, sf_dir),
     )
 

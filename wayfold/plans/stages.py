@@ -16,6 +16,7 @@ from wayfold.operators.catalog import build_products
 from wayfold.operators.cooccurrence import add_graph_features, cooccurrence_from_baskets
 from wayfold.operators.hierarchy import Gazetteer, build_gazetteer, build_hierarchy
 from wayfold.operators.names import NameIndex
+from wayfold.operators.requests import Catalog
 from wayfold.plans import model
 from wayfold.plans.scratch import staged
 
@@ -89,3 +90,13 @@ def name_index(spark: SparkSession, sf_dir: str) -> NameIndex:
     return once(
         spark, sf_dir, "name-index", lambda: NameIndex.build(products(spark, sf_dir))
     )
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """Products with the indexes requests are answered from."""
+    return once(
+        spark,
+        sf_dir,
+        "catalog",
+        lambda: Catalog.build(products(spark, sf_dir), names=name_index(spark, sf_dir)),
+    )
