@@ -63,34 +63,34 @@ def normalize_name(expression: str) -> Column:
     """Fold a name for matching: lower case, no accents, no outer white space.
 
     ``expression`` is a column name or other SQL expression. NULL becomes the empty string and
-    inner white space is kept. Pure ASCII text, the usual case, skips the accent tables.
+    inner white space is kept. Pure ASCII text, the usual case, skips the accent tables; of other text each
+    different character is looked up once, since what characters fold to folds no further.
     """
-    source, target, expansions = _fold_rules()
-    table = ",".join(f"{char}:{parts}" for char, parts in expansions.items())
-    first, last = chr(_HANGUL_FIRST), chr(_HANGUL_LAST)
     text = f"lower(coalesce({expression}, ''))"
-    index = f"(ascii(c) - {_HANGUL_FIRST})"
     return F.expr(f"""
         btrim(
           CASE
             WHEN octet_length({text}) = char_length({text}) THEN {text}
-            ELSE translate(
-              CASE
-                WHEN {text} RLIKE '[{"".join(expansions)}{first}-{last}]'
-                THEN array_join(transform(split({text}, ''), c ->
-                  CASE
-                    WHEN c BETWEEN '{first}' AND '{last}' THEN concat(
-                      substr('{_LEAD}', {index} DIV 588 + 1, 1),
-                      substr('{_VOWEL}', {index} % 588 DIV 28 + 1, 1),
-                      CASE WHEN {index} % 28 > 0
-                           THEN substr('{_TAIL}', {index} % 28, 1) ELSE '' END)
-                    ELSE coalesce(try_element_at(str_to_map('{table}', ',', ':'), c), c)
-                  END), '')
-                ELSE {text}
-              END, '{source}', '{target}')
+            ELSE aggregate(array_distinct(regexp_extract_all({text}, '[^\\\\x00-\\\\x7f]', 0)), {text},
+                           (folded, c) -> replace(folded, c, {_folded_character("c")}))
           END, '{_sql_text(_SPACES)}')""")
 
 
+def _folded_character(c: str) -> str:
+    """What one character folds to, as SQL."""
+    source, target, expansions = _fold_rules()
+    table = ",".join(f"{char}:{parts}" for char, parts in expansions.items())
+    index = f"(ascii({c}) - {_HANGUL_FIRST})"
+    return f"""translate(
+        CASE
+          WHEN {c} BETWEEN '{chr(_HANGUL_FIRST)}' AND '{chr(_HANGUL_LAST)}' THEN concat(
+            substr('{_LEAD}', {index} DIV 588 + 1, 1),
+            substr('{_VOWEL}', {index} % 588 DIV 28 + 1, 1),
+            CASE WHEN {index} % 28 > 0 THEN substr('{_TAIL}', {index} % 28, 1) ELSE '' END)
+          ELSE coalesce(try_element_at(str_to_map('{table}', ',', ':'), {c}), {c})
+        END, '{source}', '{target}')"""
+
+
 def _sql_text(text: str) -> str:
     return "".join(f"\\u{ord(c):04x}" for c in text)
 
