@@ -42,7 +42,8 @@ def test_sliding_limits_equal_counting_back(spark, tmp_path):
         part = rows[k : k + 150]
         rng.shuffle(part)
         spark.createDataFrame(part + [(None, DAY, 1), ("u0", None, 1)], CALLS).coalesce(1).write.mode("append").parquet(source)
-    end = [("closing", DAY + dt.timedelta(days=9), 1)]
+    # A row without user lets time pass, too.
+    end = [(None, DAY + dt.timedelta(days=9), 1)]
     spark.createDataFrame(end, CALLS).coalesce(1).write.mode("append").parquet(source)
     names = sorted((f for f in os.listdir(source) if f.endswith(".parquet")), key=lambda f: os.path.getmtime(f"{source}/{f}"))
     for k, name in enumerate(names):
