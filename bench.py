@@ -42,6 +42,9 @@ HEADLINE = (
     "recommend",
     "embedding_text",
     "similar_by_embedding",
+    "similar_by_embedding_batch",
+    "geo_fuzzy_country",
+    "catalog_share_sets",
     "log_stats",
     "log_by_intent",
     "log_percentiles",
@@ -89,6 +92,8 @@ def main() -> None:
     timed("stage_products", lambda: stages.base_products(spark, SF_DIR))
     timed("stage_edges", lambda: stages.edges(spark, SF_DIR))
     timed("stage_final_products", lambda: stages.products(spark, SF_DIR))
+    timed("stage_name_index", lambda: stages.name_index(spark, SF_DIR))
+    timed("stage_catalog", lambda: stages.catalog(spark, SF_DIR))
     for name in HEADLINE:
         timed(name, lambda: run(QUERIES[name](spark, SF_DIR)))
 
