@@ -62,10 +62,8 @@ def learn(
         F.col(text_col).alias("_text"),
         F.xxhash64(F.col(id_col)).alias("_order"),
     )
-    counts = (
-        labelled.where(F.col("_text").rlike(r"\p{L}"))
-        .groupBy("_lang")
-        .agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_order").alias("different"))
+    counts = labelled.groupBy("_lang").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_order").alias("different")
     )
     found = counts.limit(MAX_LANGUAGES + 1).collect()
     frequency = {r["_lang"]: r["n"] for r in found}
@@ -77,7 +75,7 @@ def learn(
         below = F.pmod("_order", F.lit(1 << 20)) < math.ceil(share * (1 << 20))
         drawn = drawn | ((F.col("_lang") == row["_lang"]) & below)
     sample = (
-        labelled.where(F.col("_text").rlike(r"\p{L}") & drawn)
+        labelled.where(drawn & F.col("_text").isNotNull())
         .select("_lang", "_order", spread(F.col("_text")).alias("_text"))
         .distinct()
     )
