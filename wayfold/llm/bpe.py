@@ -144,9 +144,10 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        stretches = self.marks.split(text) if self.marks else [text]
+        if not self.marks or not self.marks.search(text):
+            return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype="<u4")
         found = []
-        for number, stretch in enumerate(stretches):
+        for number, stretch in enumerate(self.marks.split(text)):
             if number % 2:
                 found.append(self.added[stretch])
             else:
