@@ -47,6 +47,7 @@ def tool_usage(logs: DataFrame) -> DataFrame:
 
 def performance_by(logs: DataFrame, by: str) -> DataFrame:
     """Latency, results and success per value of a column."""
+    # Names of the result columns.
     return logs.groupBy(by).agg(
         F.count(F.lit(1)).alias("queries"),
         F.avg("response_time_ms").alias("avg_latency"),

@@ -13,6 +13,7 @@ from wayfold.operators.cooccurrence import both_directions
 from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.operators.names import NameIndex, matches
 
+# Columns of the results, the segment searched by default and the phrases of the embedding text.
 SEARCH_COLUMNS = (
     "product_id",
     "name",
@@ -25,7 +26,14 @@ SEARCH_COLUMNS = (
     "text_blob",
 )
 DETAIL_COLUMNS = (
-    *SEARCH_COLUMNS[:-1],
+    "product_id",
+    "name",
+    "segment",
+    "category",
+    "type",
+    "franchise",
+    "min_age",
+    "popularity_global",
     "times_sold",
     "store_a",
     "store_b",
@@ -41,6 +49,9 @@ NEIGHBOR_COLUMNS = (
     "popularity_global",
 )
 DEFAULT_SEGMENT = "Games"
+COMPANIONS_PHRASE = "Frequently bought with: "
+CHILDREN_PHRASE = "Popular with young children and families"
+PRETEENS_PHRASE = "Popular with pre-teens"
 
 
 def store_column(store: str | None) -> str | None:
@@ -231,8 +242,8 @@ def embedding_text(products: DataFrame, edges: DataFrame, k: int = 3) -> DataFra
         ).alias("companions")
     )
     age = (
-        F.when(F.col("min_age") <= 7, "Popular with young children and families")
-        .when(F.col("min_age") <= 12, "Popular with pre-teens")
+        F.when(F.col("min_age") <= 7, CHILDREN_PHRASE)
+        .when(F.col("min_age") <= 12, PRETEENS_PHRASE)
     )
     extra = (
         [F.when(F.col("store_exclusive_features") != "", F.col("store_exclusive_features"))]
@@ -251,7 +262,7 @@ def embedding_text(products: DataFrame, edges: DataFrame, k: int = 3) -> DataFra
         F.concat_ws(
             ". ",
             head,
-            F.concat(F.lit("Frequently bought with: "), F.col("companions")),
+            F.concat(F.lit(COMPANIONS_PHRASE), F.col("companions")),
             age,
             *extra,
         ).alias("embedding_text"),
