@@ -13,7 +13,6 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayfold.llm.tables import stored
 from wayfold.operators.joins import Lookup, lookup_join
