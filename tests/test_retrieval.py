@@ -360,6 +360,43 @@ def test_rare_pieces_lead_to_few_candidates(spark, monkeypatch):
     assert looked_up[0] < 190 * 25
 
 
+def test_long_terms_read_few_hits(spark, monkeypatch):
+    rows = [(i, f"red widget #{i}", 0.5) for i in range(2000)]
+    products = spark.createDataFrame(rows, "product_id long, name string, popularity_global double")
+    index = names.NameIndex.build(products)
+    read = []
+    whole = names.lookup_join
+
+    def counted(left, lookup, *args, **kwargs):
+        joined = whole(left, lookup, *args, **kwargs)
+        if lookup is index.hits:
+            read.append(joined.agg(F.sum(F.size("hits")).alias("n")).first()["n"])
+        return joined
+
+    monkeypatch.setattr(names, "lookup_join", counted)
+    asked = spark.createDataFrame([(f"RED WIDGET #{i}",) for i in range(100, 2000)], "term string")
+    found = {r["term"]: r["product_id"] for r in R.fuzzy_matches(asked, index, 1).collect()}
+    assert found == {f"RED WIDGET #{i}": i for i in range(100, 2000)}
+    # Pieces of three have some hundred hits each, so hits would grow as terms times names.
+    assert read[0] < 1900 * 25
+
+
+def test_terms_around_the_length_of_a_long_piece(spark):
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choices("abÄ%", k=rng.randint(5, 30))), rng.random()) for i in range(200)]
+    products = spark.createDataFrame(rows, "product_id long, name string, popularity_global double")
+    terms = set()
+    for _, name, _ in rows:
+        start = rng.randrange(len(name))
+        terms.add(name[start : start + rng.randint(6, 18)].upper())
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {}
+    for r in R.fuzzy_matches(asked, products, 3, literal=True).orderBy("term", "rank").collect():
+        got.setdefault(r["term"], []).append(r["product_id"])
+    expected = {t: [i for _, i in sorted((-p, i) for i, n, p in rows if t.lower() in n.lower())[:3]] for t in terms}
+    assert got == expected
+
+
 def test_names_that_cannot_be_indexed_are_errors(spark):
     for row in [(1, "x" * (1 << names.POSITION_BITS), 0.1), (1 << names.ID_BITS, "x", 0.1), (-1, "x", 0.1)]:
         products = spark.createDataFrame([row], "product_id long, name string, popularity_global double")

@@ -1,9 +1,10 @@
 """Positional index of product names: the names that contain a text, found without reading the names.
 
-Names are cut into pieces of three characters once, when the catalog is built. Each piece has its hits,
-product and position in one number, in lists of bounded size. A text of three characters or more is looked up by its
-two rarest pieces; hits of both at the right distance from each other are candidates, and only these
-are held against the text. Shorter texts are pieces themselves.
+Names are cut into pieces of three and of eight characters once, when the catalog is built. Each piece has its hits,
+product and position in one number, in lists of bounded size. A text of three characters or more is looked up by the
+two rarest of the longest pieces it has; hits of both at the right distance from each other are candidates, and only
+these are held against the text. Shorter texts are pieces themselves. The hits of a piece of three grow with the catalog, so many
+long texts looked up by such pieces would read as many hits as texts times names; those of eight stay few.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.plans.scratch import staged
 
 PIECE = 3
+# Texts of so many characters are looked up by pieces as long.
+LONG_PIECE = 8
 # A hit is the product id, moved left by so many bits, plus the position.
 POSITION_BITS = 20
 ID_BITS = 63 - POSITION_BITS
@@ -38,7 +41,10 @@ class NameIndex:
     def build(cls, products: DataFrame) -> NameIndex:
         """Index a stored product table; products without a name are in no list."""
         names = Lookup.stage(name_table(products), ["product_id"], "names")
-        hits = Lookup.stage(hit_lists(names.df), ["piece"], "name-hits")
+        # Names of one block in one task, where all their lists are made; tasks follow the number of names.
+        tasks = max(_shuffle_partitions(products), names.df.count() >> BLOCK_BITS)
+        dealt = names.df.withColumn("block", _block()).repartition(tasks, "block")
+        hits = Lookup.stage(hit_lists(dealt), ["piece"], "name-hits")
         counts = hits.df.groupBy("piece").agg(F.sum(F.size("hits")).alias("n"))
         return cls(names, hits, Lookup.stage(counts, ["piece"], "name-pieces"))
 
@@ -69,7 +75,7 @@ def name_table(products: DataFrame) -> DataFrame:
 def hit_lists(names: DataFrame) -> DataFrame:
     """``piece, block`` and ``hits``, ascending.
 
-    Pieces of three characters have a hit for each position, shorter ones (the empty one too) one for each
+    Pieces of three and of eight characters have a hit for each position, shorter ones (the empty one too) one for each
     name, at position 0.
     """
     name = F.col("folded")
@@ -87,30 +93,39 @@ def hit_lists(names: DataFrame) -> DataFrame:
 
     whole = F.concat(
         F.array(F.struct(F.lit("").alias("piece"), F.lit(0).alias("at"))),
-        *[cut(size) for size in range(1, PIECE + 1)],
+        *[cut(size) for size in [*range(1, PIECE + 1), LONG_PIECE]],
     )
-    rows = names.select("product_id", F.explode(whole).alias("p"))
+    # Names that were dealt by their block are not dealt again.
+    blocks = names if "block" in names.columns else names.withColumn("block", _block())
+    rows = blocks.select("product_id", "block", F.explode(whole).alias("p"))
     hit = F.shiftleft("product_id", POSITION_BITS) + F.col("p.at")
     return (
-        rows.select(
-            F.col("p.piece").alias("piece"),
-            F.shiftright("product_id", BLOCK_BITS).alias("block"),
-            hit.alias("hit"),
-        )
+        rows.select(F.col("p.piece").alias("piece"), "block", hit.alias("hit"))
         .groupBy("piece", "block")
         .agg(F.sort_array(F.collect_list("hit")).alias("hits"))
     )
 
 
+def _block() -> Column:
+    return F.shiftright("product_id", BLOCK_BITS)
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _pieces_of(text: Column) -> Column:
     """Offset and piece of every part of a text that is looked up."""
-    last = F.char_length(text) - PIECE
-    each = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("offset"), F.substr(text, i + 1, F.lit(PIECE)).alias("piece")),
-    )
+
+    def each(size: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.char_length(text) - size),
+            lambda i: F.struct(i.alias("offset"), F.substr(text, i + 1, F.lit(size)).alias("piece")),
+        )
+
     alone = F.array(F.struct(F.lit(0).alias("offset"), text.alias("piece")))
-    return F.when(last >= 0, each).otherwise(alone)
+    length = F.char_length(text)
+    return F.when(length >= LONG_PIECE, each(LONG_PIECE)).when(length >= PIECE, each(PIECE)).otherwise(alone)
 
 
 def containing(texts: DataFrame, index: NameIndex) -> DataFrame:
