@@ -177,6 +177,23 @@ def test_pairs_of_baskets(spark, block):
     assert {r[0]: r[1] for r in G.solo_from_baskets(df, "b", "i").collect()} == dict(alone)
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_pairs_are_made_by_tasks_of_few_lines(spark, monkeypatch, block):
+    # All baskets share few groups, so each is counted by itself; tasks go by lines.
+    monkeypatch.setattr(G, "BASKET_GROUPS", 2)
+    monkeypatch.setattr(G, "TASK_LINES", 10)
+    lines = [(b, (b * 7 + i * i) % 11) for b in range(40) for i in range(b % 6 + 1)]
+    df = spark.createDataFrame(lines, "b int, i int")
+    counts, tasks = G.partial_cooccurrence(df, "b", "i", block)
+    assert tasks > 1
+    baskets = {}
+    for b, i in lines:
+        baskets.setdefault(b, set()).add(i)
+    expected = Counter(p for items in baskets.values() for p in itertools.combinations(sorted(items), 2))
+    got = G.cooccurrence_from_baskets(df, "b", "i", block).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == dict(expected) and len(got) == len(expected)
+
+
 def test_names_become_ids_and_features(spark):
     products = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "product_id long, name string")
     edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 5), ("a", "x", 7)], "product_1 string, product_2 string, count long")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayfold.operators.joins import Lookup, lookup_join
-from wayfold.plans.scratch import staged_and_measured
+from wayfold.plans.scratch import staged, staged_and_measured
 
 # Lines up to which a basket is gathered whole, and items per block of a larger one.
 BASKET_BLOCK = 1000
+# Baskets are first counted together in so many groups, and exactly only in groups that hold more lines than a block.
+BASKET_GROUPS = 1 << 18
+# Lines that one task makes pairs of. Pairs are many times the lines, so tasks go by lines and not by their bytes.
+TASK_LINES = 100_000
+# Shares of the baskets that a task takes, and tasks of lines whose pairs are summed by one.
+SHARES, TASKS_A_SUM = 16, 3
 
 
 def matrix_to_long(matrix: DataFrame) -> DataFrame:
@@ -59,36 +65,82 @@ def cooccurrence_from_baskets(
     is never gathered: it is cut into blocks, and every pair of its blocks is worked on apart.
     No pair is lost, and counts are combined on the map side.
     """
+    counts, tasks = partial_cooccurrence(lines, basket, item, block)
+    return (
+        counts.repartition(tasks, "item_1", "item_2")
+        .groupBy("item_1", "item_2")
+        .agg(F.sum("count").alias("count"))
+    )
+
+
+def partial_cooccurrence(
+    lines: DataFrame, basket: str, item: str, block: int = BASKET_BLOCK
+) -> tuple[DataFrame, int]:
+    """``item_1, item_2, count`` as counted within each task, to be summed, and in how many tasks that should be."""
     rows = lines.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(
         F.col("basket").isNotNull() & F.col("item").isNotNull()
     )
-    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("lines"))
+    tasks, large = _large_baskets(rows, block)
+    count = F.count(F.lit(1)).alias("count")
+
+    def counted_in_place(small: DataFrame) -> DataFrame:
+        # Dealt by share, so that the pairs of a share are counted without another shuffle.
+        share = F.pmod(F.xxhash64("basket"), F.lit(SHARES * tasks)).cast("int")
+        dealt = small.withColumn("share", share).repartition(tasks, "share")
+        return _pairs_in_place(dealt).groupBy("share", "item_1", "item_2").agg(count).drop("share")
+
+    if large is None:
+        counts = counted_in_place(rows)
+    else:
+        marked = lookup_join(rows, large, ["basket"])
+        small = marked.where(F.col("blocks").isNull()).drop("blocks")
+        big = _pairs_by_block(marked.where(F.col("blocks").isNotNull()))
+        counts = counted_in_place(small).unionByName(big.groupBy("item_1", "item_2").agg(count))
+    return counts, max(1, tasks // TASKS_A_SUM)
+
+
+def _large_baskets(rows: DataFrame, block: int) -> tuple[int, Lookup | None]:
+    """Tasks for the pairs of all lines, and ``basket, blocks`` of the baskets of more than ``block`` lines, if any.
+
+    A basket is at most as large as its group, so only groups above ``block`` are counted by basket.
+    """
+    grouped = rows.select("basket", F.pmod(F.xxhash64("basket"), F.lit(BASKET_GROUPS)).cast("int").alias("group"))
+    seen = Observation()
+    crowded = staged(
+        grouped.groupBy("group")
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .observe(seen, F.sum("lines").alias("lines"), F.count_if(F.col("lines") > block).alias("crowded"))
+        .where(F.col("lines") > block)
+        .select("group"),
+        "crowded-groups",
+    )
+    tasks = max(1, -(-(seen.get["lines"] or 0) // TASK_LINES))
+    if not seen.get["crowded"]:
+        return tasks, None
+    sizes = (
+        lookup_join(grouped, Lookup.over(crowded, ["group"]), ["group"], "left_semi")
+        .groupBy("basket")
+        .agg(F.count(F.lit(1)).alias("lines"))
+    )
     large, found, size = staged_and_measured(
         sizes.where(F.col("lines") > block).select(
             "basket", F.ceil(F.col("lines") / block).cast("int").alias("blocks")
         ),
         "large-baskets",
     )
-    if not found:
-        pairs = _pairs_in_place(rows)
-    else:
-        marked = lookup_join(rows, Lookup(large, ("basket",), size), ["basket"])
-        small = marked.where(F.col("blocks").isNull()).drop("blocks")
-        big = marked.where(F.col("blocks").isNotNull())
-        pairs = _pairs_in_place(small).unionByName(_pairs_by_block(big))
-    return pairs.groupBy("item_1", "item_2").agg(F.count(F.lit(1)).alias("count"))
+    return tasks, Lookup(large, ("basket",), size) if found else None
 
 
 def _pairs_in_place(rows: DataFrame) -> DataFrame:
-    """Pairs of baskets known to have few lines."""
+    """Pairs of baskets known to have few lines, with the baskets' ``share``."""
     items = F.array_sort(F.collect_set("item"))
     later = F.slice("items", F.col("pos") + 2, F.size("items"))
     return (
-        rows.groupBy("basket")
+        rows.groupBy("share", "basket")
         .agg(items.alias("items"))
         .where(F.size("items") > 1)
-        .select("items", F.posexplode("items").alias("pos", "item_1"))
-        .select("item_1", F.explode(later).alias("item_2"))
+        .select("share", "items", F.posexplode("items").alias("pos", "item_1"))
+        .select("share", "item_1", F.explode(later).alias("item_2"))
     )
 
 

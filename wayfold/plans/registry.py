@@ -330,7 +330,7 @@ def _published(spark, sf_dir) -> dict[str, DataFrame]:
 
     def build() -> dict[str, DataFrame]:
         root = scratch_path(spark, "catalog")
-        solo = cooccurrence.solo_from_baskets(_numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
+        solo = cooccurrence.solo_from_baskets(stages.numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
         write_catalog(
             {
                 "products": stages.products(spark, sf_dir),
@@ -382,12 +382,6 @@ def store_keys(spark, sf_dir):
 # Co-occurrence
 
 
-def _numbered_lines(spark, sf_dir) -> DataFrame:
-    ids = stages.base_products(spark, sf_dir).select("source_key", "product_id")
-    lines = model.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return lines.join(ids, F.col("l_partkey") == F.col("source_key"))
-
-
 def _type_cells(spark, sf_dir) -> DataFrame:
     return cooccurrence.matrix_to_long(model.type_matrix(spark, sf_dir))
 
@@ -641,7 +635,7 @@ def product_fuzzy_published(spark, sf_dir):
     """Terms of none to five characters, looked up in the index published with the catalog."""
     root = scratch_path(spark, "catalog-names")
     products = stages.products(spark, sf_dir)
-    solo = cooccurrence.solo_from_baskets(_numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
+    solo = cooccurrence.solo_from_baskets(stages.numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
     write_catalog(
         {
             "products": products,

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from wayfold.operators import joins
 from wayfold.operators.catalog import build_products
 from wayfold.operators.cooccurrence import add_graph_features, cooccurrence_from_baskets
 from wayfold.operators.hierarchy import Gazetteer, build_gazetteer, build_hierarchy
+from wayfold.operators.joins import Lookup, lookup_join
 from wayfold.operators.names import NameIndex
 from wayfold.operators.requests import Catalog
 from wayfold.plans import model
@@ -58,14 +59,26 @@ def base_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l_orderkey, product_id`` of the order lines, which are read more than once.
+
+    Stored when the ids are too large to broadcast, so that the lines are dealt by product only once.
+    """
+
+    def build() -> DataFrame:
+        ids = Lookup.over(base_products(spark, sf_dir).select("source_key", "product_id"), ["source_key"])
+        lines = model.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+        numbered = lookup_join(lines, ids, ["l_partkey"], "inner").select("l_orderkey", "product_id")
+        return numbered if ids.bytes <= joins.BROADCAST_BYTES else staged(numbered, "numbered-lines")
+
+    return once(spark, sf_dir, "numbered-lines", build)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products ordered together. Ids are put in first, so that pairs are two numbers."""
 
     def build() -> DataFrame:
-        ids = base_products(spark, sf_dir).select("source_key", "product_id")
-        lines = model.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-        numbered = lines.join(ids, F.col("l_partkey") == F.col("source_key"))
-        pairs = cooccurrence_from_baskets(numbered, "l_orderkey", "product_id")
+        pairs = cooccurrence_from_baskets(numbered_lines(spark, sf_dir), "l_orderkey", "product_id")
         return staged(
             pairs.toDF("product_id_1", "product_id_2", "cooccurrence_count"), "edges"
         )
