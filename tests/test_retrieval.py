@@ -397,6 +397,30 @@ def test_terms_around_the_length_of_a_long_piece(spark):
     assert got == expected
 
 
+def test_edges_meet_the_ids_alone(spark, products, monkeypatch):
+    # Between the size of the ids and that of the products with their columns.
+    monkeypatch.setattr("wayfold.operators.joins.BROADCAST_BYTES", 2000)
+    spread = []
+    whole = R.lookup_join.__globals__["spread_join"]
+
+    def counted(left, right, on, how="inner", hot=None):
+        spread.append(how)
+        return whole(left, right, on, how, hot)
+
+    monkeypatch.setattr("wayfold.operators.joins.spread_join", counted)
+    monkeypatch.setattr(R, "TASK_EDGES", 5)
+    edges = [(a, b, a * b % 7 + 1) for a in range(1, 20) for b in range(a + 1, 20)] + [(1, 999, 50)]
+    df = spark.createDataFrame(edges, "product_id_1 long, product_id_2 long, cooccurrence_count long")
+    got = R.neighbors_topk(df, products, 3, symmetric=True).where("product_id_1 < 20").collect()
+    assert "left_semi" not in spread
+    both = [(a, b, n) for a, b, n in edges if b < 20] + [(b, a, n) for a, b, n in edges]
+    expected = {a: [b for _, b in sorted((-n, b) for x, b, n in both if x == a)[:3]] for a in range(1, 20)}
+    found = {}
+    for r in sorted(got, key=lambda r: (r["product_id_1"], r["rank"])):
+        found.setdefault(r["product_id_1"], []).append(r["product_id"])
+    assert found == expected
+
+
 def test_names_that_cannot_be_indexed_are_errors(spark):
     for row in [(1, "x" * (1 << names.POSITION_BITS), 0.1), (1 << names.ID_BITS, "x", 0.1), (-1, "x", 0.1)]:
         products = spark.createDataFrame([row], "product_id long, name string, popularity_global double")

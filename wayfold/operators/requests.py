@@ -262,8 +262,8 @@ def recommend(
         ["term"],
         "mentions",
     )
-    near = edges.join(
-        meant.df.select("product_id_1").distinct(), "product_id_1", "left_semi"
+    near = staged(
+        edges.join(meant.df.select("product_id_1").distinct(), "product_id_1", "left_semi"), "near"
     )
     companions = Lookup.stage(
         neighbors_topk(near, catalog.products, neighbors).select(

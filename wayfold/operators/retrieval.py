@@ -49,6 +49,8 @@ NEIGHBOR_COLUMNS = (
     "popularity_global",
 )
 DEFAULT_SEGMENT = "Games"
+# Edges that one task sorts.
+TASK_EDGES = 1_000_000
 COMPANIONS_PHRASE = "Frequently bought with: "
 CHILDREN_PHRASE = "Popular with young children and families"
 PRETEENS_PHRASE = "Popular with pre-teens"
@@ -171,18 +173,22 @@ def neighbors_topk(
 ) -> DataFrame:
     """The ``k`` neighbours of every product.
 
-    Edges are cut down to ``k`` per product before the product columns are joined. Edges to
-    products outside the table do not count.
+    Edges, a stored table, are cut down to ``k`` per product before the product columns are joined. Edges to
+    products outside the table do not count. They are dealt to tasks by their number, so that each one is sorted
+    once and in memory.
     """
+    tasks = -(-edges.count() * (2 if symmetric else 1) // TASK_EDGES)
     if symmetric:
         edges = both_directions(edges)
     if isinstance(products, DataFrame):
         products = Lookup.over(products.select(*NEIGHBOR_COLUMNS), ["product_id"])
-    known = Lookup(products.df.select("product_id"), ("product_id",), products.bytes)
+    # Ids alone are small where the products with their columns are not; then edges need no shuffle for them.
+    known = Lookup.over(products.df.select("product_id"), ["product_id"])
     order = [F.col("cooccurrence_count").desc(), F.col("product_id_2").asc()]
-    kept = top_per_key(
-        lookup_join(edges, known, ["product_id_2"], "left_semi"), ["product_id_1"], order, k
-    ).withColumnRenamed("product_id_2", "product_id")
+    told = lookup_join(edges, known, ["product_id_2"], "left_semi")
+    if tasks > 1:
+        told = told.repartition(tasks, "product_id_1")
+    kept = top_per_key(told, ["product_id_1"], order, k).withColumnRenamed("product_id_2", "product_id")
     traits = Lookup(products.df.select(*NEIGHBOR_COLUMNS), ("product_id",), products.bytes)
     return lookup_join(kept, traits, ["product_id"], "inner").select(
         "product_id_1", "rank", *NEIGHBOR_COLUMNS, "cooccurrence_count"
