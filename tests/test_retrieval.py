@@ -319,6 +319,25 @@ def test_few_pairs_of_clustered_vectors_are_scored(spark, monkeypatch):
     print("share of pairs scored", sum(scored) / (len(asked) * len(rows)))
 
 
+def test_asked_vectors_meet_blocks_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BATCH", 16)
+    monkeypatch.setattr(similarity, "HELD", 100)
+    rows = clustered(400, 6, 400, 0.0) + [(1000 + i, [1.0 * (j == i % 6) for j in range(6)]) for i in range(60)]
+    asked = range(0, 400, 4)
+    rounds = []
+    whole = similarity._scores
+
+    def counted(tables, pairs, *kept):
+        found = whole(tables, pairs, *kept)
+        rounds.append((found.count(), pairs.count()))
+        return found
+
+    monkeypatch.setattr(similarity, "_scores", counted)
+    assert batch(spark, rows, asked, 4) == nearest(rows, asked, 4)
+    # Pairs of vectors are not rows: each task gives the best few of each vector.
+    assert all(found <= len(asked) * 5 * 5 for found, _ in rounds) and rounds[1][1] > 1000
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_terms_of_any_length_in_the_index(spark, monkeypatch, large):
     if large:
