@@ -163,6 +163,22 @@ def test_many_variants_of_a_line_are_one_group(make_docs):
     assert 0 in kept and len(kept) <= 3
 
 
+def test_variants_with_rare_words_of_their_own_meet_pivots(make_docs, monkeypatch):
+    base = [f"word{i:02d}" for i in range(30)]
+    rows = [(i, " ".join([f"quiteunusual{i}x{j}" for j in range(3)] + base[3:])) for i in range(40)]
+    met = []
+    whole = lines._close
+
+    def counted(pairs):
+        found = whole(pairs)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(lines, "_close", counted)
+    got = lines.mark(make_docs(rows)).where("kept").collect()
+    assert [r["doc_id"] for r in got] == [0] and sum(met) < 40 * 39 / 4
+
+
 def test_lines_use_no_python_and_take_empty_tables(make_docs):
     found = lines.mark(make_docs([]))
     assert found.count() == 0

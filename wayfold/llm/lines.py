@@ -10,9 +10,9 @@ of the longer one, so they share one of the ``d + 1`` words of each that come fi
 filter), here the rarest. What a pair cannot exceed in its lengths and in the parities of its words is
 checked before the edits are counted, and accepted pairs are checked on their words.
 
-Links are looked for as little as the components need: first with a pivot of each key, then only
-between lines that are still in different components, so a thousand variants of one line cost a row each,
-not a pair for every two. The last step takes classes of length in turn, so that its keys never lie on disk together.
+Links are looked for as little as the components need: first with a pivot of each key, in turns until hardly any
+line is joined by that, then only between lines that are still in different components, so a thousand variants of one
+line cost a row each, not a pair for every two. The last step takes classes of length in turn, so that its keys never lie on disk together.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ HASH_BITS = 55
 PARITIES = ["p0", "p1", "p2", "p3"]
 # Rare words of a line that meet pivots; the comparison in full takes all of them.
 PIVOT_WORDS = 3
+# Before it, lines meet a pivot of each of their keys, another in each turn, so often at most and until a turn finds so few links.
+PIVOT_TURNS = 4
+FEW_LINKS = 1024
 # Keys of the comparison in full that are dealt at once; classes of length are taken together up to that.
 KEYS_AT_ONCE = 4 << 20
 # Letters that words are turned into.
@@ -357,16 +360,24 @@ def line_components(lines: DataFrame) -> DataFrame:
         pivot = choose(F.struct(*own, "component"))
         # Dealt once for both the pivots and what meets them.
         labelled = _labelled(line_keys(lines, tokens), labels).drop("size").repartition("key")
-        pivots = labelled.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), pivot.alias("p")
-        )
-        met = labelled.join(pivots.where("low < high"), "key").where("component <> p.component")
-        met = met.select(*own, *[F.col(f"p.{c}").alias(f"{c}_b") for c in own])
-        pairs = _close(met)
+        pairs = _close(_pivot_pairs(labelled, pivot, own))
         release(spark)
         labels = _united(labels, edit_links(pairs, lines))
     for sizes in key_batches(lines):
         keys = line_keys(lines, F.col("rare")).where(F.col("size").isin(sizes)).drop("size")
+        for turn in range(PIVOT_TURNS):
+            chosen = F.max(F.struct(F.xxhash64(F.lit(turn), "line").alias("order"), *own, "component"))
+            labelled = _labelled(keys, labels).repartition("key")
+            pairs = _close(_pivot_pairs(labelled, chosen, own))
+            release(spark)
+            links = edit_links(pairs, lines)
+            found = links.count()
+            if found:
+                labels = _united(labels, links)
+            else:
+                discard(spark, links)
+            if found <= FEW_LINKS:
+                break
         labelled = _labelled(keys, labels).repartition("key")
         open_keys = (
             labelled.groupBy("key")
@@ -386,6 +397,15 @@ def line_components(lines: DataFrame) -> DataFrame:
     return labels.df.withColumnRenamed("line", "node")
 
 
+def _pivot_pairs(labelled: DataFrame, pivot: Column, own: list[str]) -> DataFrame:
+    """Every line with the pivot of each of its keys, when that is of another component."""
+    pivots = labelled.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), pivot.alias("p")
+    )
+    met = labelled.join(pivots.where("low < high"), "key").where("component <> p.component")
+    return met.select(*own, *[F.col(f"p.{c}").alias(f"{c}_b") for c in own])
+
+
 def _close(met: DataFrame) -> DataFrame:
     """Different pairs whose lengths and parities differ by no more than the allowed edits explain. Stored.
 
