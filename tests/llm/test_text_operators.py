@@ -13,7 +13,7 @@ import tiktoken
 import zstandard
 from tokenizers import Tokenizer
 
-from wayfold.llm import bpe, langid, packing, quality, secrets
+from wayfold.llm import bpe, jaccard, langid, packing, quality, secrets, tables
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -425,3 +425,21 @@ def test_tree_paths():
         ((0, False, 0.5), (0, True, 0.2)),
         ((0, True, 0.5),),
     }
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    vocabulary = bpe.Vocabulary(JSON, public_tokenizers.PATTERN)
+    tables.working("langid")
+    made = langid._classifier((("en", b"some words of the language"),))
+    assert langid._classifier((("en", b"some words of the language"),)) is made
+    words = vocabulary.get()
+    words.encode("a few words")
+    assert words.words and langid._classifier.cache_info().currsize == 0
+    jaccard.shingles("a few words")
+    assert vocabulary.get() is words and jaccard._hashes
+    tables.working("langid")
+    assert not jaccard._hashes and bpe._loaded.cache_info().currsize == 0
+    # Of classifiers only the last.
+    for k in range(3):
+        langid._classifier((("en", b"some words" + bytes([k])),))
+    assert langid._classifier.cache_info().currsize == 1

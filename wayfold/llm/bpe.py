@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from wayfold.llm.tables import slices
+from wayfold.llm.tables import keeps, slices, working
 
 # Words kept per Python worker, and the longest word kept.
 KEPT_WORDS = 400_000
@@ -189,6 +189,9 @@ def _loaded(kind: str, data: bytes, pattern: str) -> ByteBpe:
     return (ByteBpe.from_json if kind == "json" else ByteBpe.from_ranks)(data, pattern)
 
 
+keeps("bpe", _loaded.cache_clear)
+
+
 class Vocabulary:
     """A vocabulary file as it travels to the tasks: a few MB, read once on the driver.
 
@@ -202,6 +205,7 @@ class Vocabulary:
             self.data = file.read()
 
     def get(self) -> ByteBpe:
+        working("bpe")
         return _loaded(self.kind, self.data, self.pattern)
 
 

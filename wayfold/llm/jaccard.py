@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import connected_components
-from wayfold.llm.tables import discard, partitions, release, slices, stored
+from wayfold.llm.tables import discard, keeps, partitions, release, slices, stored, working
 from wayfold.operators.joins import Lookup, lookup_join
 
 SHINGLE = 5
@@ -146,6 +146,7 @@ def _common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.nda
     one_in = max(1, -(-total // ORDER_SAMPLE))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         for batch in slices(batches):
             found = [shingles(t) for t in batch.column(0).to_pylist()]
             if found:
@@ -177,6 +178,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> Da
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         for batch in slices(batches):
             sizes, nodes, checks, prefixes, keys, maps = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -312,6 +314,7 @@ def _texts(
     found = lookup_join(docs.select(id_col, text_col), lookup, [id_col], "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         # An id may be repeated with another text, which has another set.
         for batch in slices(batches):
             keep = [
@@ -332,6 +335,14 @@ def _kept_shingles(text: str) -> np.ndarray:
     return shingles(text)
 
 
+def _forget() -> None:
+    _hashes.clear()
+    _kept_shingles.cache_clear()
+
+
+keeps("jaccard", _forget)
+
+
 def verify(
     docs: DataFrame, pairs: DataFrame, nodes: Lookup, id_col: str, text_col: str, seed: int
 ) -> DataFrame:
@@ -341,6 +352,7 @@ def verify(
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard")
         for batch in slices(batches):
             first, second = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = [linked(_kept_shingles(x), shingles(y)) for x, y in zip(first, second)]

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.tables import held_out, slices
+from wayfold.llm.tables import held_out, keeps, slices, working
 
 UNKNOWN = "und"
 # Learned from at most so many labelled texts a language, and from so many stretches of so many characters, spread
@@ -146,11 +146,15 @@ def _pieces(data: bytes) -> list[bytes]:
     return [data[i : i + step] for i in range(0, len(data), step)]
 
 
-@lru_cache(maxsize=4)
+# One: compressors with their dictionaries take some MB a language.
+@lru_cache(maxsize=1)
 def _classifier(contents: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(contents)
 
 
+keeps("langid", _classifier.cache_clear)
+
+
 def identify(
     docs: DataFrame, contents: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -167,6 +171,7 @@ def identify(
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("langid")
         classifier = _classifier(shipped.value)
         for batch in slices(batches):
             found = [classifier.classify(t) for t in batch.column(at).to_pylist()]

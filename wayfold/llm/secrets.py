@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.tables import slices
+from wayfold.llm.tables import slices, working
 
 # The base patterns, and the shortest length that counts.
 ASSIGN = re.compile(
@@ -240,6 +240,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Gr
     """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("secrets")
         for batch in slices(batches):
             kinds, found = [], []
             for text in batch.column(0).to_pylist():
@@ -340,6 +341,7 @@ def scan(
     names = [id_col, "n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("secrets")
         for batch in slices(batches):
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             digests, joined = [], []
@@ -377,6 +379,7 @@ def redact(docs: DataFrame, grammar: Grammar, text_col: str = "text", mark: str
         return "".join([*parts, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("secrets")
         for batch in slices(batches):
             texts = [clean(t) for t in batch.column(at).to_pylist()]
             arrays = list(batch.columns)

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -74,6 +74,29 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE_ROWS)
 
 
+_owner: str | None = None
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Name what empties the tables that an operator keeps between tasks of a Python worker."""
+    _forget[owner] = forget
+
+
+def working(owner: str) -> None:
+    """Called at the begin of a task. A worker outlives its task and comes to other operators, so what those before it
+    have kept goes first: a worker holds the tables of one operator. No result depends on them."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for other, forget in _forget.items():
+        if other != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
