@@ -124,6 +124,49 @@ def test_signature_tree_bounds_lose_no_pair():
     assert not set(jaccard.dual_traversal(sizes, maps, one, together))
 
 
+def test_variants_that_link_by_chance_make_no_pair_for_every_two(make_docs, monkeypatch):
+    random.seed(5)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in random.sample(range(140), 2):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    made, pivots = [], jaccard._root_pivots
+
+    def counted(*args):
+        found = pivots(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_root_pivots", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(make_docs(rows)).collect()}
+    sets = [jaccard.shingles(t) for _, t in rows]
+    parent = list(range(120))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(120), 2):
+        if jaccard.linked(sets[i], sets[j]):
+            x, y = sorted((top(i), top(j)))
+            parent[y] = x
+    assert got == {i: top(i) for i in range(120)}
+    assert made
+
+
+def test_documents_meet_at_the_first_shingle_they_share():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(3, 103, dtype=np.uint64)]
+    sizes, comps = np.array([100, 100]), np.array([0, 1])
+    maps, together = [jaccard.bitmap(s) for s in sets], np.array([3, 3])
+    assert list(jaccard.dual_traversal(sizes, maps, comps, together, np.array([97, 100]))) == [(0, 1)]
+    # Later roots cannot be the first shingle of two documents that link.
+    assert not list(jaccard.dual_traversal(sizes, maps, comps, together, np.array([80, 83])))
+
+
 def test_lines(make_docs):
     random.seed(7)
     long_line = random.choices([f"word{i}" for i in range(300)], k=60)

@@ -37,6 +37,13 @@ ORDER_LEAST = 3
 ORDER_SHINGLES = 1 << 16
 # Min-hash groups whose pivot is tried first: bands of two.
 BANDS = 6
+# Roots of more members have pivots in turns first, so often at most and until a turn finds so few links. Trees of
+# smaller roots make at most half as many pairs for a member.
+LARGE_ROOT = 64
+PIVOT_TURNS = 6
+FEW_LINKS = 64
+# Pivots of a large root in a turn.
+PIVOTS = 4
 # Members of one tree task; a root with more is dealt out over pairs of blocks.
 BLOCK = 1024
 LEAF = 16
@@ -247,7 +254,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = _pivot_links(docs, members, nodes, id_col, text_col, seed)
     united = Lookup.stage(connected_components(links), ["node"], "llm-united")
     release(spark)
-    pairs = _tree_pairs(members, nodes, united, id_col)
+    chosen, large = _roots(members, nodes, united, id_col)
+    release(spark)
+    for turn in range(PIVOT_TURNS if large is not None else 0):
+        pairs = _root_pivots(members, nodes, united, large, id_col, turn)
+        links = verify(docs, pairs, nodes, id_col, text_col, seed)
+        found = links.count()
+        if found:
+            whole = connected_components(united.df.toDF("a", "b").union(links))
+            united = Lookup.stage(whole, ["node"], "llm-united")
+        release(spark)
+        if found <= FEW_LINKS:
+            break
+    pairs = _tree_pairs(members, nodes, united, chosen, id_col)
     release(spark)
     more = verify(docs, pairs, nodes, id_col, text_col, seed)
     whole = united.df.toDF("a", "b").union(more)
@@ -385,15 +404,19 @@ def _ones(words: np.ndarray) -> np.ndarray:
 class TreeNode:
     """Documents ``start`` to ``end`` of the sorted list, and what bounds the overlap with them."""
 
-    __slots__ = ("start", "end", "children", "bits", "extra", "least", "most", "component")
+    __slots__ = ("start", "end", "children", "bits", "extra", "least", "most", "component", "rest")
 
-    def __init__(self, start, end, children, bits, extra, least, most, component):
+    def __init__(self, start, end, children, bits, extra, least, most, component, rest):
         self.start, self.end, self.children, self.bits = start, end, children, bits
         # Shingles beyond the first of a bit, at most.
         self.extra, self.least, self.most, self.component = extra, least, most, component
+        # Shingles of a document from the root on, at most.
+        self.rest = rest
 
 
-def build_tree(sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray) -> TreeNode:
+def build_tree(
+    sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, rests: np.ndarray
+) -> TreeNode:
     """Signature tree over documents sorted by size."""
     level = []
     for start in range(0, len(sizes), LEAF):
@@ -411,6 +434,7 @@ def build_tree(sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray) ->
                 int(sizes[start]),
                 int(sizes[end - 1]),
                 own[0] if (own == own[0]).all() else None,
+                int(rests[start:end].max()),
             )
         )
     while len(level) > 1:
@@ -432,6 +456,7 @@ def _parent(nodes: list[TreeNode]) -> TreeNode:
         nodes[0].least,
         nodes[-1].most,
         nodes[0].component if same else None,
+        max(n.rest for n in nodes),
     )
 
 
@@ -446,19 +471,25 @@ def may_link(a: TreeNode, b: TreeNode) -> bool:
     shared = int(_ones(x & y))
     lost_a, lost_b = int(_ones(a.bits) - _ones(x)), int(_ones(b.bits) - _ones(y))
     # Shingles in common lie on shared bits: one each, and at most the extra ones besides.
-    most = min(shared + a.extra + lost_a, shared + b.extra + lost_b, a.most, b.most)
+    most = min(shared + a.extra + lost_a, shared + b.extra + lost_b, a.most, b.most, a.rest, b.rest)
     return (PER_UNION + LINK) * most >= LINK * (a.least + b.least)
 
 
 def dual_traversal(
-    sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, sides: np.ndarray
+    sizes: np.ndarray,
+    maps: list[np.ndarray],
+    comps: np.ndarray,
+    sides: np.ndarray,
+    rests: np.ndarray | None = None,
 ) -> Iterator[tuple[int, int]]:
     """Pairs of positions whose bounds allow a link, of different components.
 
     Members of side 0 meet those of side 1 only; members of side 3 meet each other. Documents are
-    sorted by size.
+    sorted by size; of a document's shingles in the common order, ``rests`` tells how many there are from the
+    root on, all when not given. Two documents need to meet at the first shingle they share only, so they share no more.
     """
-    root = build_tree(sizes, maps, comps)
+    rests = sizes if rests is None else rests
+    root = build_tree(sizes, maps, comps, rests)
     waiting = [(root, root)]
     while waiting:
         a, b = waiting.pop()
@@ -480,7 +511,7 @@ def dual_traversal(
         n, m = sizes[a.start : a.end], sizes[b.start : b.end]
         shared = _ones(left[:, None, :] & right[None, :, :])
         most = np.minimum((shared.T + n - _ones(left)).T, shared + m - _ones(right))
-        most = np.minimum(most, np.minimum(n[:, None], m[None, :]))
+        most = np.minimum(most, np.minimum(rests[a.start : a.end, None], rests[None, b.start : b.end]))
         fits = (PER_UNION + LINK) * most >= LINK * (n[:, None] + m[None, :])
         fits &= comps[a.start : a.end, None] != comps[None, b.start : b.end]
         s, t = sides[a.start : a.end, None], sides[None, b.start : b.end]
@@ -491,33 +522,98 @@ def dual_traversal(
             yield a.start + i, b.start + j
 
 
-def _tree_pairs(members: DataFrame, nodes: Lookup, united: Lookup, id_col: str) -> DataFrame:
-    """Candidate pairs of different components, from the trees of all roots. Stored."""
+def _roots(members: DataFrame, nodes: Lookup, united: Lookup, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``token``, ``node``, ``n`` and ``rest`` of the roots that trees are made of, stored; the first three of large ones.
+
+    Two linked documents share no more shingles than either has from the first on that they share, their root. So
+    a row goes that cannot have its first shared shingle there, with the smallest set of its root.
+    """
     spark = members.sparkSession
     known = lookup_join(_representatives(members, nodes, id_col), united, ["node"]).select(
-        "node", F.coalesce("component", "node").alias("component"), "prefix"
+        "node", F.coalesce("component", "node").alias("component"), "n", "prefix"
     )
-    rows = known.select("node", "component", F.explode("prefix").alias("token"))
+    rows = known.select("node", "component", "n", F.posexplode("prefix").alias("place", "token"))
+    rows = rows.select("token", "node", "component", "n", (F.col("n") - F.col("place")).alias("rest"), "place")
     # Roots with several components; a minimum and a maximum for each, taken before the shuffle.
     several = (
         rows.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
         .where("low < high")
-        .select("token")
+        .select("token", "least")
     )
     several = Lookup.stage(several, ["token"], "llm-roots")
     crossing = lookup_join(rows, several, ["token"], "inner")
-    crossing = stored(crossing.dropDuplicates(["token", "node"]), "crossing")
-    # Shingles of one passage are roots over the same documents: one of them will do.
+    enough = (PER_UNION + LINK) * F.col("rest") >= LINK * (F.col("n") + F.col("least"))
+    crossing = stored(crossing.where(enough).drop("least").dropDuplicates(["token", "node"]), "crossing")
+    # Shingles of one passage are roots over the same documents: the first of them will do. The common order
+    # is the same in all documents, so it comes first in each.
     alike = crossing.groupBy("token").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.min("place").alias("place"),
         F.count(F.lit(1)).alias("c"),
         F.bit_xor(F.xxhash64("node")).alias("one"),
         F.bit_xor(F.xxhash64(F.lit("two"), F.col("node"))).alias("two"),
     )
-    roots = alike.groupBy("c", "one", "two").agg(F.min("token").alias("token")).select("token")
-    chosen = stored(crossing.join(roots, "token", "left_semi"), "roots")
-    del rows, several, alike, roots
+    roots = alike.where("low < high").groupBy("c", "one", "two").agg(F.min(F.struct("place", "token")).alias("first"))
+    roots = roots.select(F.col("first.token").alias("token"), "c")
+    chosen = stored(crossing.join(roots, "token").select("token", "node", "n", "rest", "c"), "roots")
     discard(spark, crossing)
+    large = chosen.where(F.col("c") > LARGE_ROOT).select("token", "node", "n")
+    return chosen.drop("c"), None if large.isEmpty() else stored(large, "large-roots")
+
+
+def _in_components(rows: DataFrame, united: Lookup) -> DataFrame:
+    found = lookup_join(rows, united, ["node"])
+    return found.withColumn("component", F.coalesce("component", "node"))
+
+
+def _root_pivots(
+    members: DataFrame, nodes: Lookup, united: Lookup, large: DataFrame, id_col: str, turn: int
+) -> DataFrame:
+    """Pairs of a document and the pivots of each of its large roots, others in each turn, that may link. Stored.
+
+    A row of a root makes ``PIVOTS`` pairs, so a group of very many variants is united by as many pairs as it has rows
+    and not by a pair for every two.
+    """
+    labelled = _in_components(large, united)
+    order = F.xxhash64(F.lit(turn), "node")
+    pivots = labelled.groupBy("token", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(
+        F.max(F.struct(order.alias("order"), "node", "n", "component")).alias("p")
+    )
+    met = labelled.join(pivots, "token").where("component <> p.component")
+    smaller, larger = F.least("n", "p.n"), F.greatest("n", "p.n")
+    met = met.where(PER_UNION * smaller >= LINK * larger)
+    met = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    drawn = _representatives(members, nodes, id_col).select("node", "n", "bits").dropDuplicates(["node"])
+    drawn = stored(drawn.join(large.select("node").distinct(), "node", "left_semi"), "large-bits")
+    both = met.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b")
+    pairs = stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_fitting, "a long, b long"), "pivots")
+    discard(members.sparkSession, drawn)
+    return pairs
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps allow a link."""
+    for batch in slices(batches):
+        keep = []
+        for n, m, *maps in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            x, y = (np.frombuffer(b, dtype=np.uint64) for b in maps)
+            width = min(len(x), len(y))
+            x, y = fold(x, width), fold(y, width)
+            most = int(_ones(x & y)) + min(n - int(_ones(x)), m - int(_ones(y)))
+            keep.append((PER_UNION + LINK) * most >= LINK * (n + m))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _tree_pairs(
+    members: DataFrame, nodes: Lookup, united: Lookup, chosen: DataFrame, id_col: str
+) -> DataFrame:
+    """Candidate pairs of different components, from the trees of all roots. Stored."""
+    spark = members.sparkSession
+    chosen = _in_components(chosen.select("token", "node", "rest"), united)
+    several = chosen.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    chosen = stored(chosen.join(several.where("low < high").select("token"), "token", "left_semi"), "open-roots")
     release(spark)
     drawn = _representatives(members, nodes, id_col).select("node", "n", "bits")
     drawn = drawn.join(chosen.select("node").distinct(), "node", "left_semi")
@@ -525,7 +621,7 @@ def _tree_pairs(members: DataFrame, nodes: Lookup, united: Lookup, id_col: str)
     spread = placed.repartition(partitions(spark), "token", "task").sortWithinPartitions(
         "token", "task", "n", "node"
     )
-    columns = ["token", "task", "node", "component", "side", "n", "bits"]
+    columns = ["token", "task", "node", "component", "side", "n", "rest", "bits"]
     pairs = spread.select(*columns).mapInArrow(_traverse, "a long, b long")
     return stored(pairs.distinct(), "candidates")
 
@@ -576,8 +672,8 @@ def _blocks(crossing: DataFrame) -> DataFrame:
     tasks = F.when(F.col("main").isNull(), whole).when(main, to_others).otherwise(
         F.concat(to_blocks, among)
     )
-    return dealt.select("token", "node", "component", F.explode(tasks).alias("t")).select(
-        "token", "node", "component", "t.task", "t.side"
+    return dealt.select("token", "node", "component", "rest", F.explode(tasks).alias("t")).select(
+        "token", "node", "component", "rest", "t.task", "t.side"
     )
 
 
@@ -588,12 +684,13 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         found = []
         if len(rows) > 1:
-            nodes, comps, sides, sizes, maps = zip(*rows)
+            nodes, comps, sides, sizes, rests, maps = zip(*rows)
             traversal = dual_traversal(
                 np.array(sizes),
                 [np.frombuffer(m, dtype=np.uint64) for m in maps],
                 np.array(comps),
                 np.array(sides),
+                np.array(rests),
             )
             found = [sorted((nodes[i], nodes[j])) for i, j in traversal]
         first, second = ([p[0] for p in found], [p[1] for p in found])
