@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from wayfold.llm import ann, covertree, jaccard, lines, warc
 from wayfold.llm.components import connected_components
 from wayfold.llm.tables import stored
+from wayfold.operators.joins import Lookup
 
 
 def groups_of(nodes, links):
@@ -222,6 +223,22 @@ def test_variants_with_rare_words_of_their_own_meet_pivots(make_docs, monkeypatc
     assert [r["doc_id"] for r in got] == [0] and sum(met) < 40 * 39 / 4
 
 
+def test_keys_of_lines_are_dealt_once(spark, make_docs):
+    found = lines.different_lines(make_docs([(1, "one two three four"), (2, "one two three five")]), "doc_id", "text")
+    own = ["line", "words", *lines.PARITIES]
+    labels = Lookup.stage(spark.createDataFrame([(0, 0)], "line long, component long"), ["line"], "test-labels")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for known in (None, labels):
+            dealt = lines._dealt(lines.line_keys(found, F.col("rare")).drop("size"), known)
+            met = lines._pivot_pairs(dealt, F.max(F.struct(*own, "component")), own)
+            plan = met._jdf.queryExecution().executedPlan().toString().split("\n")
+            assert len([x for x in plan if "REPARTITION_BY_COL" in x and "Reused" not in x]) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_lines_use_no_python_and_take_empty_tables(make_docs):
     found = lines.mark(make_docs([]))
     assert found.count() == 0

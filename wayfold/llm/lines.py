@@ -323,6 +323,16 @@ def _labelled(keys: DataFrame, labels: Lookup | None) -> DataFrame:
     )
 
 
+def _dealt(keys: DataFrame, labels: Lookup | None) -> DataFrame:
+    """Keys with the components so far, dealt by key.
+
+    Neither number is ever null. A join puts that condition on its own side only; with it on each, Spark sees that all
+    uses deal the same rows and writes them once.
+    """
+    there = F.col("line").isNotNull() & F.col("component").isNotNull()
+    return _labelled(keys, labels).where(there).repartition("key")
+
+
 def _united(labels: Lookup | None, links: DataFrame) -> Lookup:
     """``line`` and ``component`` of the linked lines once the stored links are added; drops those.
 
@@ -353,13 +363,15 @@ def _united(labels: Lookup | None, links: DataFrame) -> Lookup:
 def line_components(lines: DataFrame) -> DataFrame:
     """``node`` (number of a line) and ``component`` of the lines that are linked."""
     spark = lines.sparkSession
+    # The shuffle of all lines' texts.
+    release(spark)
     labels = None
     own = ["line", "words", *PARITIES]
     # Pivots of SimHash blocks first, then pivots of the rarest words.
     for tokens, choose in ((block_tokens(), F.min), (F.slice("rare", 1, PIVOT_WORDS), F.max)):
         pivot = choose(F.struct(*own, "component"))
         # Dealt once for both the pivots and what meets them.
-        labelled = _labelled(line_keys(lines, tokens), labels).drop("size").repartition("key")
+        labelled = _dealt(line_keys(lines, tokens).drop("size"), labels)
         pairs = _close(_pivot_pairs(labelled, pivot, own))
         release(spark)
         labels = _united(labels, edit_links(pairs, lines))
@@ -367,7 +379,7 @@ def line_components(lines: DataFrame) -> DataFrame:
         keys = line_keys(lines, F.col("rare")).where(F.col("size").isin(sizes)).drop("size")
         for turn in range(PIVOT_TURNS):
             chosen = F.max(F.struct(F.xxhash64(F.lit(turn), "line").alias("order"), *own, "component"))
-            labelled = _labelled(keys, labels).repartition("key")
+            labelled = _dealt(keys, labels)
             pairs = _close(_pivot_pairs(labelled, chosen, own))
             release(spark)
             links = edit_links(pairs, lines)
@@ -378,7 +390,7 @@ def line_components(lines: DataFrame) -> DataFrame:
                 discard(spark, links)
             if found <= FEW_LINKS:
                 break
-        labelled = _labelled(keys, labels).repartition("key")
+        labelled = _dealt(keys, labels)
         open_keys = (
             labelled.groupBy("key")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"))
