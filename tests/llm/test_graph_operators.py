@@ -223,6 +223,23 @@ def test_variants_with_rare_words_of_their_own_meet_pivots(make_docs, monkeypatc
     assert [r["doc_id"] for r in got] == [0] and sum(met) < 40 * 39 / 4
 
 
+def test_lines_that_share_rare_words_only_are_not_compared(make_docs, monkeypatch):
+    shared = "anextraordinarilylongword"
+    rows = [(i, " ".join([*[f"w{i}x{j}" for j in range(10)], shared, *[f"v{i}x{j}" for j in range(10)]])) for i in range(30)]
+    met, whole = [], lines._close
+
+    def counted(pairs):
+        met.append(pairs.count())
+        return whole(pairs)
+
+    # The word stands for one that is not among the commonest of a large table.
+    monkeypatch.setattr(lines, "COMMON", 0, raising=False)
+    monkeypatch.setattr(lines, "COMMON_WORDS", (0, 0), raising=False)
+    monkeypatch.setattr(lines, "_close", counted)
+    got = lines.mark(make_docs([*rows, (30, rows[0][1] + " more")])).where("kept").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(30)) and 0 < sum(met) < 30
+
+
 def test_keys_of_lines_are_dealt_once(spark, make_docs):
     found = lines.different_lines(make_docs([(1, "one two three four"), (2, "one two three five")]), "doc_id", "text")
     own = ["line", "words", *lines.PARITIES]

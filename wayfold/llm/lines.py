@@ -3,16 +3,16 @@
 Lines are normalised and equal ones united. Two lines are linked when they reach an edit similarity over words. Of every
 connected group of lines the first occurrence stays.
 
-Candidates come from SimHashes first: lines of one class of length meet on pairs of the four blocks of their
-SimHash, so lines whose hashes differ in two bits surely meet. A SimHash tells too little of lines that differ in
-a fifth of their words, so an exact way follows for what it misses: lines within ``d`` edits share all but ``d`` words
-of the longer one, so they share one of the ``d + 1`` words of each that come first in any fixed order (prefix
-filter), here the rarest. What a pair cannot exceed in its lengths and in the parities of its words is
-checked before the edits are counted, and accepted pairs are checked on their words.
+Lines within ``d`` edits keep all but ``3 d`` of the longer one's runs of three words, so they share one of the rarest
+``3 d + 1`` of each in any fixed order (prefix filter). Runs that no two lines hold are dropped in the one pass that deals
+them all; only lines that are left with some take part in what follows, by classes of length, so that the runs never lie
+on disk together. Their SimHashes come first: lines of one class meet on pairs of the four blocks of their SimHash. Then
+lines meet at the runs they share. What a pair cannot exceed in its lengths and in the parities of its words is checked
+before the edits are counted, and accepted pairs are checked on their words.
 
 Links are looked for as little as the components need: first with a pivot of each key, in turns until hardly any
 line is joined by that, then only between lines that are still in different components, so a thousand variants of one
-line cost a row each, not a pair for every two. The last step takes classes of length in turn, so that its keys never lie on disk together.
+line cost a row each, not a pair for every two.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import connected_components
@@ -31,25 +31,28 @@ from wayfold.operators.joins import Lookup, lookup_join
 SIMILARITY = 0.8
 # Fewer words than this allow no edit, so such lines only have equal ones.
 LEAST_WORDS = 4
-# Words are ordered by whether they are among so many of the commonest in so many documents, then long ones first.
-# The order changes the work only, never the result.
-SAMPLE_DOCS = 16_384
-COMMON_WORDS = (256, 4_096)
+# Words are ordered by whether they are among so many of the commonest in so many lines, then long ones first.
+# Runs of words likewise. The order changes the work only, never the result.
+SAMPLE_LINES = 1 << 16
+COMMON = 4_096
 # Rare words that vote on the SimHash at most, so that votes fit in seven bits; its blocks, and which of them meet together.
 VOTES = 127
 BLOCK_BITS = 16
 BLOCK_PAIRS = list(combinations(range(64 // BLOCK_BITS), 2))
 # Lines of up to so many words are compared by one and by two of the four parts of the parities.
 ONE_PART, TWO_PARTS = 63, 127
-HASH_BITS = 55
 PARITIES = ["p0", "p1", "p2", "p3"]
-# Rare words of a line that meet pivots; the comparison in full takes all of them.
-PIVOT_WORDS = 3
-# Before it, lines meet a pivot of each of their keys, another in each turn, so often at most and until a turn finds so few links.
+# Words of a run that lines meet by. Lines of up to so many words may share none and meet by all their pairs of words, too.
+RUN = 3
+SHORT_LINE = 5
+# Bits of a word's hash in its number, under its length; runs are sums of such numbers. Common words and runs come beyond all others.
+WORD_BITS = 54
+BEYOND = 1 << 62
+# Lines meet a pivot of each of their keys, another in each turn, so often at most and until a turn finds so few links.
 PIVOT_TURNS = 4
 FEW_LINKS = 1024
-# Keys of the comparison in full that are dealt at once; classes of length are taken together up to that.
-KEYS_AT_ONCE = 4 << 20
+# Runs that are dealt at once; classes of length are taken together up to that.
+KEYS_AT_ONCE = 1 << 25
 # Letters that words are turned into.
 LETTERS = 1 << 20
 
@@ -71,14 +74,15 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def common_words(docs: DataFrame, id_col: str, text_col: str) -> list[list[int]]:
-    """Hashes of the commonest words of a sample of documents, by tier; a bounded number."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`")), F.lit(1 << 20)) < int(share * (1 << 20))
-    words = docs.where(drawn).select(
-        F.explode(F.split(normalised(F.col(f"`{text_col}`")), " ")).alias("word")
-    )
-    counted = words.groupBy(F.xxhash64("word").alias("x")).count().where("count > 1")
+def sample(lines: DataFrame) -> DataFrame:
+    """At most about ``SAMPLE_LINES`` of stored lines, chosen by a hash."""
+    share = min(1.0, SAMPLE_LINES / max(1, lines.count()))
+    return lines.where(F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def commonest(numbers: DataFrame) -> list[int]:
+    """The commonest values of ``x``, a bounded number."""
+    counted = numbers.groupBy("x").count().where("count > 1")
     # What is above a least count is at most twice as many as wanted; only these come to the driver.
     levels = F.floor(F.log2("count")).cast("int").alias("level")
     counted = stored(counted, "word-counts")
@@ -86,15 +90,25 @@ def common_words(docs: DataFrame, id_col: str, text_col: str) -> list[list[int]]
     for row in counted.groupBy(levels).count().orderBy(F.desc("level")).collect():
         total += row["count"]
         least = row["level"]
-        if total >= COMMON_WORDS[-1]:
+        if total >= COMMON:
             break
     if least is None:
-        return [[] for _ in COMMON_WORDS]
+        return []
     order = [F.desc("count"), F.col("x")]
-    rows = counted.where(F.col("count") >= (1 << least)).orderBy(*order).limit(COMMON_WORDS[-1]).collect()
-    discard(docs.sparkSession, counted)
-    ranked = [r["x"] for r in rows]
-    return [ranked[a:b] for a, b in zip((0, *COMMON_WORDS), COMMON_WORDS)]
+    rows = counted.where(F.col("count") >= (1 << least)).orderBy(*order).limit(COMMON).collect()
+    discard(numbers.sparkSession, counted)
+    return [r["x"] for r in rows]
+
+
+def common_words(lines: DataFrame) -> list[int]:
+    """The numbers of the commonest words of a sample of lines."""
+    return commonest(sample(lines).select(F.explode(word_runs(F.split("norm", " "), 1, [])).alias("x")))
+
+
+def common_runs(lines: DataFrame) -> list[int]:
+    """The commonest of the runs that a sample of lines would meet by."""
+    runs = sample(lines).where(F.col("words") >= LEAST_WORDS).select(F.explode(rare_runs([])).alias("x"))
+    return commonest(runs)
 
 
 def allowed_edits(words: Column) -> Column:
@@ -102,32 +116,54 @@ def allowed_edits(words: Column) -> Column:
     return F.floor(words * (1 - SIMILARITY) + 1e-9).cast("int")
 
 
-def word_tokens(norm: Column, tiers: list[list[int]]) -> Column:
-    """A number for each word of a line, ascending: rare words before common ones, long before short."""
-    known = F.transform(
-        F.split(norm, " "),
-        lambda w: F.struct(F.xxhash64(w).alias("x"), F.least(F.octet_length(w), F.lit(63)).alias("n")),
+def word_runs(words: Column, length: int, common: list[int]) -> Column:
+    """A number for each run of so many words: rare runs before common ones, those of long words before short ones.
+
+    It is the sum of a number for each word, so the order of the words does not tell; what meets by it is compared anyway.
+    """
+    codes = F.transform(
+        words,
+        lambda w: F.shiftleft(63 - F.least(F.octet_length(w).cast("long"), F.lit(63)), WORD_BITS)
+        + F.xxhash64(w).bitwiseAND(F.lit((1 << WORD_BITS) - 1)),
     )
 
-    def token(word: Column) -> Column:
-        tier = F.lit(0)
-        for number, hashes in enumerate(reversed(tiers), 1):
-            tier = F.when(word["x"].isin(hashes), number).otherwise(tier) if hashes else tier
-        place = (tier * 64 + 63 - word["n"]).cast("long")
-        return F.shiftleft(place, HASH_BITS).bitwiseOR(word["x"].bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def summed(codes: Column) -> Column:
+        starts = F.slice(codes, F.lit(1), F.greatest(F.size(codes) - (length - 1), F.lit(0)))
+        return F.transform(starts, lambda first, at: reduce(lambda x, k: x + F.get(codes, at + k), range(1, length), first))
 
-    return F.sort_array(F.transform(known, token))
+    # A list of one, so that the words are hashed once.
+    runs = F.transform(F.array(codes), summed)[0]
+    return F.transform(runs, lambda x: F.when(x.isin(common), x + F.lit(BEYOND)).otherwise(x)) if common else runs
 
 
-def parities(tokens: Column) -> list[Column]:
-    """256 bits as four numbers: bit ``i`` tells whether the number of words with hash ``i`` is odd."""
-    zero = F.lit(0).cast("long")
+def runs_needed() -> Column:
+    """How many of its rarest runs a line of more than ``SHORT_LINE`` words meets others by.
+
+    An edit changes ``RUN`` runs at most, so ``d`` edits leave ``words - RUN + 1 - RUN * d`` runs of the longer line; among its
+    rarest ``RUN * d + 1`` and so many of the shorter line as it may lack besides is one of both. The shorter line's own ``d``
+    can be one less, which the rest of its words by the step of ``d`` makes up for.
+    """
+    words = F.col("words")
+    step = round(1 / (1 - SIMILARITY))
+    return RUN * allowed_edits(words) + 1 + F.greatest(words % step - (step - RUN), F.lit(0))
+
 
-    def part(number: int) -> Column:
-        mine = F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == number)
-        return F.aggregate(mine, zero, lambda sum_, t: sum_.bitwiseXOR(_bit(t.bitwiseAND(F.lit(63)).cast("int"))))
+def rare_runs(common: list[int]) -> Column:
+    """The different runs a line meets others by."""
+    words = F.split("norm", " ")
+    runs = word_runs(words, RUN, common)
+    # Lines of four and of five words keep two pairs of words, but maybe no run of three.
+    short = F.concat(runs, word_runs(words, RUN - 1, []))
+    rarest = F.slice(F.sort_array(runs), F.lit(1), runs_needed())
+    return F.array_distinct(F.when(F.col("words") <= SHORT_LINE, short).otherwise(rarest))
 
-    return [part(k) for k in range(len(PARITIES))]
+
+def parities(word: Column) -> list[Column]:
+    """Sums of a line's words to 256 bits as four numbers: bit ``i`` tells whether the number of words with hash ``i`` is odd."""
+    x = F.xxhash64(word)
+    bit = _bit(x.bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright(x, 6).bitwiseAND(F.lit(3))
+    return [F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(len(PARITIES))]
 
 
 def _bit(place: Column) -> Column:
@@ -140,31 +176,35 @@ def simhash(tokens: Column) -> Column:
     Eight numbers hold the votes, a byte for each bit, so at most ``VOTES`` tokens vote.
     """
     voters = F.slice(tokens, 1, VOTES)
-    ones = F.lit(0x0101010101010101)
-    none = F.array(*[F.lit(0).cast("long")] * 8)
+    ones, every_second = F.lit(0x0101010101010101), F.lit(0x00FF00FF00FF00FF)
 
-    def vote(sums: Column, token: Column) -> Column:
-        x = F.xxhash64(F.lit("vote"), token)
-        return F.transform(sums, lambda sum_, k: sum_ + F.call_function("shiftrightunsigned", x, k).bitwiseAND(ones))
+    def counted(votes: Column) -> Column:
+        def count(row: int) -> Column:
+            return F.aggregate(
+                votes, F.lit(0).cast("long"), lambda sum_, x: sum_ + F.shiftrightunsigned(x, row).bitwiseAND(ones)
+            )
 
-    def decided(counted: Column) -> Column:
-        def add(bits: Column, place: Column) -> Column:
-            row = F.pmod(place, F.lit(8))
-            count = F.call_function("shiftrightunsigned", F.get(counted["votes"], row), place - row)
-            mine = 2 * count.bitwiseAND(F.lit(255)) > counted["n"]
-            return F.when(mine, bits.bitwiseOR(_bit(place))).otherwise(bits)
+        return F.struct(*[count(row).alias(f"c{row}") for row in range(8)], F.size(votes).alias("n"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), add)
+    def decided(counts: Column) -> Column:
+        # What is added makes the highest bit of a byte tell whether its count is above half of the votes.
+        above = (127 - F.floor(counts["n"] / 2)) * F.lit(0x0001000100010001)
 
-    # A list of one, so that the votes are counted once and not for each bit.
-    counted = F.struct(F.aggregate(voters, none, vote).alias("votes"), F.size(voters).alias("n"))
-    return F.transform(F.array(counted), decided)[0]
+        def bits(row: int, half: int) -> Column:
+            bytes_ = F.shiftrightunsigned(counts[f"c{row}"], 8 * half).bitwiseAND(every_second)
+            told = F.shiftrightunsigned((bytes_ + above).bitwiseAND(F.lit(0x0080008000800080)), 7)
+            return F.shiftleft(told, 8 * half + row)
 
+        return reduce(lambda a, b: a.bitwiseOR(b), [bits(row, half) for row in range(8) for half in range(2)])
 
-def different_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    # Lists of one, so that votes are hashed once and counted once for each row of bits.
+    votes = F.transform(voters, lambda t: F.xxhash64(F.lit("vote"), t))
+    return F.transform(F.transform(F.array(votes), counted), decided)[0]
+
+
+def united_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each different normalised line, stored: ``line`` (a number), ``h``, ``g``, ``first``
-    occurrence, ``norm``, ``words`` (how many), ``rare`` words, one more than edits are allowed, the parities and
-    the SimHash ``sim`` of the rare words. Lines without letters and digits are none."""
+    occurrence, ``norm`` and ``words`` (how many). Lines without letters and digits are none."""
     lines = occurrences(docs, id_col, text_col)
     first = F.min(F.struct("id", "line_no", "norm")).alias("first")
     united = (
@@ -173,25 +213,48 @@ def different_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .agg(first)
         .select("h", "g", F.struct("first.id", "first.line_no").alias("first"), F.col("first.norm").alias("norm"))
     )
-    tokens = F.col("tokens")
-    meets = F.col("words") >= LEAST_WORDS
-    whole = (
-        united.withColumn("tokens", word_tokens(F.col("norm"), common_words(docs, id_col, text_col)))
-        .withColumn("words", F.size("tokens"))
-        .withColumn(
-            "rare", F.when(meets, F.array_distinct(F.slice("tokens", F.lit(1), allowed_edits(F.col("words")) + 1)))
-        )
-        .withColumns({name: F.when(meets, c) for name, c in zip(PARITIES, parities(tokens))})
-        .withColumn("sim", F.when(meets, simhash(F.col("rare"))))
-    )
     return stored(
-        whole.select(
-            F.monotonically_increasing_id().alias("line"), "h", "g", "first", "norm", "words", "rare", *PARITIES, "sim"
-        ),
+        united.select(F.monotonically_increasing_id().alias("line"), "*", F.size(F.split("norm", " ")).alias("words")),
         "lines",
     )
 
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """``line``, ``words`` and parities of stored lines of ``LEAST_WORDS`` or more."""
+    words = lines.where(F.col("words") >= LEAST_WORDS).select("line", "words", F.explode(F.split("norm", " ")).alias("word"))
+    return words.groupBy("line", "words").agg(*[c.alias(name) for c, name in zip(parities(F.col("word")), PARITIES)])
+
+
+def rare_words(lines: DataFrame) -> DataFrame:
+    """``line``, its ``rare`` words, one more than edits are allowed, and the SimHash ``sim`` of these; of stored lines as above."""
+    words = word_runs(F.split("norm", " "), 1, common_words(lines))
+    rare = F.array_distinct(F.slice(F.sort_array(words), F.lit(1), allowed_edits(F.col("words")) + 1))
+    rows = lines.where(F.col("words") >= LEAST_WORDS).select("line", rare.alias("rare"))
+    return rows.withColumn("sim", simhash(F.col("rare")))
+
+
+def different_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The different lines of documents with the signatures of all, stored."""
+    lines = united_lines(docs, id_col, text_col)
+    whole = lines.join(signatures(lines).drop("words"), "line", "left").join(rare_words(lines), "line", "left")
+    return stored(whole, "lines")
+
+
+def shared_runs(lines: DataFrame) -> list[DataFrame]:
+    """``key`` and ``line`` of the rarest runs of lines that another line of a like length meets by, too. Stored tables."""
+    common = common_runs(lines)
+    batches = []
+    for number, sizes in enumerate(key_batches(lines)):
+        here = F.exists(_classes(), lambda size: size.isin(sizes))
+        mine = lines.where(F.col("words") >= LEAST_WORDS).where(here)
+        keys = mine.select("line", F.explode(rare_runs(common)).alias("run"))
+        keys = keys.select(F.xxhash64("run", F.lit(number)).alias("key"), "line")
+        held = F.count(F.lit(1)).over(Window.partitionBy("key"))
+        batches.append(stored(keys.withColumn("held", held).where("held > 1").select("key", "line"), "shared-runs"))
+        release(lines.sparkSession)
+    return batches
+
+
 def line_keys(lines: DataFrame, tokens: Column) -> DataFrame:
     """``size``, ``key``, ``line``, ``words`` and parities: a row for each token and class of length a line may meet others in.
 
@@ -238,10 +301,10 @@ def block_tokens() -> Column:
 
 
 def key_batches(lines: DataFrame) -> list[list[int]]:
-    """Classes of length in groups whose keys number ``KEYS_AT_ONCE`` at most, or one class alone."""
+    """Classes of length in groups whose runs number ``KEYS_AT_ONCE`` at most, or one class alone."""
     counts = (
         lines.where(F.col("words") >= LEAST_WORDS)
-        .select(F.explode(_classes()).alias("size"), F.size("rare").alias("n"))
+        .select(F.explode(_classes()).alias("size"), runs_needed().alias("n"))
         .groupBy("size")
         .agg(F.sum("n").alias("n"))
     )
@@ -360,55 +423,63 @@ def _united(labels: Lookup | None, links: DataFrame) -> Lookup:
     return whole
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """``node`` (number of a line) and ``component`` of the lines that are linked."""
+def line_components(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """``node`` (number of a line) and ``component`` of the lines that are linked, from the lines of the keys."""
     spark = lines.sparkSession
-    # The shuffle of all lines' texts.
-    release(spark)
-    labels = None
     own = ["line", "words", *PARITIES]
-    # Pivots of SimHash blocks first, then pivots of the rarest words.
-    for tokens, choose in ((block_tokens(), F.min), (F.slice("rare", 1, PIVOT_WORDS), F.max)):
-        pivot = choose(F.struct(*own, "component"))
-        # Dealt once for both the pivots and what meets them.
-        labelled = _dealt(line_keys(lines, tokens).drop("size"), labels)
-        pairs = _close(_pivot_pairs(labelled, pivot, own))
-        release(spark)
-        labels = _united(labels, edit_links(pairs, lines))
-    for sizes in key_batches(lines):
-        keys = line_keys(lines, F.col("rare")).where(F.col("size").isin(sizes)).drop("size")
-        for turn in range(PIVOT_TURNS):
-            chosen = F.max(F.struct(F.xxhash64(F.lit(turn), "line").alias("order"), *own, "component"))
-            labelled = _dealt(keys, labels)
-            pairs = _close(_pivot_pairs(labelled, chosen, own))
-            release(spark)
-            links = edit_links(pairs, lines)
-            found = links.count()
-            if found:
-                labels = _united(labels, links)
-            else:
-                discard(spark, links)
-            if found <= FEW_LINKS:
-                break
-        labelled = _dealt(keys, labels)
-        open_keys = (
-            labelled.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low < high")
-            .select("key")
-        )
-        rest = labelled.join(open_keys, "key", "left_semi")
-        other = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in [*own, "component"]])
-        met = rest.join(other, "key").where("component <> component_b and line < line_b")
-        pairs = _close(met)
+    signs = Lookup.stage(signatures(lines), ["line"], "llm-line-signatures")
+    # Pivots of SimHash blocks first. Dealt once for both the pivots and what meets them.
+    hashed = stored(lookup_join(rare_words(lines).select("line", "sim"), signs, ["line"], "inner"), "line-hashes")
+    labelled = _dealt(line_keys(hashed, block_tokens()).drop("size"), None)
+    pairs = _close(_pivot_pairs(labelled, F.min(F.struct(*own, "component")), own))
+    release(spark)
+    discard(spark, hashed)
+    labels = _united(None, edit_links(pairs, lines))
+    for turn in range(PIVOT_TURNS):
+        chosen = F.max(F.struct(F.xxhash64(F.lit(turn), "line").alias("order"), "line", "component"))
+        met = stored(_pivot_pairs(_dealt(keys, labels), chosen, ["line"]).distinct(), "line-meetings")
         release(spark)
-        if pairs.isEmpty():
-            discard(spark, pairs)
+        pairs = _close(_signed(_signed(met, signs, ""), signs, "_b"))
+        discard(spark, met)
+        links = edit_links(pairs, lines)
+        found = links.count()
+        if found:
+            labels = _united(labels, links)
         else:
-            labels = _united(labels, edit_links(pairs, lines))
+            discard(spark, links)
+        if found <= FEW_LINKS:
+            break
+    labelled = _dealt(keys, labels)
+    open_keys = (
+        labelled.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("key")
+    )
+    # No number is ever null; said here so that both sides of the join are dealt once, as above.
+    rest = stored(labelled.join(open_keys, "key", "left_semi").select("key", "line", "component"), "open-runs")
+    release(spark)
+    there = F.col("line").isNotNull() & F.col("component").isNotNull()
+    signed = _signed(rest, signs, "").where(there).repartition("key")
+    other = signed.select("key", *[F.col(c).alias(f"{c}_b") for c in [*own, "component"]])
+    met = signed.join(other, "key").where("component <> component_b and line < line_b")
+    pairs = _close(met)
+    release(spark)
+    discard(spark, rest)
+    discard(spark, signs.df)
+    if pairs.isEmpty():
+        discard(spark, pairs)
+    else:
+        labels = _united(labels, edit_links(pairs, lines))
     return labels.df.withColumnRenamed("line", "node")
 
 
+def _signed(met: DataFrame, signs: Lookup, end: str) -> DataFrame:
+    """Adds the words and parities of one end's line."""
+    named = Lookup(signs.df.toDF(*[f"{c}{end}" for c in signs.df.columns]), (f"line{end}",), signs.bytes)
+    return lookup_join(met, named, [f"line{end}"], "inner")
+
+
 def _pivot_pairs(labelled: DataFrame, pivot: Column, own: list[str]) -> DataFrame:
     """Every line with the pivot of each of its keys, when that is of another component."""
     pivots = labelled.groupBy("key").agg(
@@ -442,15 +513,30 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     repeat an id count as one document: their equal lines at one place are one occurrence. Other
     columns are left out, whatever their names.
     """
-    lines = different_lines(docs, id_col, text_col)
-    united = line_components(lines)
-    labelled = lines.join(united.withColumnRenamed("node", "line"), "line", "left").select(
-        "h", "g", "first", F.coalesce("component", "line").alias("component")
-    )
+    spark = docs.sparkSession
+    lines = united_lines(docs, id_col, text_col)
+    # The shuffle of all lines' texts.
+    release(spark)
+    batches = shared_runs(lines)
+    labelled = lines.withColumn("component", F.col("line"))
+    united = None
+    if batches:
+        keys = reduce(DataFrame.union, batches)
+        some = Lookup.stage(keys.select("line").distinct(), ["line"], "llm-meeting-lines")
+        meeting = stored(lookup_join(lines.drop("g", "first"), some, ["line"], "inner"), "meeting-lines")
+        discard(spark, some.df)
+        united = line_components(meeting, keys)
+        for done in (meeting, *batches):
+            discard(spark, done)
+        labelled = lines.join(united.withColumnRenamed("node", "line"), "line", "left").withColumn(
+            "component", F.coalesce("component", "line")
+        )
+    labelled = labelled.select("h", "g", "first", "component")
     firsts = labelled.groupBy("component").agg(F.min("first").alias("stays"))
     stays = stored(labelled.join(firsts, "component").select("h", "g", "stays"), "line-groups")
-    discard(docs.sparkSession, lines)
-    discard(docs.sparkSession, united)
+    for done in (lines, united):
+        if done is not None:
+            discard(spark, done)
     found = occurrences(docs, id_col, text_col).drop("norm")
     named = found.where(F.col("id").isNotNull()).join(stays, ["h", "g"], "left")
     unnamed = found.where(F.col("id").isNull()).withColumn("stays", F.lit(None))
