@@ -418,6 +418,24 @@ def neighbours(rows, query, k):
     return [i for _, i in sorted(scores)[:k]]
 
 
+def test_a_query_travels_once_to_each_bundle_of_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 4)
+    whole, visits = ann.stored, []
+
+    def watched(frame, label):
+        found = whole(frame, label)
+        if label == "visits":
+            visits.append((found.columns, found.count()))
+        return found
+
+    monkeypatch.setattr(ann, "stored", watched)
+    vectors = spark.createDataFrame([r for r in vector_rows(3) if r[0] < 160], VECTORS)
+    found = ann.search(vectors, vectors.select("vec_id"), k=3, recall=1.0)
+    assert found.count() == 160 * 3
+    ((columns, count),) = visits
+    assert "data" not in columns and count <= 2 * 160
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF", 16)
     monkeypatch.setattr(ann, "BLOCK", 8)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.covertree import usable
-from wayfold.llm.tables import stored
+from wayfold.llm.tables import discard, release, stored
 
 K = 20
 # Vectors the tree is fitted on, and leaves, at most: the tree that travels to the tasks is bounded.
@@ -33,9 +33,15 @@ SEED = 5
 # Queries the visits are calibrated with, and the recall they have to reach.
 CALIBRATION = 256
 RECALL = 0.95
-# Rows of a leaf, and queries visiting it, that meet in one task.
+# Neighbouring leaves are bundled: so many bundles at least, of so many rows at least and bytes at most. A query travels once to
+# each bundle it visits leaves of, and so many queries meet a bundle in one task.
+BUNDLES = 16
 BLOCK = 1024
-QUERY_BLOCK = 2048
+BUNDLE_BYTES = 16 << 20
+QUERY_BLOCK = 32_768
+# Queries that are scored at once, and rows of visits handed on at once.
+SCORED = 128
+VISITS = 2048
 # Share of the visits made first, whose results bound what the others return.
 FIRST_SHARE = 8
 _ROUNDING = 1e-9
@@ -266,54 +272,68 @@ def search(
             leaves = pa.array(shipped.value.assign(_matrix(batch.column(1))), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["id", "data", "leaf"])
 
-    placed = rows.mapInArrow(place, "id long, data binary, leaf int")
+    placed = stored(rows.mapInArrow(place, "id long, data binary, leaf int"), "placed")
+    discard(spark, rows)
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
     # At most one row for each leaf of the bounded tree.
     sizes = {r["leaf"]: r["size"] for r in sizes.collect()}
-    blocks = {leaf: -(-size // BLOCK) for leaf, size in sizes.items()}
-    block_of = F.create_map(*[F.lit(x) for pair in sorted(blocks.items()) for x in pair])
-    placed = stored(
-        placed.withColumn("block", F.pmod(F.xxhash64("id"), block_of[F.col("leaf")]).cast("int")),
-        "placed",
-    )
+    start, parts = bundles(sizes, tree.centres.shape[1])
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [start[leaf] + part for leaf, part in zip(*(batch.column(i).to_pylist() for i in (2, 3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.int32())], names=names)
+
+    names = ["id", "data", "leaf", "bundle"]
+    several = {leaf: n for leaf, n in parts.items() if n > 1}
+    part = F.lit(0)
+    if several:
+        split = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+        part = F.pmod(F.xxhash64("id"), F.coalesce(split[F.col("leaf")], F.lit(1))).cast("int")
+    held_rows = placed.withColumn("part", part).mapInArrow(bundled, "id long, data binary, leaf int, bundle int")
 
     wanted = queries.select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct()
-    asked = rows.join(wanted, "id", "left_semi")
+    asked = placed.drop("leaf").join(wanted, "id", "left_semi")
+    early = max(1, visits // FIRST_SHARE)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [("id", pa.int64()), ("bundle", pa.int32()), ("early", pa.bool_()), ("leaves", pa.list_(pa.int32()))]
+        )
         for batch in batches:
-            at, leaves, ranks = [], [], []
+            found: list[dict] = []
             for i, query in enumerate(_matrix(batch.column(1))):
+                own = batch.column(0)[i].as_py()
                 bins = shipped.value.best_bins(query, shipped.value.leaves)
                 # Leaves without vectors cost no visit; too few candidates widen the visits.
                 candidates = seen = 0
+                at: dict[tuple[int, bool], list[int]] = {}
                 for leaf in bins:
                     size = sizes.get(leaf, 0)
                     if size and (seen < visits or candidates <= k):
-                        at.append(i)
-                        leaves.append(leaf)
-                        ranks.append(seen)
+                        for bundle in range(start[leaf], start[leaf] + parts[leaf]):
+                            at.setdefault((bundle, seen < early), []).append(leaf)
                         seen += 1
                         candidates += size
-            taken = batch.take(pa.array(at, pa.int64()))
-            columns = [*taken.columns, pa.array(leaves, pa.int32()), pa.array(ranks, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "data", "leaf", "turn"])
+                found += [{"id": own, "bundle": b, "early": e, "leaves": l} for (b, e), l in at.items()]
+                if len(found) >= VISITS:
+                    yield pa.RecordBatch.from_pylist(found, schema)
+                    found = []
+            yield pa.RecordBatch.from_pylist(found, schema)
 
+    # Vectors come to the visits when they travel, so that they do not lie on disk once for each.
     visiting = stored(
-        asked.mapInArrow(visit, "id long, data binary, leaf int, turn int").withColumn(
-            "block", F.explode(F.sequence(F.lit(0), block_of[F.col("leaf")] - 1))
-        ),
-        "visits",
+        asked.mapInArrow(visit, "id long, bundle int, early boolean, leaves array<int>"), "visits"
     )
-    early = max(1, visits // FIRST_SHARE)
     first = stored(
-        _meet(visiting.where(F.col("turn") < early), placed, None, k), "first-visits"
+        _meet(visiting.where("early").join(asked, "id"), held_rows, None, k), "first-visits"
     )
+    release(spark)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     leading = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
     bounds = leading.select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    later = visiting.where(F.col("turn") >= early).join(bounds, "id", "left")
-    both = first.union(_meet(later, placed, "least", k))
+    later = visiting.where(~F.col("early")).join(asked, "id").join(bounds, "id", "left")
+    both = first.union(_meet(later, held_rows, "least", k))
     return (
         both.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -321,23 +341,34 @@ def search(
     )
 
 
+def bundles(sizes: dict[int, int], width: int) -> tuple[dict[int, int], dict[int, int]]:
+    """The first bundle of each leaf and how many it has: neighbouring leaves share one, a very large one has several."""
+    most = max(1, min(BUNDLE_BYTES // (8 * width), max(BLOCK, -(-sum(sizes.values()) // BUNDLES))))
+    start, parts, number, room = {}, {}, -1, 0
+    for leaf, size in sorted(sizes.items()):
+        parts[leaf] = -(-size // most)
+        if size > room:
+            number, room = number + 1, most
+        start[leaf] = number
+        number, room = number + parts[leaf] - 1, 0 if parts[leaf] > 1 else room - size
+    return start, parts
+
+
 def _meet(visits: DataFrame, placed: DataFrame, least: str | None, k: int) -> DataFrame:
-    """The best of each visited block for each query, none worse than its ``least``."""
+    """The best of the visited leaves of each bundle for each query, none worse than its ``least``."""
     bound = F.col(least) if least else F.lit(None).cast("double")
-    # Queries of a block that many visit are dealt to several tasks, which each get the block's rows.
-    crowds = visits.groupBy("leaf", "block").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("crowds")
-    )
-    asked = visits.join(crowds, ["leaf", "block"]).select(
-        "leaf",
-        "block",
+    # Queries of a bundle that many visit are dealt to several tasks, which each get the bundle's rows.
+    crowds = visits.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("crowds"))
+    asked = visits.join(crowds, "bundle").select(
+        "bundle",
         F.pmod(F.xxhash64("id", F.lit("crowd")), F.col("crowds")).cast("int").alias("crowd"),
         "id",
         "data",
+        "leaves",
         bound.alias("least"),
     )
-    held = placed.join(crowds, ["leaf", "block"]).select(
-        "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "data"
+    held = placed.join(crowds, "bundle").select(
+        "bundle", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "data", "leaf"
     )
 
     def meet(asking: pd.DataFrame, holding: pd.DataFrame) -> pd.DataFrame:
@@ -346,16 +377,30 @@ def _meet(visits: DataFrame, placed: DataFrame, least: str | None, k: int) -> Da
             return pd.DataFrame({n: [] for n in names}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": "float64"}
             )
-        values, ids = _matrix(holding["data"]), holding["id"].to_numpy()
-        vectors = _matrix(asking["data"])
-        rough = vectors @ values.T
+        # Rows of a leaf stand together.
+        holding = holding.sort_values(["leaf", "id"])
+        values, ids, leaf = _matrix(holding["data"]), holding["id"].to_numpy(), holding["leaf"].to_numpy()
+        different, begin = np.unique(leaf, return_index=True)
+        ranges = dict(zip(different.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(leaf)])))
         found = []
-        for i, (own, low) in enumerate(zip(asking["id"], asking["least"].fillna(-np.inf))):
-            near, scores = _exact_top(vectors[i], rough[i], values, ids, own, k, low)
-            found.append((np.full(len(near), own), near, scores))
+        for at in range(0, len(asking), SCORED):
+            some = asking.iloc[at : at + SCORED]
+            vectors = _matrix(some["data"])
+            visitors: dict[int, list[int]] = {}
+            for i, leaves in enumerate(some["leaves"]):
+                for x in leaves:
+                    visitors.setdefault(int(x), []).append(i)
+            rough = np.full((len(some), len(ids)), -np.inf)
+            for x, who in visitors.items():
+                # A part of a very large leaf may have no row.
+                low, high = ranges.get(x, (0, 0))
+                rough[who, low:high] = vectors[who] @ values[low:high].T
+            for i, (own, low) in enumerate(zip(some["id"], some["least"].fillna(-np.inf))):
+                near, scores = _exact_top(vectors[i], rough[i], values, ids, own, k, low)
+                found.append((np.full(len(near), own), near, scores))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*found))})
 
-    keys = ["leaf", "block", "crowd"]
+    keys = ["bundle", "crowd"]
     return (
         asked.groupBy(*keys)
         .cogroup(held.groupBy(*keys))
