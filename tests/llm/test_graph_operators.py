@@ -436,6 +436,21 @@ def test_a_query_travels_once_to_each_bundle_of_leaves(spark, monkeypatch):
     assert "data" not in columns and count <= 2 * 160
 
 
+def test_roots_meet_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "ROOT", 4)
+    whole, turns = covertree.stored, []
+
+    def watched(frame, label):
+        turns.append(label == "vector-links")
+        return whole(frame, label)
+
+    monkeypatch.setattr(covertree, "stored", watched)
+    random_ = np.random.default_rng(6)
+    rows = [(i, [1.0, *map(float, random_.normal(size=5) * 0.01)], 0, "x") for i in range(60)]
+    found = covertree.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {(r["n_links"], r["component_id"]) for r in found} == {(59, 0)} and sum(turns) > 2
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF", 16)
     monkeypatch.setattr(ann, "BLOCK", 8)

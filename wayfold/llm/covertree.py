@@ -15,18 +15,22 @@ from __future__ import annotations
 import math
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import connected_components
-from wayfold.llm.tables import stored
+from wayfold.llm.tables import discard, release, stored
 
 THRESHOLD = 0.98
-# Members of a root, and pivots for the whole table at most. Both change the work only.
+# Members of a root, bytes of the vectors of a bundle of roots, and pivots for the whole table at most. All change the work only.
 ROOT = 1024
+BUNDLE_BYTES = 16 << 20
+# Bundles of a label, if it has so many roots.
+LEAST_RING = 4
 MOST_PIVOTS = 4096
 # The smallest covering radius that is halved further.
 SMALLEST = 1e-6
@@ -256,11 +260,11 @@ def near_duplicates(
             F.size("v.vector").alias("dim"),
         )
     )
-    nodes = stored(different, "vectors")
-    links = stored(_root_links(nodes, threshold), "vector-links")
+    nodes = _celled(stored(different, "vectors"))
+    links = _root_links(nodes, threshold)
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     united = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    labelled = nodes.drop("vector").join(united, "node", "left").join(counts, "node", "left")
+    labelled = nodes.drop("vector", "cell").join(united, "node", "left").join(counts, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = stored(
@@ -282,8 +286,8 @@ def near_duplicates(
     )
 
 
-def _root_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``node``, ``n`` links found in one pair of roots, and ``other``, a node it is united with."""
+def _celled(nodes: DataFrame) -> DataFrame:
+    """Stored nodes, dropped here, with the ``cell`` of the nearest pivot. Stored."""
     spark = nodes.sparkSession
     total = nodes.count()
     wanted = min(MOST_PIVOTS, -(-total // ROOT))
@@ -307,11 +311,22 @@ def _root_links(nodes: DataFrame, threshold: float) -> DataFrame:
         return pd.Series(found)
 
     celled = nodes.withColumn("cell", nearest(F.col("label").cast("string"), "dim", "vector"))
-    celled = stored(celled.select("node", "copies", "label", "dim", "vector", "cell"), "cells")
+    celled = stored(celled, "cells")
+    discard(spark, nodes)
+    return celled
+
+
+def _root_links(celled: DataFrame, threshold: float) -> DataFrame:
+    """``node``, ``n`` links found in one pair of roots, and ``other``, a node it is united with. Stored.
+
+    Roots travel in bundles. Bundles of a label stand in a ring, and each meets the one so many steps ahead, a step more in
+    each turn, so no turn needs more than two copies of a root.
+    """
+    spark = celled.sparkSession
     cells = celled.groupBy("label", "dim", "cell").agg(
         F.ceil(F.count(F.lit(1)) / ROOT).alias("parts")
     )
-    dealt = celled.join(cells, ["label", "dim", "cell"]).withColumn(
+    dealt = celled.select("node", "copies", "label", "dim", "vector", "cell").join(cells, ["label", "dim", "cell"]).withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("parts"))
     )
 
@@ -319,55 +334,110 @@ def _root_links(nodes: DataFrame, threshold: float) -> DataFrame:
         group = group.sort_values("node")
         values = np.stack(group["vector"].to_list()).astype(float)
         tree = build(_units(values))
-        held = (group["node"].to_numpy(), group["copies"].to_numpy(), values, tree)
+        # Units are made again from the vectors, which are kept in single precision if that holds them.
+        single = values.astype("f4") if np.abs(values).max() < np.finfo("f4").max else values
+        held = (
+            group["node"].to_numpy(), group["copies"].to_numpy(), single if (single == values).all() else values,
+            [[x.astype("i4") for x in (level.centre, level.parent)] + [level.radius] for level in tree.levels],
+            tree.leaf_of.astype("i4"),
+        )
         return pd.DataFrame(
             {
                 "label": [key[0]],
                 "dim": [key[1]],
                 "root": [int(group["node"].iloc[0])],
+                "members": [len(group)],
                 "centre": [tree.units[0]],
                 "radius": [float(tree.levels[0].radius[0])],
                 "held": [pickle.dumps(held)],
             }
         )
 
-    label_type = nodes.schema["label"].dataType.simpleString()
-    schema = f"label {label_type}, dim int, root long, centre array<double>, radius double, held binary"
+    label_type = celled.schema["label"].dataType.simpleString()
+    schema = f"label {label_type}, dim int, root long, members int, centre array<double>, radius double, held binary"
     roots = stored(
         dealt.groupBy("label", "dim", "cell", "part").applyInPandas(plant, schema), "roots"
     )
-    reach = math.sqrt(2 - 2 * threshold)
-    ends = roots.select("label", "dim", F.col("root").alias("a"), F.col("centre").alias("ca"),
-                        F.col("radius").alias("ra"))
-    others = ends.toDF("label", "dim", "b", "cb", "rb")
-    gap = F.sqrt(F.aggregate(
-        F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x
-    ))
-    pairs = ends.join(others, ["label", "dim"]).where("a <= b").where(
-        gap <= F.col("ra") + F.col("rb") + reach + SLACK
+    # The shuffle of all vectors.
+    release(spark)
+    # Roots in an order of their own, as many to a bundle as fit: a few numbers for each root.
+    label = Window.partitionBy("label", "dim")
+    before = label.orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("members").cast("long") * F.col("dim") * 8
+    most = F.least(F.lit(float(BUNDLE_BYTES)), F.sum(size).over(label) / LEAST_RING)
+    filled = F.coalesce(F.sum(size).over(before), F.lit(0))
+    bundled = stored(
+        roots.select("label", "dim", "root", F.floor(filled / most).cast("int").alias("bundle")), "bundles"
     )
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("root"))
-    filled = sides.join(roots.select("root", "held"), "root")
-
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        held = {r: pickle.loads(h) for r, h in zip(group["root"], group["held"])}
-        (ids, copies, values, tree), (ids2, copies2, values2, tree2) = held[key[0]], held[key[1]]
-        first, second = exact_links(tree, values, tree2, values2, threshold)
-        if key[0] == key[1]:
-            every, weight = ids, copies
-        else:
-            every, weight = np.concatenate([ids, ids2]), np.concatenate([copies, copies2])
-            second = second + len(ids)
-        n = np.bincount(first, weight[second], len(every)) + np.bincount(
-            second, weight[first], len(every)
-        )
-        smallest = _smallest_of_group(len(every), first, second)
-        some = n > 0
-        return pd.DataFrame(
-            {"node": every[some], "n": n[some].astype(np.int64), "other": every[smallest[some]]}
-        )
-
-    return filled.groupBy("a", "b").applyInPandas(meet, "node long, n long, other long")
+    # Bundles may be left out by the size of a root, so they are numbered without gaps.
+    numbers = bundled.select("label", "dim", "bundle").distinct().withColumns(
+        {
+            "place": F.row_number().over(Window.partitionBy("label", "dim").orderBy("bundle")) - 1,
+            "ring": F.count(F.lit(1)).over(Window.partitionBy("label", "dim")).cast("int"),
+        }
+    )
+    ringed = stored(bundled.join(numbers, ["label", "dim", "bundle"]).drop("bundle"), "rings")
+    discard(spark, bundled)
+    reach = math.sqrt(2 - 2 * threshold)
+    longest = ringed.agg(F.max("ring")).first()[0] or 0
+    found = []
+    for step in range(max(1, longest // 2 + 1)):
+        found.append(stored(_ring_links(roots, ringed, step, reach, threshold), "vector-links"))
+        release(spark)
+    for done in (roots, ringed):
+        discard(spark, done)
+    return reduce(DataFrame.union, found)
+
+
+def _ring_links(roots: DataFrame, ringed: DataFrame, step: int, reach: float, threshold: float) -> DataFrame:
+    """Links between the roots of bundles that are so many steps apart on the ring of their label."""
+    sides = F.array(F.col("place"), F.pmod(F.col("place") - step, F.col("ring")))
+    # Half a ring ahead is half a ring behind, so only one of the two is taken.
+    taken = F.filter(sides, lambda a: (F.lit(2 * step) < F.col("ring")) | (F.lit(2 * step) == F.col("ring")) & (a < step))
+    meeting = ringed.select("label", "dim", "root", "place", "ring", F.explode(F.array_distinct(taken)).alias("pair"))
+    ends = meeting.select("label", "dim", "pair", F.col("root"), (F.col("place") == F.col("pair")).alias("ahead"))
+    carried = ends.join(roots.select("root", "centre", "radius", "held"), "root")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("root")
+        centres = np.stack(group["centre"].to_list()).astype(float)
+        radius, sides = group["radius"].to_numpy(), group["ahead"].to_numpy()
+        held: dict[int, tuple] = {}
+
+        def opened(i: int) -> tuple:
+            if i not in held:
+                ids, copies, values, levels, leaf_of = pickle.loads(group["held"].iloc[i])
+                values = values.astype(float)
+                levels = [Level(c.astype(int), r, p.astype(int)) for c, p, r in levels]
+                held[i] = (ids, copies, values, CoverTree(_units(values), levels, leaf_of.astype(int)))
+            return held[i]
+
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for i in range(len(group)):
+            gaps = np.sqrt(((centres[i:] - centres[i]) ** 2).sum(axis=1))
+            for j in (i + np.flatnonzero(gaps <= radius[i:] + radius[i] + reach + 2 * SLACK)).tolist():
+                # Roots of one bundle have met in the first turn.
+                if not step or sides[i] != sides[j]:
+                    for column, x in zip(out, _pair_links(opened(i), opened(j), i == j, threshold)):
+                        column.append(x)
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("node", "n", "other"), out)})
+
+    return carried.groupBy("label", "dim", "pair").applyInPandas(meet, "node long, n long, other long")
+
+
+def _pair_links(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of two roots with links, how many, and a member each is united with."""
+    (ids, copies, values, tree), (ids2, copies2, values2, tree2) = a, b
+    first, second = exact_links(tree, values, tree2, values2, threshold)
+    if same:
+        every, weight = ids, copies
+    else:
+        every, weight = np.concatenate([ids, ids2]), np.concatenate([copies, copies2])
+        second = second + len(ids)
+    n = np.bincount(first, weight[second], len(every)) + np.bincount(second, weight[first], len(every))
+    smallest = _smallest_of_group(len(every), first, second)
+    some = n > 0
+    return every[some], n[some].astype(np.int64), every[smallest[some]]
 
 
 def _units(values: np.ndarray) -> np.ndarray:
